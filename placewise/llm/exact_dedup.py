@@ -86,7 +86,7 @@ def _partition(
         counts = scratch.cut(counts, "groups")
         split = (
             rows.withColumn("_digit", digit)
-            .join(counts, ["_group", "_digit"], "left")
+            .join(counts.hint("merge"), ["_group", "_digit"], "left")
             .select(
                 "_id",
                 "_carry",
