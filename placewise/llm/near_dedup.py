@@ -9,10 +9,11 @@ the concentration of independent min-hashes (Dahlgaard, Knudsen and Thorup, "Fas
 Candidates. Documents of one shingle set form a class with one representative. Sketches are cut into
 bands; two representatives with an equal band are candidates. A bucket first tests its members against its
 smallest one; what that links needs no further test. Members of a bucket that are still in different
-components are then tested with each other: pairwise by join in small buckets, by blocks of sketches in
-large ones, which give only pairs whose sketches agree enough. No candidate is dropped by a cap.
+components are then tested with each other in blocks of bounded size, which return a spanning forest of the
+links that they verify, so no step emits a bucket's pairs. No candidate is dropped by a cap.
 
-Verification. Shingle sets of the candidates' whole texts are built again and intersected.
+Verification. Shingle sets of the candidates' whole texts are built again and intersected; the share of
+agreeing coordinates only spares candidates that are far below the threshold.
 
 With 32 bands of 4, a pair at similarity 0.85 is no candidate with probability below 1e-10 (at 0.80, below
 1e-7); a pair at the threshold has fewer than threshold - 0.15 of its 128 coordinates equal with probability
@@ -35,8 +36,8 @@ COORDS = 128
 ROWS = 4
 #: Candidates may agree in this much less of their coordinates than the threshold: over four standard deviations.
 SLACK = 0.15
-SMALL_BUCKET = 48
 BLOCK = 512
+GROUP = 1000
 BROADCAST_IDS = 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -160,22 +161,47 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _agreeing(agree: float, coords: int):
-    """Of one block: pairs of a left and a right member in different components whose sketches agree."""
+def _forest(threshold_pct: int, coords: int, rows: int):
+    """Of the buckets in a group: links between left and right members of different components.
+
+    Pairs whose sketches agree enough are verified on full sets in the first band they share; of the links
+    found, a spanning forest is returned, so the rows returned are fewer than the members.
+    """
+    least = (threshold_pct / 100 - SLACK) * coords
 
     def run(table: pa.Table) -> pa.Table:
-        side = np.array(table["side"].to_pylist())
-        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+        table = table.sort_by("band")
+        bands, side = table["band"].to_numpy(), table["side"].to_numpy()
+        ids, comp, at_band = table["id"].to_numpy(), table["comp"].to_numpy(), table["at"].to_numpy()
         sk = np.frombuffer(b"".join(table["sk"].to_pylist()), np.uint32).reshape(-1, coords)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in left:
-            equal = (sk[right] == sk[i]).sum(axis=1) >= agree * coords
-            hit = right[equal & (comp[right] != comp[i])]
-            a += [ids[i]] * len(hit)
-            b += ids[hit].tolist()
-        lo, hi = np.minimum(a, b) if a else [], np.maximum(a, b) if a else []
-        return pa.table({"a": pa.array(list(lo), pa.int64()), "b": pa.array(list(hi), pa.int64())})
+        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out: set[tuple[int, int]] = set()
+        starts = np.flatnonzero(np.r_[True, bands[1:] != bands[:-1]]) if len(bands) else []
+        for lo, hi in zip(starts, [*starts[1:], len(bands)], strict=True):
+            part = np.arange(lo, hi)
+            right = part[side[part] == 1]
+            for i in part[side[part] == 0]:
+                equal = sk[right] == sk[i]
+                near = (equal.sum(axis=1) >= least) & (comp[right] != comp[i])
+                if near.any():
+                    first = equal[near].reshape(near.sum(), -1, rows).all(axis=2).argmax(axis=1)
+                    for j in right[near][first == at_band[i]]:
+                        x, y = root(int(comp[i])), root(int(comp[j]))
+                        if x == y:
+                            continue
+                        common = _common(sets[i], sets[j])
+                        if 100 * common >= threshold_pct * (len(sets[i]) + len(sets[j]) - common):
+                            parent[max(x, y)] = min(x, y)
+                            out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -248,7 +274,7 @@ def near_duplicates(
             F.xxhash64(F.lit(i), F.substring("sk", i * size + 1, size)) for i in range(coords // rows)
         ]
     )
-    bands = scratch.cut(reps.select(F.col("rep").alias("id"), F.explode(parts).alias("band")), "bands")
+    bands = scratch.cut(reps.select(F.col("rep").alias("id"), F.posexplode(parts).alias("at", "band")), "bands")
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     hubs = scratch.cut(hubs, "hubs")
     stars = bands.join(hubs, "band")
@@ -265,7 +291,7 @@ def near_duplicates(
         return df.join(c, col, "left").withColumn(name, F.coalesce("_c", col)).drop("_c")
 
     hub_comp = in_component(hubs, "hub", "main")
-    members = in_component(stars.filter("members > 2").select("band", "id"), "id", "comp")
+    members = in_component(stars.filter("members > 2").select("band", "at", "id"), "id", "comp")
     members = members.join(hub_comp.filter("members > 2"), "band").filter("id <> hub")
     open_ = (
         members.groupBy("band")
@@ -273,33 +299,25 @@ def near_duplicates(
         .filter("others > 0 and rest > 1")
     )
     members = scratch.cut(members.drop("members").join(open_, "band"), "open")
-    small = members.filter(F.col("rest") <= SMALL_BUCKET).select("band", "id", "comp")
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, "band").filter("x.id < y.id and x.comp <> y.comp").select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")
-    )
-    large = members.filter(F.col("rest") > SMALL_BUCKET)
-    if not large.isEmpty():
-        large = large.join(reps.select(F.col("rep").alias("id"), "sk"), "id")
-        other = F.col("comp") != F.col("main")
-        lefts = F.ceil(F.col("others") / BLOCK).cast("int")
-        rights = F.ceil(F.col("rest") / BLOCK).cast("int")
-        mine = F.xxhash64("id")
-        cols = ["band", "id", "comp", "sk"]
-        left = large.filter(other).select(
-            *cols, F.lit(0).alias("side"), F.pmod(mine, lefts).alias("i"),
-            F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"),
-        )
-        right = large.select(
-            *cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"),
-            F.pmod(mine, rights).alias("j"),
-        )
-        blocks = left.withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int"))
-        blocks = blocks.unionByName(right.withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int")))
-        pairs = pairs.unionByName(
-            blocks.groupBy("band", "i", "j").applyInArrow(_agreeing(threshold_pct / 100 - SLACK, coords), "a long, b long")
-        )
-    more = _confirm(pairs.distinct(), reps, narrow, scratch, threshold_pct, words, coords)
+    ids = members.select("id").distinct()
+    sets = _shingles(narrow, scratch.cut(ids, "open-ids"), words, scratch)
+    held = members.join(reps.select(F.col("rep").alias("id"), "sk"), "id").join(sets, "id")
+    lefts = F.ceil(F.col("others") / BLOCK).cast("int")
+    rights = F.ceil(F.col("rest") / BLOCK).cast("int")
+    group = F.when((lefts > 1) | (rights > 1), F.col("band"))
+    group = F.coalesce(group, F.pmod("band", F.lit(max(1, members.count() // GROUP))))  # small buckets share a group
+    mine = F.xxhash64("id")
+    cols = [group.alias("group"), "band", "at", "id", "comp", "sk", "hashes"]
+    left = held.filter(F.col("comp") != F.col("main")).select(
+        *cols, F.lit(0).alias("side"), F.pmod(mine, lefts).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"),
+    )
+    right = held.select(
+        *cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"),
+        F.pmod(mine, rights).cast("int").alias("j"),
+    )
+    blocks = left.unionByName(right).groupBy("group", "i", "j")
+    more = scratch.cut(blocks.applyInArrow(_forest(threshold_pct, coords, rows), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         contracted = in_component(in_component(more, "a", "ca"), "b", "cb").select(
             F.col("ca").alias("a"), F.col("cb").alias("b")
@@ -337,9 +355,7 @@ def _confirm(
     ids = scratch.cut(
         pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
     )
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = narrow.join(wanted, "id").mapInArrow(_sets(words), "id long, hashes binary")
-    sets = scratch.cut(sets.dropDuplicates(["id"]), "sets")
+    sets = _shingles(narrow, ids, words, scratch)
     tested = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a"
     )
@@ -350,6 +366,13 @@ def _confirm(
     return links
 
 
+def _shingles(narrow: DataFrame, ids: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """``(id, hashes)``: the shingle sets of the documents in ``ids``."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = narrow.join(wanted, "id").mapInArrow(_sets(words), "id long, hashes binary")
+    return scratch.cut(sets.dropDuplicates(["id"]), "sets")
+
+
 def _likely(agree: float, coords: int):
     def run(batches):
         for batch in batches:
