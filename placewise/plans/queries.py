@@ -34,6 +34,8 @@ def query(f):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, so that engines that sum in other orders agree."""
+    if "block_dwellings" in df.columns:
+        df = df.withColumn("block_dwellings", F.col("block_dwellings").cast("double"))
     return df.select(*[F.bround(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -504,6 +506,7 @@ def freshness_rows(t):
     layers = freshness.layer_freshness(t.layer_state, pulled_of(t))
     newest = t.events.groupBy(F.concat(F.lit("store"), (F.col("user_id") % 7).cast("string")).alias("store")).agg(F.min("ts").alias("newest_call"))
     out = freshness.freshness(layers, newest, NOW)
+    out = out.withColumn("seconds_overdue", F.col("seconds_overdue").cast("double"))
     return rounded(out.withColumn("newest_call", C.utc_iso(F.col("newest_call"))).drop("loaded", "layers"))
 
 
