@@ -8,12 +8,13 @@ committed and forgotten. Characters without a piece become their UTF-8 bytes whe
 The scores are the model file's own. A model of the BPE type stores merge ranks there, so its ids are the
 best-scoring segmentation of its vocabulary, not those of its merge procedure; decoding gives the text back.
 
-Counting inserts the distinct pre-tokens (a text cut before each run of word marks) of a batch in a trie and
+Counting inserts the distinct pre-tokens (a text cut where no piece goes on) of a batch in a trie and
 computes the forward scores once per shared prefix; a terminal holds its number of tokens.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 400_000
-TRIE_NODES = 400_000
+MEMO = 600_000
+TRIE_NODES = 600_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -111,6 +112,11 @@ class Vocabulary:
         self.memo: dict[str, tuple[int, ...]] = {}
         inner = {p for p in self.pieces if MARK in p.lstrip(MARK)}
         self.splits_at_marks = not inner  # no piece goes on past a mark after other characters
+        pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        letters = [c for c in "abcdefghijklmnopqrstuvwxyz" if c + "." not in pairs and c + "," not in pairs]
+        #: Before a stop or comma after these letters no piece goes on either, nor on any side of a line end.
+        self.stop = re.compile(f"(?<=[{''.join(letters)}])([.,])") if letters else None
+        self.splits_at_lines = not any("\n" in p for p in self.pieces)
 
     def one(self, char: str) -> list[int]:
         """A character without a piece."""
@@ -201,17 +207,31 @@ def cut_words(text: str) -> list[str]:
     return out
 
 
+CUT = "\ue000"
+_SPACE = re.compile("(?<! ) ")
+
+
+def pretokens(text: str | None, vocab: Vocabulary) -> list[str]:
+    """A normalised text, cut where no piece goes on: before runs of marks, before stops, at line ends."""
+    if not text:
+        return []
+    if CUT in text or MARK in text or text[0] == " " or not (vocab.stop and vocab.splits_at_lines):
+        return cut_words(normalised(text))
+    text = vocab.stop.sub(CUT + r"\1", text).replace("\n", CUT + "\n" + CUT)
+    text = _SPACE.sub(CUT + " ", text) if "  " in text else text.replace(" ", CUT + " ")
+    return (MARK + text.replace(" ", MARK)).split(CUT)
+
+
 def encode(text: str | None, vocab: Vocabulary) -> list[int]:
     """Ids of a whole text; a null or empty one has none.
 
-    No piece of such a vocabulary spans the place before a mark, so all paths meet there and the search of a
-    pre-token depends on nothing around it; those met before come from a table of bounded size.
+    All paths meet where no piece goes on, so the search of a pre-token depends on nothing around it; those met
+    before come from a table of bounded size.
     """
-    chars = normalised(text or "")
     if not vocab.splits_at_marks:
-        return [i for run in stream_encode(chars, vocab) for i in run]
+        return [i for run in stream_encode(normalised(text or ""), vocab) for i in run]
     memo, out = vocab.memo, []
-    for word in cut_words(chars):
+    for word in pretokens(text, vocab):
         ids = memo.get(word)
         if ids is None:
             if len(memo) > MEMO:
@@ -344,12 +364,13 @@ class CountingTrie:
         return node[2]
 
     def tokens(self, word: str) -> int:
-        """The terminal count of a pre-token; a full trie starts anew."""
+        """The terminal count of a pre-token; a full trie starts anew, and so do terminal counts when full."""
         n = self.counts.get(word)
         if n is None:
             if self.nodes > TRIE_NODES:
-                self.counts.clear()
                 self.root, self.nodes = ({}, 0.0, 0, ()), 1
+            if len(self.counts) > MEMO:
+                self.counts.clear()
             n = self.counts[word] = self.insert(word) if len(word) <= 4096 else len(
                 [i for run in stream_encode(word, self.vocab) for i in run]
             )
@@ -381,7 +402,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         if not trie.vocab.splits_at_marks:
             raise ValueError("pieces of this vocabulary span pre-tokens")
         for batch in batches:
-            words = [cut_words(normalised(t or "")) for t in batch.column(1).to_pylist()]
+            words = [pretokens(t, trie.vocab) for t in batch.column(1).to_pylist()]
             for word in set().union(*words) if words else ():
                 trie.tokens(word)
             n = []
@@ -393,7 +414,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     total += trie.tokens(w) if k is None else k
                 n.append(total)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([len(w) for w in words], pa.int64())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array([sum(map(bool, w)) for w in words], pa.int64())],
                 names=[id_col, "n_tokens", "n_pretokens"],
             )
 
