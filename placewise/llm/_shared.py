@@ -67,3 +67,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def held_out(id_col) -> Column:
     """crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+ROWS_AT_ONCE = 512
+BROADCAST_ROWS = 1_000_000
+
+
+def slices(batches, rows: int = ROWS_AT_ONCE):
+    """Arrow batches of fewer rows, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if its rows, of a few numbers each, are counted to be few; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, slices, small
 
 WORDS = 5
 COORDS = 128
+WORD_TABLE = 150_000
 ROWS = 4
 #: Candidates may agree in this much less of their coordinates than the threshold: over four standard deviations.
 SLACK = 0.15
 BLOCK = 512
 GROUP = 1000
-BROADCAST_IDS = 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +61,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     get = _words.get
     out = [get(w) for w in words]
     if None in out:
-        if len(_words) > 400_000:
+        if len(_words) > WORD_TABLE:
             _words.clear()
         for i, h in enumerate(out):
             if h is None:
@@ -111,7 +111,7 @@ def sketch(hashes: np.ndarray, coords: int = COORDS) -> np.ndarray:
 
 def _sketched(words: int, coords: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n, key, sk = [], [], []
             for t in texts:
@@ -129,7 +129,7 @@ def _sketched(words: int, coords: int):
 
 def _sets(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
@@ -368,8 +368,7 @@ def _confirm(
 
 def _shingles(narrow: DataFrame, ids: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """``(id, hashes)``: the shingle sets of the documents in ``ids``."""
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = narrow.join(wanted, "id").mapInArrow(_sets(words), "id long, hashes binary")
+    sets = narrow.join(small(ids), "id").mapInArrow(_sets(words), "id long, hashes binary")
     return scratch.cut(sets.dropDuplicates(["id"]), "sets")
 
 

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Scratch
+from ._shared import Scratch, slices
 
 CAPACITY = 2048
 END_ID = 0
-MEMO = 600_000
+MEMO = 300_000
 MARK = "\x01"
 WORDS_A_CALL = 5_000
 SALTED_ROWS = 50_000
@@ -100,7 +100,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[], [], [], [], []]
             for i, ids in zip(batch.column(0).to_pylist(), tok.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += END_ID.to_bytes(4, "little")

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._shared import slices
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 600_000
-TRIE_NODES = 600_000
+MEMO = 400_000
+TRIE_NODES = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -274,7 +276,7 @@ def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_c
 
     def run(batches):
         vocab = vocabulary(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(t, vocab) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*keep, as_col])
 
@@ -289,7 +291,7 @@ def decode_column(rows: DataFrame, model_path: str, ids_col: str = "ids", as_col
 
     def run(batches):
         vocab = vocabulary(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [decode(i or (), vocab) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, as_col])
 
@@ -302,7 +304,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         vocab = vocabulary(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             n, crc, exact = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encode(text, vocab)
@@ -401,7 +403,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         trie = _trie(model_path)
         if not trie.vocab.splits_at_marks:
             raise ValueError("pieces of this vocabulary span pre-tokens")
-        for batch in batches:
+        for batch in slices(batches):
             words = [pretokens(t, trie.vocab) for t in batch.column(1).to_pylist()]
             for word in set().union(*words) if words else ():
                 trie.tokens(word)

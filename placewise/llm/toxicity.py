@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import slices
+
 ORDERS = (3, 4, 5)
 BITS = 18
 MAX_PER_CLASS = 2500
 MAX_FEATURES = 4_000
 MIN_DOCS = 4
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -73,7 +75,7 @@ def _counts(batches):
     """Document counts of features by class, one row per feature seen in the partition."""
     total = np.zeros((2, 1 << BITS), np.int64)
     seen = np.zeros(1 << BITS, bool)
-    for batch in batches:
+    for batch in slices(batches):
         labels = batch.column(1).to_pylist()
         for start, lengths, data in _chunks(_texts(batch.column(0))):
             found = list(_buckets(data))
@@ -153,7 +155,7 @@ def fit(
 
     def features(batches):
         marked = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             texts = _texts(batch.column(0))
             row, feat = feature_rows(texts, marked)
             at = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -218,7 +220,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", as_col:
 
     def run(batches):
         m = ToxicityModel(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             s = m.score(_texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*keep, as_col])
 
