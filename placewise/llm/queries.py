@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, hamming, near_dedup, packing, secrets, sentencepiece, toxicity, urls, warc
-from ._shared import held_out, table
+from ._shared import held_out, small, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,7 +22,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     """Fitted to the labelled documents that are not held out."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_labelled"), F.col("toxic").alias("_toxic"))
     train = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    train = train.join(labels, F.col("doc_id") == F.col("_labelled"))
+    train = train.join(small(labels), F.col("doc_id") == F.col("_labelled"))
     return toxicity.fit(train, label_col="_toxic", key=F.col("doc_id"))
 
 
