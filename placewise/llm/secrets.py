@@ -108,8 +108,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     rows = scratch.cut(rows, "spans")
 
     # Texts with weak candidates: a text is known by its digest, so rows that repeat it are linked once.
-    open_ = rows.filter("size(_weak) > 0 and size(_access) > 0")
-    open_ = open_.groupBy("_sha").agg(F.first(F.struct("_assign", "_access", "_weak")).alias("p"))
+    has_parts = F.coalesce((F.size("_weak") > 0) & (F.size("_access") > 0), F.lit(False))
+    open_ = rows.filter(has_parts).groupBy("_sha").agg(F.first(F.struct("_assign", "_access", "_weak")).alias("p"))
     parts = open_.select("_sha", F.inline(F.concat("p._assign", "p._access", "p._weak")))
     near = Window.partitionBy("_sha").orderBy("start").rangeBetween(-SCOPE, SCOPE)
 
@@ -121,7 +121,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         .filter((F.col("kind") == "key") & F.col("ids") | (F.col("kind") == "endpoint") & F.col("ids") & F.col("secrets"))
         .groupBy("_sha").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_linked"))
     )
-    out = rows.join(linked, "_sha", "left")
+    # Only rows with parts are joined; the others, with the texts that they carry, stay where they are.
+    out = rows.filter(has_parts).join(linked, "_sha", "left").unionByName(
+        rows.filter(~has_parts).withColumn("_linked", F.lit(None).cast(_SPANS))
+    )
     base = F.concat("_assign", "_access", "_hex")
     found = F.concat(base, F.coalesce("_linked", F.array().cast(_SPANS)))
     return out.select(
