@@ -65,18 +65,20 @@ def _partition(
 ) -> DataFrame:
     """Rows with ``_id``, ``_carry``, ``_sha`` and, of their final group, ``_n`` and ``_keep``."""
     scratch = Scratch(docs.sparkSession, "exact")
-    whole = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    carried = carry.index(text_col) if text_col in carry else None
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     rows = docs.select(
         docs[id_col].alias("_id"),
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("_")).alias("_carry"),
-        F.sha2(whole, 256).alias("_sha"),
+        F.sha2(text, 256).alias("_sha"),
         F.lit(0).cast("long").alias("_group"),
-        whole.alias("_rest"),
+        (text if carried is None else F.lit(None).cast("binary")).alias("_text"),  # a carried text is not held twice
     )
+    whole = F.col("_text") if carried is None else F.coalesce(F.col(f"_carry.c{carried}"), F.lit("")).cast("binary")
     done: list[DataFrame] = []
-    width = first_width
+    at, width = 0, first_width
     while True:
-        digit = F.substring("_rest", 1, width)
+        digit = F.substring(whole, at + 1, width)
         counts = (
             rows.groupBy("_group", digit.alias("_digit"))
             .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep"))
@@ -84,6 +86,7 @@ def _partition(
             .withColumn("_next", F.monotonically_increasing_id())
         )
         counts = scratch.cut(counts, "groups")
+        goes_on = F.col("_next").isNotNull() & (F.octet_length("_digit") == width)
         split = (
             rows.withColumn("_digit", digit)
             .join(counts.hint("merge"), ["_group", "_digit"], "left")
@@ -93,21 +96,17 @@ def _partition(
                 "_sha",
                 F.coalesce("_n", F.lit(1)).cast("long").alias("_n"),
                 F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"),
-                F.when(F.octet_length("_digit") == width, F.col("_next")).alias("_next"),
-                F.when(
-                    F.col("_next").isNotNull() & (F.octet_length("_digit") == width),
-                    F.expr(f"substring(_rest, {width + 1})"),
-                ).alias("_rest"),
+                F.when(goes_on, F.col("_next")).alias("_next"),
+                F.when(goes_on, F.col("_text")).alias("_text"),
             )
         )
         split = scratch.cut(split, "split")
         scratch.drop(counts)
         done.append(split.filter("_next is null").select("_id", "_carry", "_sha", "_n", "_keep"))
-        rows = split.filter("_next is not null").select(
-            "_id", "_carry", "_sha", F.col("_next").alias("_group"), "_rest"
-        )
+        rows = split.filter("_next is not null").select("_id", "_carry", "_sha", F.col("_next").alias("_group"), "_text")
         if rows.isEmpty():
             break
+        at += width
         width = min(width * growth, MAX_WIDTH)
     out = done[0]
     for part in done[1:]:
