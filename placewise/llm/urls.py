@@ -61,28 +61,34 @@ def windows_of(text: Column, order: int = ORDER) -> Column:
 
 
 def window_scores(counts: DataFrame, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:
-    """``(w, gain)`` for each distinct window of ``counts(w, n_allow, n_block)``, seen in training or not."""
+    """``(w, gain)`` for each distinct window of ``counts(w, n_allow, n_block)``, seen in training or not.
+
+    Orders go from the shortest to the longest: each gram takes the probability of its suffix, so a row of an
+    order is joined once and the plan grows with the orders alone.
+    """
     sides = ("allow", "block")
-    scored = counts
-    for side in sides:
-        scored = scored.withColumn(f"p_{side}", F.lit(1.0 / alphabet))
+    shorter = None
     for k in range(order + 1):
-        suffix = F.substring("w", order + 1 - k, k + 1)  # the context of k characters and the character
-        grams = scored.groupBy(suffix.alias("g")).agg(
-            F.sum("n_allow").alias("c_allow"), F.sum("n_block").alias("c_block")
+        grams = counts.groupBy(F.substring("w", order + 1 - k, k + 1).alias("g")).agg(
+            *[F.sum(f"n_{s}").alias(f"c_{s}") for s in sides]
         )
-        grams = grams.withColumn("ctx", F.substring("g", 1, k))
+        grams = grams.withColumn("ctx", F.substring("g", 1, k))  # the context of k characters before the last one
         contexts = grams.groupBy("ctx").agg(
             *[F.sum(f"c_{s}").alias(f"t_{s}") for s in sides],
             *[F.count_if(F.col(f"c_{s}") > 0).alias(f"d_{s}") for s in sides],
         )
-        grams = grams.join(contexts, "ctx").drop("ctx")
-        scored = scored.withColumn("g", suffix).join(grams, "g").drop("g")
+        scored = grams.join(contexts, "ctx").drop("ctx")
+        if shorter is None:
+            scored = scored.withColumns({f"p_{s}": F.lit(1.0 / alphabet) for s in sides})
+        else:
+            scored = scored.withColumn("suffix", F.substring("g", 2, k)).join(shorter, "suffix")
+        p = {}
         for s in sides:
             mixed = (F.col(f"c_{s}") + F.col(f"d_{s}") * F.col(f"p_{s}")) / (F.col(f"t_{s}") + F.col(f"d_{s}"))
-            scored = scored.withColumn(f"p_{s}", F.when(F.col(f"t_{s}") > 0, mixed).otherwise(F.col(f"p_{s}")))
-        scored = scored.select("w", *[f"n_{s}" for s in sides], *[f"p_{s}" for s in sides])
-    return scored.select("w", (F.log("p_allow") - F.log("p_block")).alias("gain"))
+            p[s] = F.when(F.col(f"t_{s}") > 0, mixed).otherwise(F.col(f"p_{s}")).alias(f"p_{s}")
+        scored = scored.select("g", *p.values())
+        shorter = scored.withColumnRenamed("g", "suffix")
+    return scored.select(F.col("g").alias("w"), (F.log("p_allow") - F.log("p_block")).alias("gain"))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
