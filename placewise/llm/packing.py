@@ -25,9 +25,9 @@ from ._shared import Scratch, slices
 
 CAPACITY = 2048
 END_ID = 0
-MEMO = 300_000
+MEMO = 600_000
 MARK = "\x01"
-WORDS_A_CALL = 5_000
+WORDS_A_CALL = 500
 SALTED_ROWS = 50_000
 LEAST_SALTS = 256
 TRIPLES_PER_LENGTH = 12
@@ -78,10 +78,10 @@ class WordTokenizer:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for ws in words for w in ws if w not in memo})
+        new = list(set().union(*words).difference(memo))
         if new:
             self._learn(new)
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+        return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
 @lru_cache(maxsize=2)
