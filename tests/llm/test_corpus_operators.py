@@ -277,6 +277,24 @@ def test_top_k_equals_brute_force(spark):
     assert hamming.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_with_hot_keys_and_two_words(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "HOT_KEY", 3)
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=100)
+    vecs = []
+    for i in range(60):
+        v = base.copy()
+        v[rnd.choice(100, i % 4, replace=False)] *= -1
+        vecs.append((v if i % 3 else rnd.normal(size=100)).tolist())
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in hamming.top_k(df, F.col("vec_id") % 10 == 0, k=5, dims=100).collect():
+        got.setdefault(r.vec_id, []).append((r.distance, r.neighbor_id))
+    bits = np.array(vecs) > 0
+    for q in range(0, 60, 10):
+        assert sorted(got[q]) == sorted((int((bits[q] != bits[i]).sum()), i) for i in range(60) if i != q)[:5]
+
+
 # WARC
 
 
