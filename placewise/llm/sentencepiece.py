@@ -28,8 +28,9 @@ from ._shared import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 400_000
-TRIE_NODES = 300_000
+#: Words known to a worker, at most: half of them met lately, half before.
+MEMO = 1_200_000
+TRIE_NODES = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -59,6 +60,28 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield key >> 3, value
 
 
+class Recent(dict):
+    """The last of up to ``most`` words with their values, in two halves: a full younger half replaces the older, and
+    a word found in the older one moves to the younger, so that frequent words stay."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half = most // 2
+        self.older: dict = {}
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is not None:
+            self.add(word, value)
+        return value
+
+    def add(self, word, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+
+
 class Vocabulary:
     """Pieces with their ids and scores, read from a model file."""
 
@@ -111,7 +134,7 @@ class Vocabulary:
             old = node[0].get(piece[-1], ({},))
             node[0][piece[-1]] = (old[0], i, score)
         self.has_bytes = min(self.bytes) >= 0
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: Recent = Recent(MEMO)
         inner = {p for p in self.pieces if MARK in p.lstrip(MARK)}
         self.splits_at_marks = not inner  # no piece goes on past a mark after other characters
         pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
@@ -164,7 +187,8 @@ def stream_encode(chars: Iterable[str], vocab: Vocabulary, on_window: Callable[[
         for begin, node in growing:
             child = node[0].get(char)
             if child is not None:
-                still.append((begin, child))
+                if child[0]:
+                    still.append((begin, child))
                 if child[1] >= 0 and best[begin] + child[2] >= score:
                     score, last = best[begin] + child[2], (begin, child[1])
         growing = still
@@ -234,14 +258,12 @@ def encode(text: str | None, vocab: Vocabulary) -> list[int]:
         return [i for run in stream_encode(normalised(text or ""), vocab) for i in run]
     memo, out = vocab.memo, []
     for word in pretokens(text, vocab):
-        ids = memo.get(word)
+        ids = memo[word]
         if ids is None:
-            if len(memo) > MEMO:
-                memo.clear()
             ids = tuple(i for run in stream_encode(word, vocab) for i in run)
             if len(word) <= 64:
-                memo[word] = ids
-        out.extend(ids)
+                memo.add(word, ids)
+        out += ids
     return out
 
 
@@ -341,7 +363,7 @@ class CountingTrie:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.counts: dict[str, int] = {}
+        self.counts: Recent = Recent(MEMO)
         self.root: tuple = ({}, 0.0, 0, ())
         self.nodes = 1
 
@@ -355,7 +377,8 @@ class CountingTrie:
                 for before, k, piece in (*node[3], (node[1], node[2], vocab.root)):
                     longer = piece[0].get(char)
                     if longer is not None:
-                        still.append((before, k, longer))
+                        if longer[0]:
+                            still.append((before, k, longer))
                         if longer[1] >= 0 and before + longer[2] >= score:
                             score, tokens = before + longer[2], k + 1
                 if tokens < 0:
@@ -366,16 +389,13 @@ class CountingTrie:
         return node[2]
 
     def tokens(self, word: str) -> int:
-        """The terminal count of a pre-token; a full trie starts anew, and so do terminal counts when full."""
-        n = self.counts.get(word)
+        """The terminal count of a pre-token; a full trie starts anew."""
+        n = self.counts[word]
         if n is None:
             if self.nodes > TRIE_NODES:
                 self.root, self.nodes = ({}, 0.0, 0, ()), 1
-            if len(self.counts) > MEMO:
-                self.counts.clear()
-            n = self.counts[word] = self.insert(word) if len(word) <= 4096 else len(
-                [i for run in stream_encode(word, self.vocab) for i in run]
-            )
+            n = self.insert(word) if len(word) <= 4096 else len([i for run in stream_encode(word, self.vocab) for i in run])
+            self.counts.add(word, n)
         return n
 
 
@@ -409,10 +429,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 trie.tokens(word)
             n = []
             for ws in words:
-                known = trie.counts.get
-                total = 0
+                known, total = trie.counts, 0
                 for w in ws:
-                    k = known(w)
+                    k = known[w]
                     total += trie.tokens(w) if k is None else k
                 n.append(total)
             yield pa.RecordBatch.from_arrays(
