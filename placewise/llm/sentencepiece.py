@@ -14,6 +14,7 @@ computes the forward scores once per shared prefix; a terminal holds its number
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -420,6 +421,16 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     )
 
     def run(batches):
+        # The trie has no cycles; the collector would only walk its nodes again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from counted(batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def counted(batches):
         trie = _trie(model_path)
         if not trie.vocab.splits_at_marks:
             raise ValueError("pieces of this vocabulary span pre-tokens")
