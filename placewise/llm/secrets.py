@@ -4,12 +4,12 @@ Base kinds are found by pattern in each whole text. A span's place is known with
 matches of a pattern and the pieces that splitting by it leaves alternate, so running sums of their lengths
 give starts and ends in code points.
 
-Linking. An access identifier, a secret and an endpoint that stand in one scope (``SCOPE`` code points) make a
-credential. Identifiers are base ``access`` spans; weak secrets (``key``) are runs of 32 to 64 base64
-characters and weak endpoints (``endpoint``) are http(s) addresses or cloud host names. Weak candidates are
+Linking. An access identifier, a secret and an endpoint that stand in one scope (``SCOPE`` code points
+between the end of one and the start of the next) make a credential. Identifiers are base ``access`` spans; weak
+secrets (``key``) are runs of 32 or more base64 characters, also right after ``=`` as in env files, and weak endpoints (``endpoint``) are http(s) addresses or cloud host names. Weak candidates are
 reported only where complementary parts co-occur: a key with an identifier in scope; an endpoint with both an
-identifier and a secret (a key or a base ``assign`` span) in scope. Parts are joined with the intervals of
-their text by a range-framed window over starts, so no pairs of parts are made.
+identifier and a secret (a key or a base ``assign`` span) in scope. The nearest end
+before a part and the nearest start after it come from running windows over starts, so no pairs of parts are made.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 
-KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"
+KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?://[A-Za-z0-9./:_-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
 SCOPE = 256
 
@@ -111,10 +111,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     has_parts = F.coalesce((F.size("_weak") > 0) & (F.size("_access") > 0), F.lit(False))
     open_ = rows.filter(has_parts).groupBy("_sha").agg(F.first(F.struct("_assign", "_access", "_weak")).alias("p"))
     parts = open_.select("_sha", F.inline(F.concat("p._assign", "p._access", "p._weak")))
-    near = Window.partitionBy("_sha").orderBy("start").rangeBetween(-SCOPE, SCOPE)
+    before = Window.partitionBy("_sha").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_sha").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
 
     def some(*wanted: str) -> Column:
-        return F.max(F.col("kind").isin(*wanted)).over(near)
+        is_one = F.col("kind").isin(*wanted)
+        last, first = F.max(F.when(is_one, F.col("end"))).over(before), F.min(F.when(is_one, F.col("start"))).over(after)
+        return F.coalesce(last >= F.col("start") - SCOPE, F.lit(False)) | F.coalesce(first <= F.col("end") + SCOPE, F.lit(False))
 
     linked = (
         parts.select("*", some("access").alias("ids"), some("key", "assign").alias("secrets"))
