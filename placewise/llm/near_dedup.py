@@ -12,12 +12,11 @@ smallest one; what that links needs no further test. Members of a bucket that ar
 components are then tested with each other in blocks of bounded size, which return a spanning forest of the
 links that they verify, so no step emits a bucket's pairs. No candidate is dropped by a cap.
 
-Verification. Shingle sets of the candidates' whole texts are built again and intersected; the share of
-agreeing coordinates only spares candidates that are far below the threshold.
+Verification. Shingle sets of the candidates' whole texts are built again and intersected. Only candidates
+whose set sizes alone rule a link out, as the intersection is at most the smaller set, are spared the check.
 
-With 32 bands of 4, a pair at similarity 0.85 is no candidate with probability below 1e-10 (at 0.80, below
-1e-7); a pair at the threshold has fewer than threshold - 0.15 of its 128 coordinates equal with probability
-of the order of 1e-6.
+So the bands alone can miss a pair: with 32 bands of 4, a pair at similarity 0.85 is no candidate with
+probability (1 - 0.85^4)^32, below 1e-10 (at 0.80, below 1e-7).
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ WORDS = 5
 COORDS = 128
 WORD_TABLE = 150_000
 ROWS = 4
-#: Candidates may agree in this much less of their coordinates than the threshold: over four standard deviations.
-SLACK = 0.15
 BLOCK = 512
 GROUP = 1000
 
@@ -152,6 +149,11 @@ def _linked(threshold_pct: int):
     return run
 
 
+def _may_link(n, m, threshold_pct: int):
+    """Whether sets of these sizes can be linked: their intersection is at most the smaller, their union at least the larger."""
+    return 100 * np.minimum(n, m) >= threshold_pct * np.maximum(n, m)
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(a) or not len(b):
@@ -164,10 +166,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _forest(threshold_pct: int, coords: int, rows: int):
     """Of the buckets in a group: links between left and right members of different components.
 
-    Pairs whose sketches agree enough are verified on full sets in the first band they share; of the links
-    found, a spanning forest is returned, so the rows returned are fewer than the members.
+    Pairs are verified on full sets in the first band they share; of the links found, a spanning forest is
+    returned, so the rows returned are fewer than the members.
     """
-    least = (threshold_pct / 100 - SLACK) * coords
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("band")
@@ -175,6 +176,7 @@ def _forest(threshold_pct: int, coords: int, rows: int):
         ids, comp, at_band = table["id"].to_numpy(), table["comp"].to_numpy(), table["at"].to_numpy()
         sk = np.frombuffer(b"".join(table["sk"].to_pylist()), np.uint32).reshape(-1, coords)
         sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        sizes = np.array([len(h) for h in sets], np.int64)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -189,11 +191,10 @@ def _forest(threshold_pct: int, coords: int, rows: int):
             part = np.arange(lo, hi)
             right = part[side[part] == 1]
             for i in part[side[part] == 0]:
-                equal = sk[right] == sk[i]
-                near = (equal.sum(axis=1) >= least) & (comp[right] != comp[i])
-                if near.any():
-                    first = equal[near].reshape(near.sum(), -1, rows).all(axis=2).argmax(axis=1)
-                    for j in right[near][first == at_band[i]]:
+                near = right[_may_link(sizes[right], sizes[i], threshold_pct) & (comp[right] != comp[i])]
+                if len(near):
+                    first = (sk[near] == sk[i]).reshape(len(near), -1, rows).all(axis=2).argmax(axis=1)
+                    for j in near[first == at_band[i]]:
                         x, y = root(int(comp[i])), root(int(comp[j]))
                         if x == y:
                             continue
@@ -264,7 +265,7 @@ def near_duplicates(
     classes = (
         s.filter("id is not null and key is not null")
         .groupBy("key")
-        .agg(F.min("id").alias("rep"), F.min_by("sk", "id").alias("sk"))
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sk", "id").alias("sk"))
     )
     reps = scratch.cut(classes, "classes")
 
@@ -281,7 +282,7 @@ def near_duplicates(
     stars = scratch.cut(stars, "stars")
     links = _confirm(
         stars.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
-        reps, narrow, scratch, threshold_pct, words, coords,
+        reps, narrow, scratch, threshold_pct, words,
     )
     comps = scratch.cut(connected_components(links, scratch), "components")
 
@@ -342,16 +343,15 @@ def near_duplicates(
     )
 
 
-def _confirm(
-    pairs: DataFrame, reps: DataFrame, narrow: DataFrame, scratch: Scratch, threshold_pct: int, words: int, coords: int
-) -> DataFrame:
-    """The pairs that hold on full shingle sets; sketches that agree too little spare the check."""
+def _confirm(pairs: DataFrame, reps: DataFrame, narrow: DataFrame, scratch: Scratch, threshold_pct: int, words: int) -> DataFrame:
+    """The pairs that hold on full shingle sets; those whose sizes rule it out need no check."""
+    n, m = F.least("n", "m"), F.greatest("n", "m")
     pairs = scratch.cut(
-        pairs.join(reps.select(F.col("rep").alias("a"), F.col("sk").alias("x")), "a")
-        .join(reps.select(F.col("rep").alias("b"), F.col("sk").alias("y")), "b")
-        .mapInArrow(_likely(threshold_pct / 100 - SLACK, coords), "a long, b long"),
+        pairs.join(reps.select(F.col("rep").alias("a"), "n"), "a")
+        .join(reps.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
+        .filter(100 * n >= threshold_pct * m).select("a", "b"),
         "pairs",
-    )
+    )
     ids = scratch.cut(
         pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
     )
@@ -370,14 +370,3 @@ def _shingles(narrow: DataFrame, ids: DataFrame, words: int, scratch: Scratch) -
     """``(id, hashes)``: the shingle sets of the documents in ``ids``."""
     sets = narrow.join(small(ids), "id").mapInArrow(_sets(words), "id long, hashes binary")
     return scratch.cut(sets.dropDuplicates(["id"]), "sets")
-
-
-def _likely(agree: float, coords: int):
-    def run(batches):
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint32).reshape(-1, coords)
-            y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.uint32).reshape(-1, coords)
-            keep = np.flatnonzero((x == y).sum(axis=1) >= agree * coords)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return run
