@@ -5,7 +5,7 @@ set gets a variable-order Markov model: the probability of a character after a c
 characters interpolates the longest context with the next shorter one by Witten and Bell's smoothing,
 ``P(c | ctx) = (n(ctx, c) + d(ctx) * P(c | shorter ctx)) / (n(ctx) + d(ctx))`` with ``d`` the number of distinct
 characters seen after the context, down to a uniform distribution over ``ALPHABET`` characters. A URL's score
-is the mean over its characters of ``log P_accepted - log P_rejected``. The threshold is calibrated on the
+is the mean over the characters of all of it, scheme, query and fragment included, of ``log P_accepted - log P_rejected``. The threshold is calibrated on the
 training URLs: halfway between the mean scores of the two sets.
 
 Probabilities are computed once for each distinct window of ``order`` + 1 characters, and windows are counted
@@ -95,7 +95,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     """The input's columns and ``host``, ``path``, ``rule``, ``verdict`` (which hide columns of these names).
 
     The verdict is the longest fitting rule's, else ``allow`` where the score reaches the threshold, else
-    ``block``. A null URL or one without ``://`` has an empty host and path and no rule; an empty string scores 0.
+    ``block``. The score takes the whole URL as it is written; host and path serve the rules and the output. A null
+    URL or one without ``://`` has an empty host and path and no rule; a null or empty URL scores 0.
     Without training URLs of both kinds, the threshold is 0 for want of calibration.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -103,7 +104,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     url = pages[url_col]
     rows = pages.select(
         *[pages[c] for c in base], host_of(url).alias("host"), path_of(url).alias("path"),
-        F.concat(host_of(url), path_of(url)).alias("_text"),
+        F.coalesce(url, F.lit("")).alias("_text"),
     )
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
 
@@ -111,7 +112,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
         F.count_if(F.col("_rule.verdict") == "allow").alias("allow"),
         F.count_if(F.col("_rule.verdict") == "block").alias("block"),
     )
-    texts = scratch.cut(texts.filter("_text <> ''"), "texts")  # distinct host and path, with their training weight
+    texts = scratch.cut(texts.filter("_text <> ''"), "texts")  # distinct URLs, with their training weight
     seen = texts.select("_text", "allow", "block", F.explode(windows_of(F.col("_text"), order)).alias("w"))
     counts = seen.groupBy("w").agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block"))
     gains = scratch.cut(window_scores(scratch.cut(counts, "windows"), order), "gains")
@@ -135,7 +136,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
 
 
 def oracle_sql(rules=RULES, order: int = ORDER, alphabet: int = ALPHABET) -> str:
-    """The same in DuckDB SQL, for a ``pages`` table."""
+    """The same in DuckDB SQL, for a ``pages`` table, but with models of host and path alone."""
     fits = "\n".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}:{v}'"
         for h, p, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
