@@ -15,7 +15,7 @@ from .adapter import Inputs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KIND = "canonical_type"
 NOW = "2024-02-20 12:00:00"
-SHORT = 200  # bootstrap replicates of the registered queries
+SHORT = 200  # bootstrap replicates of the SQL twins; the queries draw figures.REPLICATES
 CUTOFFS = ("1998-01-01", "1999-06-01", "2001-06-01")
 DOOR = ["rank", "address", "calls_12mo", "calls_total", "district", "community", "owner", "tows", "tow_rate", "vehicles_seen", "vehicles_distinct",
         "repeat_calls", "median_gap_days", "last_call", "street", "block", "block_dwellings", "lat", "lon"]
@@ -152,17 +152,17 @@ def wald_interval(t):
 
 @query
 def cluster_bootstrap(t):
-    return rounded(figures.cluster_bootstrap(type_tallies(t), [KIND], SHORT))
+    return rounded(figures.cluster_bootstrap(type_tallies(t), [KIND]))
 
 
 @query
 def effect_bound(t):
-    return figures.effect_bound(type_tallies(t), [KIND], SHORT)
+    return figures.effect_bound(type_tallies(t), [KIND])
 
 
 @query
 def tow_verdict(t):
-    return figures.tow_verdict(figures.effect_bound(type_tallies(t), [KIND], SHORT)).select(KIND, "tow_verdict")
+    return figures.tow_verdict(figures.effect_bound(type_tallies(t), [KIND])).select(KIND, "tow_verdict")
 
 
 @query
@@ -173,7 +173,7 @@ def vehicle_verdict(t):
 @query
 def type_record(t):
     flags = figures.recurrence_flags(typed(t), by=[KIND])
-    return figures.type_record(flags, places.doorways(typed(t), by=[KIND]), t.dim, SHORT)
+    return figures.type_record(flags, places.doorways(typed(t), by=[KIND]), t.dim)
 
 
 @query
