@@ -2,7 +2,8 @@
 
 Base kinds are found by pattern in each whole text. A span's place is known without row-at-a-time code: the
 matches of a pattern and the pieces that splitting by it leaves alternate, so running sums of their lengths
-give starts and ends in code points.
+give starts and ends in code points. Sums and cuts go over runs of about sqrt(n) items, so a text of very many
+matches costs little more than its length.
 
 Linking. An access identifier, a secret and an endpoint that stand in one scope (``SCOPE`` code points
 between the end of one and the start of the next) make a credential. Identifiers are base ``access`` spans; weak
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Scratch
+from ._shared import Scratch, free_name
 
 #: The kinds in the order of listing, their patterns and least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,41 +35,68 @@ SCOPE = 256
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
-def spans_of(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as structs (start, end, kind); ``keep`` takes a match's number."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m"))
-    )
-    # One pass: each step appends a span that begins after the last one's end.
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often ``then`` uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _runs(items: Column) -> Column:
+    """An array cut into about as many runs as each has items, so that work per run and across runs stays small."""
+    side = lambda a: F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+    last = lambda a, n: F.greatest(F.ceil(F.size(a) / n).cast("int") - 1, F.lit(0))
+    cut = lambda a, n: F.transform(F.sequence(F.lit(0), last(a, n)), lambda r: F.slice(a, r * n + 1, n))
+    return _let(items, lambda a: _let(side(a), lambda n: cut(a, n)))
+
+
+def spans_of(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
+    """Leftmost non-overlapping matches of ``pattern`` as structs (start, end, kind), in order.
+
+    With ``least``, those whose first group is shorter are left out. Places are running sums of the lengths of gaps
+    and matches, taken within runs and then over the runs' totals, so n matches cost n to the power of 1.5 copies
+    of a reference at most, and the patterns are read once per text.
+    """
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"),
+        (F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least else F.array().cast("array<string>")).alias("v"),
+    )
+    lengths = lambda f: F.transform(
+        f["m"],
+        lambda m, i: F.struct(
+            F.char_length(F.get(f["g"], i)).alias("g"), F.char_length(m).alias("m"),
+            (F.char_length(F.get(f["v"], i)) >= least if least else F.lit(True)).alias("keep"),
+        ),
+    )
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
     empty = F.array().cast(_SPANS)
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["m"]).alias("end"), F.lit(kind).alias("kind")
-                    )
-                ),
-            ).alias("out"),
+
+    def within(run: Column) -> Column:
+        """The run's spans, counted from its own beginning, and its length."""
+        return F.aggregate(
+            run,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["g"] + x["m"]).alias("at"),
+                F.when(x["keep"], F.concat(a["out"], F.array(span(a["at"] + x["g"], a["at"] + x["g"] + x["m"])))).otherwise(a["out"]).alias("out"),
+            ),
+        )
+
+    placed = lambda runs: F.aggregate(
+        F.transform(runs, within),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")),
+        lambda a, r: F.struct(
+            (a["at"] + r["at"]).alias("at"),
+            F.concat(a["out"], F.array(F.transform(r["out"], lambda s: span(a["at"] + s["start"], a["at"] + s["end"])))).alias("out"),
         ),
-        lambda a: a["out"],
+        lambda a: F.flatten(a["out"]),
     )
-    if keep is not None:
-        spans = F.filter(spans, lambda s, i: keep(i))
+    spans = _let(found, lambda f: _let(lengths(f), lambda n: placed(_runs(n))))
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The base kinds' spans. Runs of hex digits and of upper-case letters are whole, so their least length is in the pattern."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
     return {
-        "assign": spans_of(text, ASSIGN, "assign", lambda i: F.char_length(F.get(values, i)) >= ASSIGN_LEAST),
+        "assign": spans_of(text, ASSIGN, "assign", ASSIGN_LEAST),
         "access": spans_of(text, ACCESS, "access"),
         "hex": spans_of(text, HEX, "hex"),
     }
@@ -141,35 +169,78 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """The text with each maximal covered stretch replaced by ``mark``; a text without spans stays as it is."""
-    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    merged = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] < a["at"], a["out"]
-            ).otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))).alias("out"),
+    """The text with each maximal covered stretch replaced by ``mark``; a text without spans stays as it is.
+
+    Spans are taken in order by runs: the text is first cut between runs, then each part within its run, so that
+    no cut looks for its place from the beginning of a long text.
+    """
+    pair = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def reach(run: Column) -> Column:
+        """A run's starts with the farthest end before each, and the farthest of all."""
+        return F.aggregate(
+            run,
+            F.struct(F.lit(-1).alias("far"), none.alias("out")),
+            lambda a, s: F.struct(F.greatest(a["far"], s["end"]).alias("far"), F.concat(a["out"], F.array(pair(s["start"], a["far"]))).alias("out")),
+        )
+
+    reached = lambda runs: F.aggregate(
+        F.transform(runs, reach),
+        F.struct(F.lit(-1).alias("far"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out")),
+        lambda a, r: F.struct(
+            F.greatest(a["far"], r["far"]).alias("far"),
+            F.concat(a["out"], F.array(F.transform(r["out"], lambda s: pair(s["start"], F.greatest(a["far"], s["end"]))))).alias("out"),
         ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
+        lambda a: F.struct(F.filter(F.flatten(a["out"]), lambda s: s["start"] > s["end"]).alias("heads"), a["far"].alias("far")),
     )
-    return F.when(F.size(found) > 0, merged).otherwise(text)
+    # A stretch begins beyond every earlier end and goes up to the farthest end before the next one.
+    stretches = lambda spans: _let(_let(_runs(spans), reached), lambda h: F.transform(
+        h["heads"], lambda s, i: pair(s["start"], F.coalesce(F.get(h["heads"], i + 1)["end"], h["far"]))
+    ))
+
+    def cut(run: Column) -> Column:
+        """A run (spans, the text's place it begins at, its part of the text) with its spans replaced."""
+        return F.aggregate(
+            run["spans"],
+            F.struct(run["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], F.array(F.substring(run["part"], a["at"] - run["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
+            ),
+            lambda a: F.array_join(a["out"], ""),
+        )
+
+    ordered = F.array_sort(F.transform(found, lambda s: pair(s["start"], s["end"])))
+    parts = lambda runs: F.transform(
+        runs,
+        lambda spans, i: _let(
+            F.when(i > 0, F.element_at(F.get(runs, F.greatest(i - 1, F.lit(0))), -1)["end"]).otherwise(F.lit(0)),
+            lambda at: F.struct(spans.alias("spans"), at.alias("at"), F.substring(text, at + 1, F.element_at(spans, -1)["end"] - at).alias("part")),
+        ),
+    )
+    last = lambda runs: F.element_at(F.element_at(runs, -1), -1)["end"]
+    made = lambda runs: F.concat(F.array_join(F.transform(parts(runs), cut), ""), F.substring(text, last(runs) + 1, F.char_length(text)))
+    return F.when(F.size(found) > 0, _let(stretches(ordered), lambda m: _let(_runs(m), made))).otherwise(text)
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns with secrets replaced in its texts; ``n_chars``, where it is, counts the new text."""
+    """The input's columns with secrets replaced in its texts; ``n_chars``, where it is, counts the new text.
+
+    A null text stays null and an empty one empty; repeated rows are all kept. An empty table gives no rows.
+    """
     names = docs.columns
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     rows = scan(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}", carry=plain.columns)
-    text = redact(F.col(f"c{names.index(text_col)}"), F.col("found"))
+    new = free_name(rows, "new")
+    rows = rows.withColumn(new, redact(F.col(f"c{names.index(text_col)}"), F.col("found")))
     changed = F.size("found") > 0
     cols = []
     for i, c in enumerate(names):
         col = F.col(f"c{i}")
         if c == text_col:
-            col = text
+            col = F.col(new)
         elif c == "n_chars":
-            col = F.when(changed, F.char_length(text).cast(docs.schema[c].dataType)).otherwise(col)
+            col = F.when(changed, F.char_length(new).cast(docs.schema[c].dataType)).otherwise(col)
         cols.append(col.alias(c))
     return rows.select(*cols)
