@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets one temporary
+    folder, and a cluster an error: its executors share no local folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("placewise.scratch", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("placewise.scratch", spark.conf.get("placewise.scratch", where))
-        where = spark.conf.get("placewise.scratch")
+        spark.conf.set("placewise.scratch", where)
     return where.rstrip("/")
 
 
@@ -29,7 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the table, so that its id stays its own
         self._n = 0
 
     def path(self, label: str) -> str:
@@ -40,12 +42,12 @@ class Scratch:
         path = self.path(label)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
+        self._paths[id(back)] = (back, path)
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self._paths.pop(id(df), None)
+            _, path = self._paths.pop(id(df), (None, None))
             if path:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -83,3 +85,33 @@ def slices(batches, rows: int = ROWS_AT_ONCE):
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if its rows, of a few numbers each, are counted to be few; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+HOT_ROWS = 512
+HOT_KEYS = 100_000
+
+
+def hot_limit(counts: DataFrame, rows: str = "rows") -> tuple[int, bool]:
+    """``(limit, any)``: a key of more rows than ``limit`` is hot; whether there is one.
+
+    The limit is ``HOT_ROWS`` or a ``HOT_KEYS``-th of all rows, whichever is more, so fewer than ``HOT_KEYS`` keys are
+    hot in a table of any size: a proven bound for a broadcast. ``counts`` has a key's number of rows in ``rows``.
+    """
+    total, most = counts.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return limit, most > limit
+
+
+def join_keyed(left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, a written table of one short row per key with the key's ``rows`` in ``left``.
+
+    Rows of hot keys are joined where they lie, to a broadcast of those keys alone; the others are shuffled, so no
+    task gets a large share of one key. ``how`` is inner or left. ``rows`` is not returned.
+    """
+    limit, any_hot = hot_limit(right, rows)
+    cold = right.filter(F.col(rows) <= limit).drop(rows)
+    if not any_hot:
+        return left.join(cold, key, how)
+    hot = right.filter(F.col(rows) > limit).drop(rows)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)

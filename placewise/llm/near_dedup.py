@@ -12,8 +12,10 @@ smallest one; what that links needs no further test. Members of a bucket that ar
 components are then tested with each other in blocks of bounded size, which return a spanning forest of the
 links that they verify, so no step emits a bucket's pairs. No candidate is dropped by a cap.
 
-Verification. Shingle sets of the candidates' whole texts are built again and intersected. Only candidates
-whose set sizes alone rule a link out, as the intersection is at most the smaller set, are spared the check.
+Verification. Shingle sets of the candidates' whole texts are built again and intersected.
+
+Hot keys. A band, a hub or a set that very many rows share is joined where those rows lie or dealt over salts
+(``join_keyed``, ``_confirm``), and blocks are bounded in members and in bytes, so no task holds a group.
 
 So the bands alone can miss a pair: with 32 bands of 4, a pair at similarity 0.85 is no candidate with
 probability (1 - 0.85^4)^32, below 1e-10 (at 0.80, below 1e-7).
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, slices, small
+from ._shared import HOT_ROWS, Scratch, hot_limit, join_keyed, slices, small
 
 WORDS = 5
 COORDS = 128
 WORD_TABLE = 150_000
 ROWS = 4
 BLOCK = 512
+BLOCK_BYTES = 32 << 20
 GROUP = 1000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,26 +112,36 @@ def sketch(hashes: np.ndarray, coords: int = COORDS) -> np.ndarray:
 def _sketched(words: int, coords: int):
     def run(batches):
         for batch in slices(batches):
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
             n, key, sk = [], [], []
-            for t in texts:
+            for t in batch.column(1).to_pylist():
                 s = shingle_set(t, words)
                 n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                key.append(_digest(s) if len(s) else None)
                 sk.append(sketch(s, coords).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary())],
-                names=["id", "n", "key", "sk"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary())],
+                names=["id", "sha", "n", "key", "sk"],
             )
 
     return run
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _sets(words: int):
+    """``(node, hashes)`` of the rows whose set is that of the node; a row that shares its id with another text drops out."""
+
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            nodes, sets = [], []
+            for t, node, key in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "key")), strict=True):
+                s = shingle_set(t, words)
+                if _digest(s) == key:
+                    nodes.append(node)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     return run
 
@@ -217,21 +230,21 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        least = scratch.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("rows")), "least")
+        large = join_keyed(both.filter("b > a"), least, "a").select(F.col("m").alias("a"), "b")
         large = scratch.cut(large.filter("a <> b").distinct(), "large")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
-        small = (
-            small.select(F.col("m").alias("a"), "b")
-            .unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        lower = scratch.cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("rows")), "lower")
+        star = join_keyed(large, lower, "b")
+        star = (
+            star.select(F.col("m").alias("a"), "b")
+            .unionByName(star.select(F.col("m").alias("a"), F.col("a").alias("b")))
             .filter("a <> b")
             .distinct()
         )
-        small = scratch.cut(small, "small")
-        now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(e, large)
-        e = small
+        star = scratch.cut(star, "small")
+        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        scratch.drop(e, least, large, lower)
+        e = star
         if now == before:
             break
         before = now
@@ -250,24 +263,38 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id``, ``kept``.
 
-    Links documents whose shingle sets have 100 * intersection >= threshold_pct * union. A text of fewer
-    than ``words`` words is one shingle; a null text, or one without words, has none and is linked with
-    nothing. ``component_id`` is the smallest id reachable, ``kept`` says that it is the row's own. Rows that
-    share an id are one document for linking and are all kept or not. A null id is linked with nothing and
-    kept, its component null. Ids must be integers. An empty table gives no rows.
+    Links texts whose shingle sets have 100 * intersection >= threshold_pct * union. A text of fewer than ``words``
+    words is one shingle; a null text, or one without words, has none and is linked with nothing. ``component_id``
+    is the smallest id reachable, ``kept`` says that it is the row's own. Rows that repeat id and text are all
+    kept or not; rows that share an id but not the text are linked each by its own text. A null id is linked with
+    nothing and kept, its component null. Ids must be integers. An empty table gives no rows.
     """
+    rows_ = _components(docs, id_col, text_col, threshold_pct, words, coords, rows)
+    return rows_.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 80, words: int = WORDS) -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, with their own columns."""
+    gone = _components(docs, id_col, text_col, threshold_pct, words, COORDS, ROWS).filter("not kept")
+    gone = small(Scratch(docs.sparkSession, "dropped").cut(gone.select("id", "sha").distinct(), "ids"))
+    sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    return docs.join(gone, (docs[id_col].cast("long") == gone["id"]) & (sha == gone["sha"]), "left_anti")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int, words: int, coords: int, rows: int) -> DataFrame:
+    """``(id, sha, n, component, kept)`` for each row; ``sha`` tells the texts of one id apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    s = scratch.cut(
-        narrow.mapInArrow(_sketched(words, coords), "id long, n long, key binary, sk binary"), "sketches"
-    )
+    text = docs[text_col].cast("string")
+    narrow = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"))
+    s = scratch.cut(narrow.mapInArrow(_sketched(words, coords), "id long, sha string, n long, key binary, sk binary"), "sketches")
     classes = (
         s.filter("id is not null and key is not null")
         .groupBy("key")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("sk", "id").alias("sk"))
+        .agg(F.min("id").alias("rep"), F.min_by("sk", "id").alias("sk"), F.first("n").alias("n"), F.count("*").alias("rows"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = scratch.cut(classes, "classes")
+    reps = scratch.cut(classes, "classes")  # nodes are numbered once, as this is written
 
     size = 4 * rows
     parts = F.array(
@@ -275,15 +302,13 @@ def near_duplicates(
             F.xxhash64(F.lit(i), F.substring("sk", i * size + 1, size)) for i in range(coords // rows)
         ]
     )
-    bands = scratch.cut(reps.select(F.col("rep").alias("id"), F.posexplode(parts).alias("at", "band")), "bands")
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    bands = scratch.cut(reps.select("node", F.posexplode(parts).alias("at", "band")), "bands")
+    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     hubs = scratch.cut(hubs, "hubs")
-    stars = bands.join(hubs, "band")
-    stars = scratch.cut(stars, "stars")
-    links = _confirm(
-        stars.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
-        reps, narrow, scratch, threshold_pct, words,
-    )
+    stars = scratch.cut(join_keyed(bands, hubs.withColumn("rows", F.col("members")), "band"), "stars")
+    scratch.drop(bands)
+    pairs = stars.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = _confirm(pairs, reps, narrow, scratch, threshold_pct, words)
     comps = scratch.cut(connected_components(links, scratch), "components")
 
     # What the stars leave open: members of one bucket in different components, neither of them its hub.
@@ -291,25 +316,33 @@ def near_duplicates(
         c = comps.select(F.col("node").alias(col), F.col("component").alias("_c"))
         return df.join(c, col, "left").withColumn(name, F.coalesce("_c", col)).drop("_c")
 
-    hub_comp = in_component(hubs, "hub", "main")
-    members = in_component(stars.filter("members > 2").select("band", "at", "id"), "id", "comp")
-    members = members.join(hub_comp.filter("members > 2"), "band").filter("id <> hub")
+    large = hubs.filter("members > 2").select("band", "hub", F.col("members").alias("rows"))
+    mains = scratch.cut(in_component(large, "hub", "main"), "mains")
+    members = in_component(stars.filter("members > 2").select("band", "at", "node"), "node", "comp")
+    members = scratch.cut(join_keyed(members, mains, "band").filter("node <> hub"), "members")
     open_ = (
         members.groupBy("band")
         .agg(F.count_if(F.col("comp") != F.col("main")).alias("others"), F.count(F.lit(1)).alias("rest"))
-        .filter("others > 0 and rest > 1")
+        .filter("others > 0 and rest > 1").withColumn("rows", F.col("rest"))
+    )
+    members = scratch.cut(join_keyed(members, scratch.cut(open_, "open-bands"), "band"), "open")
+    nodes = scratch.cut(members.select("node").distinct(), "open-nodes")
+    sets = _shingles(narrow, reps, nodes, words, scratch)
+    held = scratch.cut(members.join(reps.select("node", "sk", "n"), "node"), "held")
+    other = F.col("comp") != F.col("main")
+    bytes_ = scratch.cut(
+        held.groupBy("band").agg(F.sum(F.when(other, F.col("n")).otherwise(0)).alias("other_n"), F.sum("n").alias("rest_n"), F.count("*").alias("rows")), "bytes"
     )
-    members = scratch.cut(members.drop("members").join(open_, "band"), "open")
-    ids = members.select("id").distinct()
-    sets = _shingles(narrow, scratch.cut(ids, "open-ids"), words, scratch)
-    held = members.join(reps.select(F.col("rep").alias("id"), "sk"), "id").join(sets, "id")
-    lefts = F.ceil(F.col("others") / BLOCK).cast("int")
-    rights = F.ceil(F.col("rest") / BLOCK).cast("int")
+    held = join_keyed(held, bytes_, "band")
+    blocks_of = lambda count, n: F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(8 * F.col(n) / BLOCK_BYTES), F.lit(1)).cast("int")
+    lefts, rights = blocks_of("others", "other_n"), blocks_of("rest", "rest_n")
+    total = bytes_.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("rest_n"), F.lit(0))).first()
+    groups = max(1, total[0] // GROUP, 8 * int(total[1]) // BLOCK_BYTES)
     group = F.when((lefts > 1) | (rights > 1), F.col("band"))
-    group = F.coalesce(group, F.pmod("band", F.lit(max(1, members.count() // GROUP))))  # small buckets share a group
-    mine = F.xxhash64("id")
-    cols = [group.alias("group"), "band", "at", "id", "comp", "sk", "hashes"]
-    left = held.filter(F.col("comp") != F.col("main")).select(
+    group = F.coalesce(group, F.pmod("band", F.lit(groups)))  # small buckets share a group
+    mine = F.xxhash64("node")
+    cols = [group.alias("group"), "band", "at", "node", "comp", "sk"]
+    left = held.filter(other).select(
         *cols, F.lit(0).alias("side"), F.pmod(mine, lefts).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"),
     )
@@ -317,7 +350,7 @@ def near_duplicates(
         *cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"),
         F.pmod(mine, rights).cast("int").alias("j"),
     )
-    blocks = left.unionByName(right).groupBy("group", "i", "j")
+    blocks = left.unionByName(right).join(sets, "node").withColumnRenamed("node", "id").groupBy("group", "i", "j")
     more = scratch.cut(blocks.applyInArrow(_forest(threshold_pct, coords, rows), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         contracted = in_component(in_component(more, "a", "ca"), "b", "cb").select(
@@ -330,43 +363,44 @@ def near_duplicates(
             .join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left")
             .select("node", F.coalesce("_c", "component").alias("component"))
         )
+    scratch.drop(stars, members, held, sets)
 
-    named = reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", F.coalesce("component", "rep").alias("component"))
-    out = s.select("id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+    # A component is known by its smallest id; of its rows, those of one text share a class.
+    named = reps.select("node", "key", "rep", "rows").join(comps, "node", "left")
+    named = scratch.cut(named.select("key", "rep", "rows", F.coalesce("component", "node").alias("c")), "named")
+    least = scratch.cut(named.groupBy("c").agg(F.min("rep").alias("component"), F.count("*").alias("_n")), "least")
+    named = scratch.cut(join_keyed(named, least, "c", "_n").select("key", "component", "rows"), "named-by-id")
+    known = F.col("id").isNotNull() & F.col("key").isNotNull()
+    out = join_keyed(s.filter(known).select("id", "sha", "n", "key"), named, "key").drop("key")
+    alone = s.filter(~known).select("id", "sha", "n", F.col("id").alias("component"))
+    return out.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, narrow: DataFrame, scratch: Scratch, threshold_pct: int, words: int) -> DataFrame:
-    """The pairs that hold on full shingle sets; those whose sizes rule it out need no check."""
-    n, m = F.least("n", "m"), F.greatest("n", "m")
-    pairs = scratch.cut(
-        pairs.join(reps.select(F.col("rep").alias("a"), "n"), "a")
-        .join(reps.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
-        .filter(100 * n >= threshold_pct * m).select("a", "b"),
-        "pairs",
-    )
-    ids = scratch.cut(
-        pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
-    )
-    sets = _shingles(narrow, ids, words, scratch)
-    tested = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a"
-    )
+    """The pairs that hold on full shingle sets. Pairs of a hub with very many members are dealt over salts, and its set
+    goes to each, so that the members' sets do not meet in one task."""
+    pairs = scratch.cut(pairs, "pairs")
+    counts = scratch.cut(pairs.groupBy("a").agg(F.count("*").alias("rows")), "counts")
+    limit, any_hot = hot_limit(counts)
+    nodes = scratch.cut(counts.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    sets = _shingles(narrow, reps, nodes, words, scratch)
+    mine, its = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    on = ["a"]
+    if any_hot:
+        on = ["a", "salt"]
+        hot = F.broadcast(counts.filter(F.col("rows") > limit).select("a", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("salts")))
+        pairs = pairs.join(hot, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        mine = mine.join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    tested = pairs.join(its, "b").join(mine, on)
     links = scratch.cut(
         tested.select("a", "b", "y", "x").mapInArrow(_linked(threshold_pct), "a long, b long"), "links"
     )
-    scratch.drop(pairs, ids, sets)
+    scratch.drop(counts, nodes, sets)
     return links
 
 
-def _shingles(narrow: DataFrame, ids: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """``(id, hashes)``: the shingle sets of the documents in ``ids``."""
-    sets = narrow.join(small(ids), "id").mapInArrow(_sets(words), "id long, hashes binary")
-    return scratch.cut(sets.dropDuplicates(["id"]), "sets")
+def _shingles(narrow: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """``(node, hashes)``: the shingle sets of the classes in ``nodes``."""
+    wanted = scratch.cut(reps.select("node", "key", F.col("rep").alias("id")).join(nodes, "node"), "wanted")
+    sets = narrow.select("id", "text").join(small(wanted), "id").mapInArrow(_sets(words), "node long, hashes binary")
+    return scratch.cut(sets.dropDuplicates(["node"]), "sets")
