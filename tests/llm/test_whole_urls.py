@@ -1,5 +1,6 @@
 """URL scores against brute force: all of a URL counts, also what follows ``?`` or ``#`` and URLs without ``://``."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -17,7 +18,10 @@ def _brute(texts, order=urls.ORDER):
         return [padded[i : i + order + 1] for i in range(len(t))]
 
     sides = []
-    for train in (GOOD, BAD):
+    apart = [[t for t in train if int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 == 0] for train in (GOOD, BAD)]
+    assert all(apart)
+    for train, out in zip((GOOD, BAD), apart):
+        train = [t for t in train if t not in out]
         n = Counter(w[-k - 1 :] for t in train for w in windows(t) for k in range(order + 1))
         total, kinds = Counter(), Counter()
         for g, c in n.items():
@@ -37,10 +41,25 @@ def _brute(texts, order=urls.ORDER):
     def score(t):
         return sum(math.log(p(sides[0], w)) - math.log(p(sides[1], w)) for w in windows(t)) / len(t) if t else 0.0
 
-    cut = sum(sum(map(score, train)) / len(train) for train in (GOOD, BAD)) / 2
+    cut = sum(sum(map(score, train)) / len(train) for train in apart) / 2
     return ["allow" if score(t or "") >= cut else "block" for t in texts]
 
 
+def test_clashing_names_repeats_and_no_training(spark):
+    df = spark.createDataFrame([(1, u, "a", "b", "c", "d", 1.0) for u in ASKED * 2], "page_id int, url string, text string, Verdict string, hit string, rows string, score double")
+    rows = urls.judge(df).collect()
+    assert len(rows) == 14 and {r.verdict for r in rows} == {"allow"} and {r.hit for r in rows} == {"c"}  # no rule fits: all score 0
+
+
+def test_hot_windows_and_urls(spark, monkeypatch):
+    from placewise.llm import _shared
+
+    df = spark.createDataFrame(list(enumerate((ASKED + GOOD + BAD) * 3)), "page_id long, url string")
+    want = {r.page_id: r.verdict for r in urls.judge(df).collect()}
+    monkeypatch.setattr(_shared, "HOT_ROWS", 2)
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == want
+
+
 def test_whole_url_is_judged(spark):
     df = spark.createDataFrame(list(enumerate(ASKED + GOOD + BAD)), "page_id long, url string")
     got = {r.page_id: r for r in urls.judge(df).collect()}
