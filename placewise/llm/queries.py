@@ -19,11 +19,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
-    """Fitted to the labelled documents that are not held out."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_labelled"), F.col("toxic").alias("_toxic"))
+    """Fitted to the labelled documents that are not held out; of labels that repeat a document, the largest counts."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
     train = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    train = train.join(small(labels), F.col("doc_id") == F.col("_labelled"))
-    return toxicity.fit(train, label_col="_toxic", key=F.col("doc_id"))
+    train = train.join(small(labels), F.col("doc_id") == F.col("labelled"))
+    return toxicity.fit(train, label_col="toxic", key=F.col("doc_id"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

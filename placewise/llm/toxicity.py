@@ -120,7 +120,8 @@ def fit(
     """Fit to rows of text and a 0/1 label; rows with another or no label are left out.
 
     With one class or none, the model scores every text at the share of label 1 (0 without rows). ``key``
-    orders the rows of a class for the bounded sample: by its hash.
+    orders the rows of a class for the bounded sample: by its hash, one row of each (of rows that repeat a key, the
+    smallest text). Repeated rows count each in the ratios. Null texts are empty.
     """
     spark = labelled.sparkSession
     rows = labelled.select(
@@ -146,10 +147,10 @@ def fit(
     ratio = np.zeros(1 << BITS)
     ratio[f[best]] = r[best]
 
-    # The smallest hashes of each class: a threshold on the hash selects about max_per_class rows evenly.
-    def cut(k: int):
-        share = min(1.0, max_per_class / max(size[k], 1))
-        return (F.col("label") == k) & (F.col("h") <= F.lit(min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)))
+    # The max_per_class smallest hashes of each class, one row of each: an exact bound, also where rows repeat.
+    hashes = rows.select("label", "h").distinct()
+    cut = {k: hashes.filter(F.col("label") == k).orderBy("h").limit(max_per_class).agg(F.max("h")).first()[0] for k in (0, 1)}
+    chosen = ((F.col("label") == 0) & (F.col("h") <= cut[0])) | ((F.col("label") == 1) & (F.col("h") <= cut[1]))
 
     wanted = spark.sparkContext.broadcast(np.packbits(ratio != 0))
 
@@ -162,7 +163,8 @@ def fit(
             sets = [feat[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.binary())], names=["y", "h", "x"])
 
-    sample = rows.filter(cut(0) | cut(1)).select("text", "label", "h").mapInArrow(features, "y int, h long, x binary")
+    sample = rows.filter(chosen).groupBy("label", "h").agg(F.min("text").alias("text")).select("text", "label", "h")
+    sample = sample.mapInArrow(features, "y int, h long, x binary")
     sample = sorted((h, y, bytes(x)) for y, h, x in sample.toLocalIterator())
     wanted.unpersist()
     y = np.array([s[1] for s in sample], np.float64)
@@ -210,11 +212,11 @@ def _logistic(cols: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, size: di
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", as_col: str = "score") -> DataFrame:
     """The input's columns and ``as_col``, a double from 0 to 1.
 
-    A null text counts as empty; an empty text gets the model's bias. An input column named ``as_col`` is
-    replaced. An empty table gives no rows.
+    A null text counts as empty; an empty text gets the model's bias. An input column named ``as_col``, in any case,
+    is replaced. Repeated rows get the same score each. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    keep = [c for c in docs.columns if c != as_col]
+    keep = [c for c in docs.columns if c.lower() != as_col.lower()]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(as_col, T.DoubleType())])
     at = keep.index(text_col)
 
