@@ -5,26 +5,37 @@ Writing. Pages of equal payloads share one ``response`` record, of the largest p
 of its own in a folder of the shared file system; a file is named by its partition and attempt, and the names
 that a finished task returns are the archive's manifest, so what a failed attempt left is never read.
 
-Reading. ``spark.read.format("warc")`` plans one partition per file, takes predicates on record type and
-headers from the query, parses a record's headers first and skips the payload of records that the predicates
-reject, and of all records when the ``payload`` option is false.
+Reading. ``spark.read.format("warc")`` plans one partition per file, takes predicates on the columns made of headers
+(record type, ids, URI, digest, length) from the query and on any header from the ``require`` option, and parses a
+record's headers first. The payload of a record that a predicate rejects, and of every record when the ``payload``
+option is false, is passed over: by seeking where the file is not compressed or its gzip members say their length
+in an extra field, as those written here do; by inflating and forgetting otherwise.
+
+Archives of others are read too: plain or compressed, header names in any case, repeated and folded headers, records
+of any type. The payload of an ``application/http`` record is what follows its HTTP header block; of other records,
+their whole block; a revisit has none (null).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import operator
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition
+from pyspark.sql import datasource as D
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from ._shared import Scratch
 
 BLOCK = 1 << 20
+#: A gzip header with an extra field of one part, ``sl``: its length, the member's and the data's.
+HEAD = struct.Struct("<4BI2BH2sH2I")
 ROLL_BYTES = 256 << 20
 PAGE_ID = "X-Page-ID"
 LENGTH = "X-Payload-Length"
@@ -82,6 +93,18 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to: int |
     return ("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member whose extra field ``sl`` says its own length and that of its data, so that readers can pass it over."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    whole = HEAD.size + len(body) + 8
+    if max(whole, len(data)) >> 32:  # too long for the field
+        gz = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return gz.compress(data) + gz.flush()
+    head = HEAD.pack(0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"sl", 8, whole, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 def _filesystem(uri: str):
     """A file system that the executors reach and the path in it."""
     from pyarrow.fs import FileSystem
@@ -124,8 +147,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     out, size = fs.open_output_stream(f"{root}/{name}", compression=None), 0
                     names.append(name)
                     counts.append(0)
-                gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = gz.compress(record(i, url, payload, digest(payload), first, again)) + gz.flush()
+                data = member(record(i, url, payload, digest(payload), first, again))
                 out.write(data)
                 size += len(data)
                 counts[-1] += 1
@@ -138,63 +160,206 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return sorted(f"{folder}/{r['file']}" for r in scratch.cut(manifest, "files").collect())  # a row per file
 
 
-def read_records(stream, rejected=None, payload: bool = True, block: int = BLOCK) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """``(headers, payload)`` of each record of a gzip-compressed archive.
+class Headers(list):
+    """(name, value) pairs in order; names are found in any case, repeated ones give their values joined by ', '."""
 
-    Headers come first; ``rejected(headers)`` true skips the record. A skipped payload is neither joined nor
-    decoded, and memory holds one block beside the payload wanted. An archive cut short raises ValueError.
-    """
-    raw, inflate, data, ended = b"", zlib.decompressobj(31), bytearray(), False
-
-    def more() -> bool:
-        """Inflate more bytes to ``data``; False at the end."""
-        nonlocal raw, inflate, ended
-        while not ended:
-            if inflate.eof:
-                raw = inflate.unused_data or raw
-                inflate = zlib.decompressobj(31)
-            if not raw:
-                raw = stream.read(block)
-                if not raw:
-                    ended = True
-                    return False
-            got = inflate.decompress(raw, block)
-            raw = inflate.unconsumed_tail if not inflate.eof else inflate.unused_data
+    def __getitem__(self, name):
+        if not isinstance(name, str):
+            return super().__getitem__(name)
+        if (value := self.get(name)) is None:
+            raise KeyError(name)
+        return value
+
+    def get(self, name: str) -> str | None:
+        said = [v for n, v in self if n.lower() == name.lower()]
+        return ", ".join(said) if said else None
+
+    @classmethod
+    def parse(cls, lines: list[str]) -> Headers:
+        out = cls()
+        for line in lines:
+            if line[:1] in (" ", "\t") and out:  # a folded line goes on with the value before
+                out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+            elif ":" in line:
+                name, value = line.split(":", 1)
+                out.append((name.strip(), value.strip()))
+        return out
+
+
+class _Bytes:
+    """An archive's bytes as its records need them: inflated if it is compressed, else as they are."""
+
+    def __init__(self, file, block: int, on_read: Callable[[int], None] | None):
+        self.file, self.block, self.on_read = file, block, on_read
+        file.seek(0, 2)
+        self.size = file.tell()
+        file.seek(0)
+        self.raw = file.read(block)
+        self.at = len(self.raw)  # where the file goes on after ``raw``
+        self.zipped = self.raw[:2] == b"\x1f\x8b"
+        self.inflate = None
+        self.member_end: int | None = None
+        self.data = bytearray()
+
+    def _fill(self) -> bool:
+        got = self.file.read(self.block)
+        self.raw += got
+        self.at += len(got)
+        return bool(got)
+
+    def more(self) -> bool:
+        """Add bytes to ``data``; False at the end."""
+        while True:
+            if not self.raw and not self._fill():
+                if self.inflate is not None and not self.inflate.eof:
+                    raise ValueError("archive ends within a compressed member")
+                return False
+            if not self.zipped:
+                got, self.raw = self.raw, b""
+            else:
+                if self.inflate is None or self.inflate.eof:
+                    self._begin()
+                inflate = self.inflate
+                got = inflate.decompress(self.raw, self.block)
+                self.raw = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
             if got:
-                data.extend(got)
+                if self.on_read:
+                    self.on_read(len(got))
+                self.data.extend(got)
                 return True
-        return False
 
+    def _begin(self) -> None:
+        self.inflate, self.member_end = zlib.decompressobj(31), None
+        while len(self.raw) < HEAD.size and self._fill():
+            pass
+        if len(self.raw) >= HEAD.size:
+            head = HEAD.unpack(self.raw[: HEAD.size])
+            if head[3] & 4 and head[8:10] == (b"sl", 8):
+                self.member_end = self.at - len(self.raw) + head[10]
+
+    def skip(self, left: int) -> None:
+        """Pass over the ``left`` next bytes, which end the member if the archive is compressed and its members say their length."""
+        if self.zipped and self.member_end is not None and not self.inflate.eof:
+            self.data.clear()
+            self._go_to(self.member_end)
+            self.inflate = None
+            return
+        if not self.zipped and left > len(self.data):
+            left -= len(self.data)
+            self.data.clear()
+            self._go_to(self.at - len(self.raw) + left)
+            return
+        self.take(left, None)
+
+    def _go_to(self, place: int) -> None:
+        if place > self.size:
+            raise ValueError("archive ends within a record's block")
+        if place >= self.at:
+            self.file.seek(place)
+            self.raw, self.at = b"", place
+        else:
+            self.raw = self.raw[len(self.raw) - (self.at - place) :]
+
+    def take(self, left: int, into: bytearray | None) -> None:
+        while left:
+            if not self.data and not self.more():
+                raise ValueError("archive ends within a record's block")
+            part = min(left, len(self.data))
+            if into is not None:
+                into += self.data[:part]
+            del self.data[:part]
+            left -= part
+
+
+def read_records(
+    file, rejected=None, payload: bool = True, block: int = BLOCK, on_read: Callable[[int], None] | None = None
+) -> Iterator[tuple[Headers, bytes | None]]:
+    """``(headers, payload)`` of each record of an archive, a seekable file.
+
+    Headers come first; ``rejected(headers)`` true skips the record. A payload that is not wanted is passed over, and
+    memory holds one block beside the payload wanted. ``on_read`` gets the numbers of bytes inflated or read. An archive
+    cut short, or a record without a length, raises ValueError.
+    """
+    source = _Bytes(file, block, on_read)
+    data = source.data
     while True:
-        while (at := data.find(b"\r\n\r\n")) < 0:
-            if not more():
+        while True:
+            lead = 0  # line ends between records
+            while lead < len(data) and data[lead] in b"\r\n":
+                lead += 1
+            del data[:lead]
+            if (at := data.find(b"\r\n\r\n")) >= 0:
+                break
+            if not source.more():
                 if data.strip():
                     raise ValueError("archive ends within a record's headers")
                 return
-        lines = bytes(data[:at]).decode("utf-8", "surrogatepass").split("\r\n")
-        headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
+        lines = bytes(data[:at]).decode("utf-8", "replace").split("\r\n")
+        headers = Headers.parse(lines[1:])
         del data[: at + 4]
-        left = int(headers["Content-Length"]) + 4  # the block and the two line ends after it
+        length = headers.get("Content-Length")
+        if length is None or not length.isdigit():
+            raise ValueError("a record without Content-Length")
+        left = int(length) + 4  # the block and the two line ends after it
         skip = rejected is not None and rejected(headers)
-        wanted = bytearray() if payload and not skip and headers.get("WARC-Type") == "response" else None
-        while left:
-            if not data and not more():
-                raise ValueError("archive ends within a record's block")
-            part = min(left, len(data))
-            if wanted is not None:
-                wanted += data[:part]
-            del data[:part]
-            left -= part
-        if not skip:
-            body = None
-            if wanted is not None:
-                start = wanted.find(b"\r\n\r\n") + 4
-                body = bytes(wanted[start:-4])
-            yield headers, body
+        if skip or not payload or (headers.get("WARC-Type") or "").lower() == "revisit":
+            source.skip(left)
+            if not skip:
+                yield headers, None
+            continue
+        body = bytearray()
+        source.take(left, body)
+        del body[-4:]
+        if (headers.get("Content-Type") or "").lower().startswith("application/http"):
+            end = body.find(b"\r\n\r\n")
+            body = body[end + 4 :] if end >= 0 else b""
+        yield headers, bytes(body)
+
+
+def value_of(headers: Headers, header: str) -> str | None:
+    """A header's value; a payload digest without the name of its algorithm."""
+    v = headers.get(header)
+    return v.removeprefix("sha1:") if v and header == "WARC-Payload-Digest" else v
+
+
+COMPARED = {D.EqualTo: "eq", D.EqualNullSafe: "eq", D.GreaterThan: "gt", D.GreaterThanOrEqual: "ge", D.LessThan: "lt", D.LessThanOrEqual: "le"}
+
+
+def pushed(f: Filter) -> tuple[str, str, tuple] | None:
+    """``(header, comparison, values)`` of a predicate that headers decide; None if they cannot."""
+    if len(f.attribute if hasattr(f, "attribute") else ()) != 1:
+        return None
+    name, header = f.attribute[0], COLUMNS.get(f.attribute[0])
+    if header is None:
+        return None
+    if isinstance(f, D.IsNotNull):
+        return header, "some", ()
+    if isinstance(f, D.StringStartsWith):
+        return header, "starts", (f.value,)
+    if isinstance(f, D.In) and all(v is not None for v in f.value):
+        return header, "in", tuple(str(v) for v in f.value)
+    how = COMPARED.get(type(f))
+    if how is None or f.value is None or (name != "payload_bytes" and how != "eq"):
+        return None
+    return header, how, (f.value if name == "payload_bytes" else str(f.value),)
+
+
+def holds(headers: Headers, header: str, how: str, values: tuple) -> bool:
+    v = value_of(headers, header)
+    if v is None:
+        return False
+    if how == "some":
+        return True
+    if how == "starts":
+        return v.startswith(values[0])
+    if how == "in":
+        return v in values
+    return getattr(operator, how)(int(v) if isinstance(values[0], int) else v, values[0])
 
 
 class WarcSource(DataSource):
-    """Options: ``files`` (a JSON list of paths) or ``path`` (a folder of finished archives); ``payload`` (true or false)."""
+    """Options: ``files`` (a JSON list of paths) or ``path`` (a folder of finished archives); ``payload`` (true or false);
+    ``require`` (a JSON object of any headers and the values wanted, case of the header's name aside)."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,21 +374,20 @@ class WarcSource(DataSource):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
+        import json
+
         self.options = options
-        self.wanted: list[tuple[str, tuple]] = []
+        require = json.loads(options.get("require", "{}"))
+        self.wanted = [(h, "in", tuple(v if isinstance(v, list) else [v])) for h, v in require.items()]
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality and membership on record type, headers and the columns made of headers; the rest stays with Spark."""
+        """What headers decide; the rest stays with Spark."""
         for f in filters:
-            name = f.attribute[0] if f.attribute else ""
-            values = f.value if isinstance(f, In) else (f.value,) if isinstance(f, (EqualTo, EqualNullSafe)) else None
-            header = COLUMNS.get(name) if len(f.attribute) == 1 else None
-            if name == "headers" and len(f.attribute) == 2:
-                header = f.attribute[1]
-            if values is None or header is None or any(v is None for v in values):
+            test = pushed(f)
+            if test is None:
                 yield f
             else:
-                self.wanted.append((header, tuple(str(v) for v in values)))
+                self.wanted.append(test)
 
     def partitions(self) -> list[InputPartition]:
         import json
@@ -235,7 +399,7 @@ class WarcReader(DataSourceReader):
 
             folder = self.options["path"].rstrip("/")
             fs, root = _filesystem(folder)
-            files = [f"{folder}/{f.base_name}" for f in fs.get_file_info(FileSelector(root)) if f.base_name.endswith(".warc.gz")]
+            files = [f"{folder}/{f.base_name}" for f in fs.get_file_info(FileSelector(root)) if f.base_name.endswith((".warc.gz", ".warc"))]
         return [InputPartition(f) for f in sorted(files)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -244,18 +408,15 @@ class WarcReader(DataSourceReader):
         fs, path = _filesystem(partition.value)
         payload = str(self.options.get("payload", "true")).lower() != "false"
 
-        def value(headers: dict, header: str) -> str | None:
-            v = headers.get(header)
-            return v.removeprefix("sha1:") if v and header == "WARC-Payload-Digest" else v
-
-        def rejected(headers: dict) -> bool:
-            return any(value(headers, h) not in vs for h, vs in self.wanted)
+        def rejected(headers: Headers) -> bool:
+            return not all(holds(headers, *test) for test in self.wanted)
 
         rows: list[tuple] = []
         size = 0
-        with fs.open_input_stream(path, compression=None) as stream:
-            for headers, body in read_records(stream, rejected if self.wanted else None, payload):
-                rows.append((partition.value, *(value(headers, h) for h in COLUMNS.values()), list(headers.items()), body))
+        with fs.open_input_file(path) as file:
+            for headers, body in read_records(file, rejected if self.wanted else None, payload):
+                every = {n: headers.get(n) for n, _ in headers}
+                rows.append((partition.value, *(value_of(headers, h) for h in COLUMNS.values()), list(every.items()), body))
                 size += len(body or b"") + 1000
                 if size > 4 * BLOCK:
                     yield _batch(rows)
@@ -268,19 +429,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     at = 1 + list(COLUMNS).index("payload_bytes")
     arrays = [pa.array(c, pa.string()) for c in cols[:at]]
-    arrays.append(pa.array([None if v is None else int(v) for v in cols[at]], pa.int64()))
+    arrays.append(pa.array([int(v) if v and v.isdigit() else None for v in cols[at]], pa.int64()))
     arrays += [pa.array(c, pa.string()) for c in cols[at + 1 : -2]]
     arrays += [pa.array(cols[-2], pa.map_(pa.string(), pa.string())), pa.array(cols[-1], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=["file", *COLUMNS, "headers", "payload"])
 
 
-def read(spark: SparkSession, files: list[str], payload: bool = True) -> DataFrame:
-    """The archive's records; ``payload`` false reads headers alone."""
+def read(spark: SparkSession, files: list[str], payload: bool = True, require: dict[str, list[str]] | None = None) -> DataFrame:
+    """The archive's records; ``payload`` false reads headers alone, ``require`` only records with these headers.
+
+    Spark offers a Python source its predicates only where ``spark.sql.python.filterPushdown.enabled`` is true, and
+    refuses a source that takes predicates where it is not, so this sets it in the session.
+    """
     import json
 
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("files", json.dumps(files)).option("payload", str(payload).lower()).load()
+    source = spark.read.format("warc").option("files", json.dumps(files)).option("payload", str(payload).lower())
+    return source.option("require", json.dumps(require or {})).load()
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
