@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.llm import exact_dedup, near_dedup, packing, queries, secrets, toxicity
-from placewise.llm._shared import Scratch, small, table
+from placewise.llm._shared import Scratch, table
 
 TOXIC = 0.7
 NEAR_PCT = 80
@@ -34,9 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a shingle similarity of 0.8 or more, the document of the smallest id."""
-    kept = near_dedup.near_duplicates(docs, threshold_pct=NEAR_PCT).filter("not kept")
-    dropped = kept.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(small(Scratch(spark, "dropped").cut(dropped, "ids")), docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return near_dedup.keep_first(docs, threshold_pct=NEAR_PCT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
