@@ -17,6 +17,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -159,30 +160,33 @@ def normalised(text: str) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-def stream_encode(chars: Iterable[str], vocab: Vocabulary, on_window: Callable[[int], None] | None = None) -> Iterator[list[int]]:
-    """Ids in committed runs; at no time are more characters held than the paths still differ on.
+def stream_encode(
+    chars: Iterable[str], vocab: Vocabulary, on_window: Callable[[int], None] | None = None, on_scores: Callable[[int], None] | None = None
+) -> Iterator[list[int]]:
+    """Ids in committed runs.
 
-    ``on_window`` gets the number of characters held at each step.
+    Scores are held for the last ``longest`` positions alone; only back pointers, two numbers a character, wait until the
+    paths meet. ``on_window`` gets the number of characters since the last boundary at each step, ``on_scores`` that of scores held.
     """
-    root, unknown = vocab.root, vocab.unknown_score
-    held: list[str] = []  # characters since the last boundary
-    best: list[float] = [0.0]
-    back: list[tuple[int, int]] = [(0, -1)]  # at each position, where its last piece begins, and its id
+    root, unknown, longest = vocab.root, vocab.unknown_score, vocab.longest
+    best: list[float] = [0.0]  # scores of the positions from ``first`` on
+    first = 0
+    begins = array("q", [0])  # at each position since the last boundary, where its last piece begins ...
+    pieces = array("q", [0])  # ... and its id, or for a character without a piece -1 less its code point
     growing: list[tuple[int, tuple]] = []  # where pieces that may still grow begin, and their trie nodes
 
     def ids(upto: int) -> list[int]:
         out: list[int] = []
         while upto:
-            begin, i = back[upto]
-            out.extend([i] if i >= 0 else reversed(vocab.one(held[begin])))
-            upto = begin
+            i = pieces[upto]
+            out.extend([i] if i >= 0 else reversed(vocab.one(chr(-1 - i))))
+            upto = begins[upto]
         out.reverse()
         return out
 
+    n = again = 0
     for char in chars:
-        n = len(held)
-        held.append(char)
-        score, last = best[n] + unknown, (n, -1)
+        score, begin_, piece = best[n - first] + unknown, n, -1 - ord(char)
         growing.append((n, root))
         still = []
         for begin, node in growing:
@@ -190,31 +194,45 @@ def stream_encode(chars: Iterable[str], vocab: Vocabulary, on_window: Callable[[
             if child is not None:
                 if child[0]:
                     still.append((begin, child))
-                if child[1] >= 0 and best[begin] + child[2] >= score:
-                    score, last = best[begin] + child[2], (begin, child[1])
+                if child[1] >= 0 and best[begin - first] + child[2] >= score:
+                    score, begin_, piece = best[begin - first] + child[2], begin, child[1]
         growing = still
         best.append(score)
-        back.append(last)
+        begins.append(begin_)
+        pieces.append(piece)
+        n += 1
+        if len(best) > 4 * longest:
+            del best[: n - longest - first]
+            first = n - longest
         if on_window:
-            on_window(n + 1)
-        if growing and not growing[0][0]:
+            on_window(n)
+        if on_scores:
+            on_scores(len(best))
+        if n < again or growing and not growing[0][0]:
             continue
-        # A later piece begins here or where one may still grow: step those paths back until all are one.
-        paths = {n + 1, *(begin for begin, _ in growing)}
+        # A later piece begins here or where one may still grow: step those paths back until all are one. Where they are
+        # not, the next look waits for an eighth more characters, so looks cost a step a character also in long runs.
+        paths = {n, *(begin for begin, _ in growing)}
         while len(paths) > 1:
             far = max(paths)
             paths.remove(far)
-            paths.add(back[far][0])
+            paths.add(begins[far])
         meet = paths.pop()
+        again = 0 if meet else n + n // 8
         if meet:
             yield ids(meet)
-            base = best[meet]
-            del held[:meet]
-            best = [b - base for b in best[meet:]]
-            back = [(begin - meet, i) for begin, i in back[meet:]]
+            if meet >= first:
+                base = best[meet - first]
+                best = [b - base for b in best[meet - first :]]
+                first = meet
+            begins, pieces = begins[meet:], pieces[meet:]
+            for k in range(len(begins)):
+                begins[k] -= meet
             growing = [(begin - meet, node) for begin, node in growing]
-    if held:
-        yield ids(len(held))
+            first -= meet
+            n -= meet
+    if n:
+        yield ids(n)
 
 
 def cut_words(text: str) -> list[str]:
@@ -269,10 +287,16 @@ def encode(text: str | None, vocab: Vocabulary) -> list[int]:
 
 
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
-    """The text; control pieces give nothing, bytes that are not UTF-8 give U+FFFD."""
+    """The text; control pieces and null ids give nothing, bytes that are not UTF-8 and ids outside the vocabulary U+FFFD."""
     out: list[str] = []
     raw = bytearray()
     for i in ids:
+        if i is None:
+            continue
+        if not 0 <= i < len(vocab.text):
+            out += [raw.decode("utf-8", "replace"), "\ufffd"]
+            raw.clear()
+            continue
         if vocab.kind[i] == BYTE:
             raw.append(int(vocab.text[i][3:5], 16))
             continue
@@ -293,7 +317,7 @@ def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_c
 
     A null or empty text has no ids. ``model_path`` must be readable on the executors.
     """
-    keep = [c for c in docs.columns if c != as_col]
+    keep = [c for c in docs.columns if c.lower() != as_col.lower()]
     at = keep.index(text_col)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(as_col, T.ArrayType(T.IntegerType()))])
 
@@ -307,8 +331,8 @@ def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_c
 
 
 def decode_column(rows: DataFrame, model_path: str, ids_col: str = "ids", as_col: str = "decoded") -> DataFrame:
-    """The input's columns and ``as_col``, the decoded text; null ids give an empty text."""
-    keep = [c for c in rows.columns if c != as_col]
+    """The input's columns and ``as_col``, the decoded text; a null array gives an empty text."""
+    keep = [c for c in rows.columns if c.lower() != as_col.lower()]
     at = keep.index(ids_col)
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(as_col, T.StringType())])
 
@@ -323,7 +347,7 @@ def decode_column(rows: DataFrame, model_path: str, ids_col: str = "ids", as_col
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_ids``, ``ids_crc32`` (little-endian unsigned 32-bit ids), ``exact`` (decoding
-    gives the text back). A null text counts as empty."""
+    gives the text back). A null text counts as empty. Repeated rows get the same result each; an empty table gives none."""
 
     def run(batches):
         vocab = vocabulary(model_path)
@@ -359,7 +383,8 @@ class CountingTrie:
     """Pre-tokens with the forward score of each prefix, computed when its node is made.
 
     A node holds its children, the best score and the number of tokens of its prefix, and the pieces that may
-    still grow at its end with the score and the number of tokens before each.
+    still grow at its end with the score and the number of tokens before each. A trie of ``TRIE_NODES`` takes no more
+    nodes: the rest of a pre-token goes on from node to node without keeping them, and the next one starts a new trie.
     """
 
     def __init__(self, vocab: Vocabulary):
@@ -384,8 +409,10 @@ class CountingTrie:
                             score, tokens = before + longer[2], k + 1
                 if tokens < 0:
                     tokens = node[2] + len(vocab.one(char))
-                child = node[0][char] = ({}, score, tokens, tuple(still))
-                self.nodes += 1
+                child = ({}, score, tokens, tuple(still))
+                if self.nodes < TRIE_NODES:
+                    node[0][char] = child
+                    self.nodes += 1
             node = child
         return node[2]
 
@@ -393,10 +420,11 @@ class CountingTrie:
         """The terminal count of a pre-token; a full trie starts anew."""
         n = self.counts[word]
         if n is None:
-            if self.nodes > TRIE_NODES:
+            if self.nodes >= TRIE_NODES:
                 self.root, self.nodes = ({}, 0.0, 0, ()), 1
-            n = self.insert(word) if len(word) <= 4096 else len([i for run in stream_encode(word, self.vocab) for i in run])
-            self.counts.add(word, n)
+            n = self.insert(word)
+            if len(word) <= 64:
+                self.counts.add(word, n)
         return n
 
 
@@ -408,6 +436,7 @@ def _trie(path: str) -> CountingTrie:
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_tokens`` and ``n_pretokens`` of its whole text; zero for null or empty texts.
+    Repeated rows get the same result each; an empty table gives none.
 
     The trie lives in the task that reads the texts, so nothing is shuffled. Needs a vocabulary whose pieces do
     not go on past a mark.
@@ -421,23 +450,20 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     )
 
     def run(batches):
-        # The trie has no cycles; the collector would only walk its nodes again and again.
-        collects = gc.isenabled()
-        gc.disable()
-        try:
-            yield from counted(batches)
-        finally:
-            if collects:
-                gc.enable()
-
-    def counted(batches):
         trie = _trie(model_path)
         if not trie.vocab.splits_at_marks:
             raise ValueError("pieces of this vocabulary span pre-tokens")
         for batch in slices(batches):
             words = [pretokens(t, trie.vocab) for t in batch.column(1).to_pylist()]
-            for word in set().union(*words) if words else ():
-                trie.tokens(word)
+            new = set().union(*words) if words else set()
+            collects = gc.isenabled()
+            gc.disable()  # the trie has no cycles: while it grows, the collector would only walk its nodes
+            try:
+                for word in new:
+                    trie.tokens(word)
+            finally:
+                if collects:
+                    gc.enable()
             n = []
             for ws in words:
                 known, total = trie.counts, 0
