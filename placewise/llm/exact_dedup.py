@@ -20,7 +20,7 @@ from ._shared import Scratch
 
 FIRST_WIDTH = 64
 GROWTH = 16
-MAX_WIDTH = 4 << 20
+MAX_WIDTH = 1 << 20
 
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -51,7 +51,7 @@ def mark_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their own columns; of rows that repeat id and text, one."""
     stay = _partition(docs, id_col, text_col, docs.columns).filter(F.col("_id").eqNullSafe(F.col("_keep")))
-    one = stay.filter("_n = 1").unionByName(stay.filter("_n > 1").dropDuplicates(["_id", "_sha"]))
+    one = stay.filter("_n = 1").unionByName(stay.filter("_n > 1").dropDuplicates(["_id", "_class"]))
     return one.select(*[F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -63,7 +63,7 @@ def _partition(
     first_width: int = FIRST_WIDTH,
     growth: int = GROWTH,
 ) -> DataFrame:
-    """Rows with ``_id``, ``_carry``, ``_sha`` and, of their final group, ``_n`` and ``_keep``."""
+    """Rows with ``_id``, ``_carry``, ``_sha`` and, of their final group, ``_n``, ``_keep`` and its number ``_class``."""
     scratch = Scratch(docs.sparkSession, "exact")
     carried = carry.index(text_col) if text_col in carry else None
     text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
@@ -97,12 +97,13 @@ def _partition(
                 F.coalesce("_n", F.lit(1)).cast("long").alias("_n"),
                 F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"),
                 F.when(goes_on, F.col("_next")).alias("_next"),
+                F.concat_ws("-", F.lit(str(len(done))), F.col("_next").cast("string")).alias("_class"),
                 F.when(goes_on, F.col("_text")).alias("_text"),
             )
         )
         split = scratch.cut(split, "split")
         scratch.drop(counts)
-        done.append(split.filter("_next is null").select("_id", "_carry", "_sha", "_n", "_keep"))
+        done.append(split.filter("_next is null").select("_id", "_carry", "_sha", "_n", "_keep", "_class"))
         rows = split.filter("_next is not null").select("_id", "_carry", "_sha", F.col("_next").alias("_group"), "_text")
         if rows.isEmpty():
             break
