@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The zone of wall clocks; the latitude of the local metre grid and the metres of a degree.
 ZONE = "America/Halifax"
 REFERENCE_LATITUDE = 44.65
 METRES_PER_DEGREE = 111_320.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from .select import located
 
-CELL_DEGREES = 5.0
+#: Fixed value: addresses this close are taken for one place written in two ways.
 NEAR_METRES = 30.0
 
 
@@ -29,31 +31,38 @@ def box_of(rings: Column) -> list[Column]:
     ]
 
 
-def candidates(points: DataFrame, areas: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """``(point, lon, lat, dauid)`` whose box holds the point.
+def cell_of(areas: DataFrame) -> float:
+    """A cell about as wide as a typical box: the median of the boxes' longer sides. One row of the small side is read."""
+    side = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    found = areas.filter("min_lon is not null").agg(F.percentile_approx(side, 0.5)).first()[0]
+    return found if found else 1.0
+
+
+def candidates(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """The points with each area (all its columns) whose box holds them.
 
     A box is listed under each grid cell that it covers and a point under its own, so the join is on cells;
     the box test is its residual. ``cell`` near a typical box width keeps both sides small.
     """
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    boxes = areas.filter("min_lon is not null").select(
-        "dauid", "min_lon", "max_lon", "min_lat", "max_lat",
-        F.explode(span("min_lon", "max_lon")).alias("cx"), span("min_lat", "max_lat").alias("cys"),
-    )
-    boxes = boxes.withColumn("cy", F.explode("cys")).drop("cys")
+    boxes = areas.filter("min_lon is not null").withColumn("cx", F.explode(span("min_lon", "max_lon")))
+    boxes = boxes.withColumn("cy", F.explode(span("min_lat", "max_lat")))
     at = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
     inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return at.join(boxes, ["cx", "cy"]).filter(inside).select("point", "lon", "lat", "dauid")
+    return at.join(boxes, ["cx", "cy"]).filter(inside)
 
 
-def containing_area(points: DataFrame, areas: DataFrame, edges: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def containing_area(points: DataFrame, areas: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
     """``(point, block)``: the area that holds each point by the even-odd rule, null if none.
 
-    Holes are outside, islands in holes inside; of several areas the smallest id is taken.
+    Holes are outside, islands in holes inside; of several areas the smallest id is taken. An area's edges lie as an
+    array beside its box, so crossings are counted where box and point meet and points times edges are never rows.
     """
-    hits = candidates(points, areas, cell).join(edges, "dauid")
-    ray = C.crosses(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])
-    odd = hits.groupBy("point", "dauid").agg((F.count_if(ray) % 2 == 1).alias("inside")).filter("inside")
+    rings = edges.groupBy("dauid").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))  # a polygon each
+    shapes = areas.select("dauid", "min_lon", "min_lat", "max_lon", "max_lat").join(rings, "dauid")
+    hits = candidates(points.select("point", "lon", "lat"), shapes, cell or cell_of(areas))
+    ray = lambda e: C.crosses(F.col("lon"), F.col("lat"), e["x1"], e["y1"], e["x2"], e["y2"])
+    odd = hits.filter(F.size(F.filter("edges", ray)) % 2 == 1)
     first = odd.groupBy("point").agg(F.min("dauid").alias("block"))
     return points.select("point").join(first, "point", "left")
 
@@ -64,25 +73,57 @@ def call_points(calls: DataFrame) -> DataFrame:
     return located(calls).select("request_id", "door", east.alias("x"), north.alias("y"))
 
 
-def spreads(calls: DataFrame) -> DataFrame:
-    """``(door, calls, spread)``: the largest distance between two calls of an address.
+#: Axes along which an address's extremes are taken.
+AXES = [(math.cos(math.pi * k / 8), math.sin(math.pi * k / 8)) for k in range(8)]
+
 
-    Only distinct points are paired, and only with those of the same address.
+def spreads(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(by.., door, calls, spread)``: the largest distance between two calls of an address.
+
+    Only points that can be an end of it are paired (``_ends``), and only with those of the same address.
     """
-    points = call_points(calls)
-    counts = points.groupBy("door").agg(F.count("*").alias("calls"))
-    distinct = points.select("door", "x", "y").distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
+    keys = [*(by or []), "door"]
+    east, north = C.to_metres(F.col("latitude"), F.col("longitude"))
+    points = located(calls).select(*keys, east.alias("x"), north.alias("y"))
+    counts = points.groupBy(*keys).agg(F.count("*").alias("calls"))
+    ends = _ends(points, keys)
+    a, b = ends.alias("a"), ends.alias("b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     later = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
-    far = a.join(b, (F.col("a.door") == F.col("b.door")) & later).groupBy(F.col("a.door").alias("door"))
+    far = a.join(b, same & later).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys])
     far = far.agg(F.max(C.euclid(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))).alias("spread"))
-    return counts.join(far, "door", "left").select("door", "calls", F.coalesce("spread", F.lit(0.0)).alias("spread"))
+    return counts.join(far, keys, "left").select(*keys, "calls", F.coalesce("spread", F.lit(0.0)).alias("spread"))
+
+
+def _ends(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct points that can be an end of their address's largest distance; none that is one is left out.
+
+    The extremes along a few axes, found by partial aggregates, give distances that occur. A point's furthest partner lies
+    within pi/16 of some axis, so it is no further than the extreme along that axis allows; a point whose bound falls short
+    of a distance that occurs is no end.
+    """
+    distinct = points.select(*keys, "x", "y").distinct()
+    along = [F.col("x") * c + F.col("y") * s for c, s in AXES]
+    at = lambda p: F.struct(p.alias("p"), "x", "y")
+    ends = distinct.groupBy(*keys).agg(
+        *[F.max(at(p)).alias(f"hi{k}") for k, p in enumerate(along)], *[F.min(at(p)).alias(f"lo{k}") for k, p in enumerate(along)]
+    )
+    occurs = F.greatest(*[C.euclid(F.col(f"hi{k}.x") - F.col(f"lo{k}.x"), F.col(f"hi{k}.y") - F.col(f"lo{k}.y")) for k in range(len(AXES))])
+    limits = ends.select(*keys, occurs.alias("occurs"), *[F.col(f"{e}{k}.p").alias(f"{e}{k}") for k in range(len(AXES)) for e in ("hi", "lo")])
+    bound = F.greatest(*[d for k, p in enumerate(along) for d in (F.col(f"hi{k}") - p, p - F.col(f"lo{k}"))]) / math.cos(math.pi / 16)
+    return distinct.join(limits, keys).filter(bound >= F.col("occurs") * (1 - 1e-9)).select(*keys, "x", "y")
 
 
 def address_points(calls: DataFrame) -> DataFrame:
     """The upper-median point of each address, by axis."""
-    pick = lambda c: F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int") + 1)
-    return call_points(calls).groupBy("door").agg(pick("x").alias("x"), pick("y").alias("y"))
+    points = call_points(calls).select("door", F.posexplode(F.array("x", "y")).alias("axis", "v"))
+    values = points.groupBy("door", "axis", "v").agg(F.count("*").alias("n"))  # map-side counts: few rows an address
+    w = Window.partitionBy("door", "axis").orderBy("v")
+    upto = values.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("door", "axis")))
+    middle = upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("door", "axis").agg(F.min("v").alias("v"))
+    return middle.groupBy("door").agg(*[F.max(F.when(F.col("axis") == i, F.col("v"))).alias(c) for i, c in enumerate("xy")])
 
 
 def near_pairs(calls: DataFrame, metres: float = NEAR_METRES) -> DataFrame:
@@ -112,8 +153,18 @@ def spread_report(calls: DataFrame) -> DataFrame:
     return s.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(involved))  # one row each
 
 
-def nearest_pairs(calls: DataFrame, limit: int = 8) -> DataFrame:
-    return near_pairs(calls).orderBy("metres", "a", "b").limit(limit)
+def nearest_pairs(calls: DataFrame, metres: float = NEAR_METRES, limit: int = 8) -> DataFrame:
+    """The closest pairs of addresses within ``metres``, distances to the millimetre."""
+    return near_pairs(calls, metres).withColumn("metres", F.bround("metres", 3)).orderBy("metres", "a", "b").limit(limit)
+
+
+def spread_by(calls: DataFrame, by: str, beyond: float = 200.0) -> DataFrame:
+    """Per group: addresses, those with several calls, and their share whose calls lie further apart than ``beyond`` metres."""
+    several = F.col("calls") > 1
+    return spreads(calls, [by]).groupBy(by).agg(
+        F.count("*").alias("addresses"), F.count_if(several).alias("multi"),
+        C.percent(F.count_if(several & (F.col("spread") > beyond)), F.count_if(several)).alias("over_200_pct"),
+    )
 
 
 def hour_histogram(local_calls: DataFrame) -> DataFrame:
@@ -138,9 +189,3 @@ def hour_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     both = x.join(b.withColumnRenamed("calls", "b"), ["channel", "hour"], "full_outer")
     delta = F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))
     return both.select("channel", "hour", delta.alias("delta")).filter("delta <> 0")
-
-
-def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

@@ -2,33 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-KEPT = ("address", "rank", "calls_12mo", "calls_total")
+#: The parameters that a list is derived under unless told otherwise; columns that history keeps by name.
+PARAMETERS = {"min_calls": 2, "recur_days": 365, "min_doorways": 2, "district": None}
+KEPT = {
+    "address": ("address", "rank", "block", "district", "calls_12mo", "calls_total", "tows", "vehicles_seen", "vehicles_distinct"),
+    "block": ("block", "rank", "streets", "district", "doorways", "calls_12mo", "calls_total", "tows", "dwellings"),
+}
+
+
+def parameters_json(parameters: dict | None = None) -> str:
+    """Parameters in effect as text that is equal for equal parameters."""
+    return json.dumps({**PARAMETERS, **(parameters or {})}, sort_keys=True)
 
 
-def snapshot_rows(rows: DataFrame, snapshot_id: int, derived_at: str, kind: str, key: str = "address") -> DataFrame:
-    """Ranked rows of a snapshot; columns beyond the key and the counts go to ``detail`` as JSON."""
-    front = [key, "rank", "calls_12mo", "calls_total"]
-    rest = sorted(c for c in rows.columns if c not in front)
+def snapshot_rows(rows: DataFrame, snapshot_id: int, derived_at: str, kind: str | None, key: str = "address") -> DataFrame:
+    """Ranked rows of a snapshot, of doorways or blocks (``key``); columns that history does not keep by name go to
+    ``detail`` as JSON. ``kind`` is the violation type, or None if the rows name it in ``canonical_type``."""
+    front = [c for c in KEPT[key] if c in rows.columns]
+    rest = sorted(c for c in rows.columns if c not in (*front, *(("canonical_type",) if kind is None else ())))
+    said = F.col("canonical_type") if kind is None else F.lit(kind)
     return rows.select(
-        F.lit(snapshot_id).alias("snapshot_id"), F.lit(derived_at).cast("timestamp_ntz").alias("derived_at"), F.lit(kind).alias("violation_type"),
-        *front, F.to_json(F.struct(*rest)).alias("detail"),
+        F.lit(snapshot_id).alias("snapshot_id"), F.lit(derived_at).cast("timestamp_ntz").alias("derived_at"), said.alias("violation_type"),
+        *front, F.to_json(F.struct(*rest)).alias("detail") if rest else F.lit("{}").alias("detail"),
     )
 
 
-def snapshot_headers(dimension: DataFrame, snapshot_id: int, derived_at: str, rows: DataFrame) -> DataFrame:
-    """A header for each type, those with an empty list too."""
+def version_map(state: DataFrame, layers: list[str] | None = None) -> DataFrame:
+    """One row: ``version``, the edit time of each layer as a map, and ``version_json``, the same as text.
+
+    A layer that is asked for but was never seen, or has no edit time, is null in it.
+    """
+    at = state.groupBy("layer").agg(F.max(F.date_format(F.col("source_last_edit").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")).alias("at"))
+    if layers is not None:
+        asked = state.sparkSession.createDataFrame([(name,) for name in layers], "layer string")
+        at = asked.join(at, "layer", "left")
+    pairs = at.agg(F.array_sort(F.collect_list(F.struct("layer", "at"))).alias("pairs"))  # a row per layer
+    said = F.transform("pairs", lambda p: F.concat(F.lit('"'), p["layer"], F.lit('":'), F.coalesce(F.concat(F.lit('"'), p["at"], F.lit('"')), F.lit("null"))))
+    return pairs.select(F.map_from_entries("pairs").alias("version"), F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}")).alias("version_json"))
+
+
+def snapshot_headers(
+    dimension: DataFrame, snapshot_id: int, derived_at: str, rows: DataFrame, parameters: dict | None = None, version: DataFrame | None = None,
+    loaded: DataFrame | None = None,
+) -> DataFrame:
+    """A header for each type, those with an empty list too: parameters, version (of ``version_map``) and newest call day."""
     types = dimension.filter("status = 'assigned'").select("canonical_type").distinct()
     n = rows.groupBy(F.col("violation_type").alias("canonical_type")).agg(F.count("*").alias("listed"))
-    return types.join(n, "canonical_type", "left").select(
+    out = types.join(n, "canonical_type", "left")
+    if loaded is not None:
+        out = out.join(loaded.groupBy("canonical_type").agg(F.max("local").cast("date").alias("latest")), "canonical_type", "left")
+    else:
+        out = out.withColumn("latest", F.lit(None).cast("date"))
+    if version is not None:
+        out = out.crossJoin(F.broadcast(version.select("version_json")))  # one row
+    else:
+        out = out.withColumn("version_json", F.lit(None).cast("string"))
+    return out.select(
         F.lit(snapshot_id).alias("snapshot_id"), F.lit(derived_at).cast("timestamp_ntz").alias("derived_at"),
         F.col("canonical_type").alias("violation_type"), F.coalesce("listed", F.lit(0)).alias("listed"),
+        F.lit(parameters_json(parameters)).alias("parameters"), F.col("version_json").alias("mirror_version"), F.col("latest").alias("latest_call_date"),
     )
 
 
+def retain(headers: DataFrame, doors: DataFrame, blocks: DataFrame, root: str) -> bool:
+    """Append a snapshot of all types under ``root``, unless its version and parameters are stored; whether it was.
+
+    The headers are written last, so a snapshot that lacks them was cut short and counts as not taken.
+    """
+    spark = headers.sparkSession
+    key = headers.select("mirror_version", "parameters").distinct()
+    if exists(spark, f"{root}/headers") and key.join(spark.read.parquet(f"{root}/headers"), ["mirror_version", "parameters"], "left_anti").isEmpty():
+        return False
+    doors.write.mode("append").parquet(f"{root}/doorways")
+    blocks.write.mode("append").parquet(f"{root}/blocks")
+    headers.write.mode("append").parquet(f"{root}/headers")
+    return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def departed(earlier: DataFrame, later: DataFrame, key: str = "address") -> DataFrame:
     """Keys on the earlier list that the later one lacks."""
     return earlier.join(later.select(key), key, "left_anti").orderBy(key)
@@ -50,17 +111,18 @@ def presence(headers: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame
 
 
 def left_when(headers: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The most recent departure of each asked address: status, last snapshot present, first one after without it."""
-    p = presence(headers, rows, asked)
-    by = p.groupBy("violation_type", "address").agg(
-        F.max(F.when(F.col("present"), F.col("ord"))).alias("last_present"),
-        F.max("ord").alias("newest"),
-        F.max_by("derived_at", F.when(F.col("present"), F.col("ord"))).alias("last_seen_at"),
-    )
-    after = p.select("violation_type", "address", F.col("ord").alias("o"), F.col("derived_at").alias("left_at"))
-    same = (by.violation_type == after.violation_type) & (by.address == after.address) & (after.o == by.last_present + 1)
-    out = by.join(after, same, "left").select(by.violation_type, by.address, "last_present", "newest", "last_seen_at", "left_at")
-    out = asked.join(out, ["violation_type", "address"], "left")
+    """The most recent departure of each asked address: status, last snapshot present, first one after without it.
+
+    A key's last hit is aggregated from the rows alone; headers are a row per snapshot and type.
+    """
+    w = Window.partitionBy("violation_type").orderBy("derived_at", "snapshot_id")
+    numbered = headers.select("violation_type", "snapshot_id", "derived_at", F.row_number().over(w).alias("ord"))
+    keys = ["violation_type", "address"]
+    hits = rows.select("snapshot_id", *keys).join(numbered, ["violation_type", "snapshot_id"])
+    last = hits.groupBy(*keys).agg(F.max("ord").alias("last_present"), F.max_by("derived_at", "ord").alias("last_seen_at"))
+    newest = numbered.groupBy("violation_type").agg(F.max("ord").alias("newest"))
+    after = numbered.select("violation_type", (F.col("ord") - 1).alias("last_present"), F.col("derived_at").alias("left_at"))
+    out = asked.join(last, keys, "left").join(newest, "violation_type", "left").join(after, ["violation_type", "last_present"], "left")
     status = (
         F.when(F.col("newest").isNull(), "no_snapshots_retained").when(F.col("last_present").isNull(), "never_listed")
         .when(F.col("last_present") == F.col("newest"), "still_listed").otherwise("left")
@@ -68,6 +130,29 @@ def left_when(headers: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFram
     return out.select("violation_type", "address", status.alias("status"), "last_seen_at", "left_at")
 
 
+def figure_rows(record: DataFrame, version: str, parameters: str, stored_at: str, key: str = "canonical_type") -> DataFrame:
+    """Figures as they are stored: one row per type, its columns as JSON in ``payload``."""
+    rest = sorted(c for c in record.columns if c != key)
+    return record.select(
+        F.col(key).alias("canonical_type"), F.lit(version).alias("version"), F.lit(parameters).alias("parameters"),
+        F.lit(stored_at).cast("timestamp_ntz").alias("stored_at"), F.to_json(F.struct(*rest)).alias("payload"),
+    )
+
+
+def store_figures(record: DataFrame, path: str, version: str, parameters: str, stored_at: str) -> int:
+    """Store the figures of the types that have none for this version and these parameters; how many were stored."""
+    spark = record.sparkSession
+    rows = figure_rows(record, version, parameters, stored_at)
+    if exists(spark, path):
+        have = spark.read.parquet(path)
+        if missing_figures(rows.select("canonical_type"), have, version, parameters).isEmpty():
+            return 0
+        rows = new_figures(rows, have)
+    before = spark.read.parquet(path).count() if exists(spark, path) else 0
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
 def missing_figures(types: DataFrame, stored: DataFrame, version: str, parameters: str) -> DataFrame:
     """Types without stored figures for a version and parameters."""
     have = stored.filter((F.col("version") == version) & (F.col("parameters") == parameters)).select("canonical_type")

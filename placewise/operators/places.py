@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,7 @@ from ..functions import columns as C
 from .geo import containing_area
 from .select import usable
 
+#: Days before the newest call in which a doorway must have called; days in which a call recurs.
 RECENCY_DAYS = 365
 RECUR_DAYS = 90
 
@@ -25,13 +26,6 @@ def with_gaps(loaded: DataFrame, recur_days: int, by: list[str]) -> DataFrame:
     return calls.withColumn("recurs", F.coalesce(F.col("gap_days") <= recur_days, F.lit(False)))
 
 
-def mode_first(df: DataFrame, keys: list[str], value: str, order: str, weight: Column | None = None) -> DataFrame:
-    """The most frequent value per key, null counting as a value; ties go to the value seen first."""
-    n = F.count("*") if weight is None else F.sum(weight)
-    counts = df.groupBy(*keys, value).agg(n.alias("_n"), F.min(order).alias("_first"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", F.negative("_first"))).alias(value))
-
-
 def doorways(
     loaded: DataFrame,
     areas: DataFrame | None = None,
@@ -49,37 +43,54 @@ def doorways(
     selections at once. ``rank`` orders by score, ties by the doorway's lowest request id.
     """
     by = by or []
+    measures = door_measures(loaded, recur_days, recency_days, by)
+    listed = measures.filter((F.col("calls_12mo") > 0) & (F.col("calls_12mo") >= min_calls))
     if district is not None and district.strip():
-        keep = F.col("district") == district
-    else:
-        keep = F.lit(True)
+        listed = listed.filter(F.col("district") == district)
+    return ranked(listed, areas, edges, by)
+
+
+def door_measures(loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days: int = RECENCY_DAYS, by: list[str] | None = None) -> DataFrame:
+    """One row per doorway, listed or not, with all that a list says of it and its tallies by tow status.
+
+    Calls are shuffled once, by doorway; every window and sum after that stays in the doorway's partition.
+    """
+    by = by or []
+    keys = [*by, "door"]
     latest = loaded.groupBy(*by).agg(F.max("local").alias("latest"))
     calls = with_gaps(loaded, recur_days, by)
     # one row per selection: a join on its key, or on nothing
-    calls = calls.join(latest, by) if by else calls.crossJoin(F.broadcast(latest))
+    calls = calls.join(F.broadcast(latest), by) if by else calls.crossJoin(F.broadcast(latest))
     recent = F.col("local") >= F.col("latest") - F.expr(f"interval {recency_days} days")
-    keys = [*by, "door"]
-    last = F.struct("local", "request_id")
-    grouped = calls.groupBy(*keys).agg(
+    # The most frequent owner, null counting as a value, ties to the one seen first; a vehicle counts at its first call.
+    owners, vehicles = Window.partitionBy(*keys, "owner"), Window.partitionBy(*keys, "vehicle").orderBy("seq")
+    calls = calls.withColumn("often", F.struct(F.count("*").over(owners).alias("n"), F.negative(F.min("seq").over(owners)).alias("first")))
+    calls = calls.withColumn("new_vehicle", F.col("vehicle").isNotNull() & (F.row_number().over(vehicles) == 1))
+    tally = lambda s, *more: F.count_if(F.expr(" and ".join([f"tow_status = '{s}'", *more])))
+    return calls.groupBy(*keys).agg(
         F.count_if(recent).alias("calls_12mo"),
         F.count("*").alias("calls_total"),
-        F.max_by("district", last).alias("district"),
-        F.max_by("community", last).alias("community"),
+        F.max_by("district", "seq").alias("district"),
+        F.max_by("community", "seq").alias("community"),
+        F.max_by("owner", "often").alias("owner"),
         F.count_if(F.col("tow_flag") == "Y").alias("tows"),
         F.count("vehicle").alias("vehicles_seen"),
-        F.count_distinct("vehicle").alias("vehicles_distinct"),
+        F.count_if("new_vehicle").alias("vehicles_distinct"),
         F.count_if("recurs").alias("repeat_calls"),
         F.percentile("gap_days", F.lit(0.5)).alias("median_gap_days"),
         F.date_format(F.max("local"), "yyyy-MM-dd").alias("last_call"),
         F.percentile(F.nullif("latitude", F.lit(0.0)), F.lit(0.5)).alias("lat"),
         F.percentile(F.nullif("longitude", F.lit(0.0)), F.lit(0.5)).alias("lon"),
         F.min("request_id").alias("first_seen"),
-    )
-    listed = grouped.filter((F.col("calls_12mo") > 0) & (F.col("calls_12mo") >= min_calls)).filter(keep)
+        tally("towed").alias("tn"), tally("towed", "recurs").alias("tr"), tally("not_towed").alias("nn"), tally("not_towed", "recurs").alias("nr"),
+    )
+
+
+def ranked(listed: DataFrame, areas: DataFrame | None, edges: DataFrame | None, by: list[str]) -> DataFrame:
+    """Listed doorways with street, tow rate, block and rank."""
+    keys = [*by, "door"]
     listed = listed.withColumn("tow_rate", F.col("tows") / F.col("calls_total"))
     listed = listed.withColumn("street", C.street_of(F.col("door")))
-    owners = mode_first(calls, keys, "owner", "seq")
-    listed = listed.join(owners, keys, "left")
     if areas is not None:
         points = listed.filter("lat <> 0 and lon <> 0").select(F.struct(*keys).alias("point"), "lon", "lat")
         placed = containing_area(points, areas, edges).select("point", "block")
@@ -89,35 +100,44 @@ def doorways(
     else:
         listed = listed.withColumn("block", F.lit(None).cast("string")).withColumn("block_dwellings", F.lit(None).cast("int"))
     order = Window.partitionBy(*by).orderBy(F.desc(C.score(F.col("calls_12mo"), F.col("tow_rate"))), "first_seen")
-    return listed.withColumn("rank", F.row_number().over(order)).withColumnRenamed("door", "address")
+    return listed.drop("tn", "tr", "nn", "nr").withColumn("rank", F.row_number().over(order)).withColumnRenamed("door", "address")
 
 
 def blocks(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None) -> DataFrame:
-    """Ranked blocks of listed doorways: those with at least ``min_doorways``."""
+    """Ranked blocks of listed doorways: those with at least ``min_doorways``. Doorways are shuffled once, by block."""
     by = by or []
     keys = [*by, "block"]
     placed = doors.filter("block is not null and block <> ''")
-    rolled = placed.groupBy(*keys).agg(
+    streets, districts = Window.partitionBy(*keys, "street"), Window.partitionBy(*keys, "district")
+    placed = placed.withColumn("at", F.struct(F.negative(F.sum("calls_12mo").over(streets)).alias("n"), F.min("rank").over(streets).alias("r"), "street"))
+    placed = placed.withColumn("often", F.struct(F.count("*").over(districts).alias("n"), F.negative(F.min("rank").over(districts)).alias("first")))
+    # A block holds few doorways and fewer streets, which its row lists anyway.
+    top = F.slice(F.array_sort(F.collect_set(F.when(F.col("street").isNotNull(), F.col("at")))), 1, 2)
+    out = placed.groupBy(*keys).agg(
         F.count("*").alias("doorways"),
         F.sum("calls_12mo").alias("calls_12mo"),
         F.sum("calls_total").alias("calls_total"),
         F.sum("tows").alias("tows"),
         F.coalesce(F.max("block_dwellings"), F.lit(0)).alias("dwellings"),
         F.max_by("address", F.struct("calls_12mo", F.negative("rank"))).alias("worst_doorway"),
+        F.max_by("district", "often").alias("district"),
+        F.array_join(F.transform(top, lambda s: s["street"]), " / ").alias("streets"),
         F.array_join(F.array_sort(F.collect_list("address")), "; ").alias("addresses"),
         F.min("rank").alias("first_rank"),
     )
-    streets = placed.filter("street is not null").groupBy(*keys, "street").agg(F.sum("calls_12mo").alias("n"), F.min("rank").alias("r"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("n"), "r", "street"))), 1, 2)
-    streets = streets.groupBy(*keys).agg(F.array_join(F.transform(top, lambda s: s["street"]), " / ").alias("streets"))
-    out = rolled.join(streets, keys, "left").join(mode_first(placed, keys, "district", "rank"), keys, "left")
-    out = out.withColumn("streets", F.coalesce("streets", F.lit("")))
     out = out.withColumn("calls_per_1k_dwellings", C.per_thousand(F.col("calls_12mo"), F.col("dwellings")))
     out = out.filter(F.col("doorways") >= min_doorways)
     order = Window.partitionBy(*by).orderBy(F.desc("doorways"), F.desc(F.coalesce("calls_per_1k_dwellings", F.lit(0.0))), "first_rank")
     return out.withColumn("rank", F.row_number().over(order)).drop("first_rank")
 
 
+def neighbours(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None) -> DataFrame:
+    """As ``with_neighbours``, from the doorways alone: those of one block are counted where they meet."""
+    own = F.coalesce(F.nullif("block", F.lit("")), F.concat(F.lit("\u0000"), "address"))  # a doorway without a block is alone
+    n = F.count("*").over(Window.partitionBy(*(by or []), own))
+    return doors.withColumn("block_doorways_calling", F.when(n >= min_doorways, n).otherwise(F.lit(1)))
+
+
 def with_neighbours(doors: DataFrame, block_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Doorways with ``block_doorways_calling``: the doorways of their listed block, else 1."""
     keys = [*(by or []), "block"]
@@ -144,8 +164,13 @@ def headline(loaded: DataFrame, doors: DataFrame) -> DataFrame:
 
 def page_summary(loaded: DataFrame, doors: DataFrame) -> DataFrame:
     """One row: tow and unique percentages, distinct and seen vehicles, doorways with a calling neighbour."""
-    n = doors.agg(F.count_if(F.col("block_doorways_calling") >= 2).alias("with_neighbour"))
-    return headline(loaded, doors).select("tow_pct", "unique_pct", "distinct", "seen").crossJoin(F.broadcast(n))
+    a = loaded.agg(C.percent(F.count_if(F.col("tow_flag") == "Y"), F.count("*")).alias("tow_pct"))
+    b = doors.agg(
+        C.percent(F.sum("vehicles_distinct"), F.sum("vehicles_seen"), 0).alias("unique_pct"),
+        F.coalesce(F.sum("vehicles_distinct"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("vehicles_seen"), F.lit(0)).alias("seen"),
+        F.count_if(F.col("block_doorways_calling") >= 2).alias("with_neighbour"),
+    )
+    return a.crossJoin(F.broadcast(b))  # one row each
 
 
 def block_headline(block_rows: DataFrame, doors: DataFrame) -> DataFrame:
@@ -186,16 +211,43 @@ def stamp(rows: DataFrame, clocks: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(clocks.select(*said)))
 
 
-#: Readable headers of the exported lists.
+# Readable headers of the exported lists, in their order, over the columns that pages show.
 DOORWAY_HEADERS = {
-    "rank": "Rank", "address": "Address", "district": "District", "community": "Community", "street": "Street",
-    "block": "Census Block", "block_doorways_calling": "Doorways Calling In Block", "calls_12mo": "Calls In Window",
-    "calls_total": "Calls Total", "tows": "Tows", "vehicles_distinct": "Distinct Vehicles", "vehicles_seen": "Vehicles Seen",
-    "repeat_calls": "Repeat Calls", "median_gap_days": "Median Gap Days", "last_call": "Last Call", "owner": "Ownership", "lat": "Latitude",
-    "lon": "Longitude",
+    "a": "Address", "d": "District", "c": "Community", "st": "Street", "bk": "Block", "nb": "Doorways Calling On Block",
+    "m": "Calls (12mo)", "t": "Calls (Total)", "rp": "Repeat Calls", "w": "Tows", "vd": "Vehicles Distinct", "vs": "Vehicles Seen",
+    "g": "Median Gap Days", "l": "Last Call", "o": "Owner", "lat": "Latitude", "lon": "Longitude",
+}
+BLOCK_HEADERS = {
+    "bk": "Block", "s": "Streets", "n": "Doorways", "m": "Calls (12mo)", "t": "Calls (Total)", "w": "Tows", "dw": "Dwellings",
+    "r": "Calls per 1,000 Dwellings", "d": "District", "worst": "Worst Doorway", "addrs": "Addresses",
 }
+KIND_HEADER = "Violation Type"
 
 
-def export_rows(rows: DataFrame, kind: str, headers: dict[str, str] = DOORWAY_HEADERS) -> DataFrame:
-    """A list under readable headers, the violation type on every row."""
-    return rows.select(F.lit(kind).alias("Violation Type"), *[F.col(c).alias(h) for c, h in headers.items()])
+def export_doorways(doors: DataFrame, kind: str) -> DataFrame:
+    """Doorways as pages show them, under readable headers; the violation type comes last, on every row."""
+    shown = display_doorways(doors)
+    return shown.select(*[F.col(c).alias(h) for c, h in DOORWAY_HEADERS.items()], F.lit(kind).alias(KIND_HEADER))
+
+
+def export_blocks(block_rows: DataFrame, kind: str) -> DataFrame:
+    """Blocks as pages show them, under readable headers, addresses joined; the violation type comes last, on every row."""
+    shown = display_blocks(block_rows).withColumn("addrs", F.array_join("addrs", "; "))
+    return shown.select(*[F.col(c).alias(h) for c, h in BLOCK_HEADERS.items()], F.lit(kind).alias(KIND_HEADER))
+
+
+def export_preamble(doors: DataFrame, block_rows: DataFrame, latest: DataFrame, kind: str, filters: dict[str, object]) -> DataFrame:
+    """``(key, value)``: what an export says before its tables: type, slug, counts, newest call day and the filters in effect.
+
+    ``latest`` is one row of ``latest``.
+    """
+    active = ", ".join(f"{k} = {v}" for k, v in sorted(filters.items()) if v is not None)
+    one = (
+        doors.agg(F.count("*").cast("string").alias("doorway_count"))
+        .crossJoin(F.broadcast(block_rows.agg(F.count("*").cast("string").alias("block_count"))))  # one row each
+        .crossJoin(F.broadcast(latest.select(F.date_format("latest", "yyyy-MM-dd").alias("latest_call_date"))))
+    )
+    said = {"violation_type": F.lit(kind), "slug": C.slug(F.lit(kind)), **{c: F.col(c) for c in one.columns}}
+    said |= {f"filter: {k}": F.lit(None if v is None else str(v)).cast("string") for k, v in filters.items()}
+    said["filters_in_effect"] = F.lit(active or "none")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in said.items()])))

@@ -10,6 +10,13 @@ from ..functions import columns as C
 from .select import residue_sample
 
 
+#: The fields of a call that two copies are compared in; clocks that a derived list carries.
+CALL_FIELDS = ["date_initiated", "date_closed", "description", "initiated_by", "priority", "address", "community", "district", "request_category",
+               "resolution", "latitude", "longitude", "status", "dept_responsibility", "work_order"]
+CLOCKS = ("derived_at", "last_sync_success_at", "most_recent_call_date")
+RANKS = 4096
+
+
 def row_diff(a: DataFrame, b: DataFrame, key: list[str], compare: list[str]) -> DataFrame:
     """``(key.., change, field, a, b)``: rows in one copy only and fields that differ, nulls compared as values."""
     x = a.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.struct(*compare).alias("_a"))
@@ -39,12 +46,13 @@ def row_diff(a: DataFrame, b: DataFrame, key: list[str], compare: list[str]) ->
 
 def id_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: ids in either copy, in both, only in one."""
-    x, y = a.select("request_id").distinct(), b.select("request_id").distinct()
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    out = n(x.union(y).distinct(), "either")
-    for df, name in ((x.intersect(y), "common"), (x.subtract(y), "only_a"), (y.subtract(x), "only_b")):
-        out = out.crossJoin(F.broadcast(n(df, name)))  # one row each
-    return out
+    side = lambda df, name: df.select("request_id").withColumn(name, F.lit(1))
+    sides = side(a, "a").unionByName(side(b, "b"), allowMissingColumns=True)
+    by_id = sides.groupBy("request_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    return by_id.agg(
+        F.count("*").alias("either"), F.count_if(in_a & in_b).alias("common"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(in_b & ~in_a).alias("only_b")
+    )
 
 
 def clean_verdict(*diffs: DataFrame) -> DataFrame:
@@ -55,12 +63,27 @@ def clean_verdict(*diffs: DataFrame) -> DataFrame:
     return total.agg(F.count("*").alias("differences")).withColumn("clean", F.col("differences") == 0)
 
 
-def list_diff(a: DataFrame, b: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """Lists with ``rank``: missing, extra, reordered (rank among the keys that both have) and cell differences."""
+def list_diff(a: DataFrame, b: DataFrame, key: str, compare: list[str] | None = None) -> DataFrame:
+    """Lists with ``rank``: missing, extra, reordered (rank among the keys that both have) and cell differences.
+
+    Without ``compare``, all columns that both lists have are compared, clocks of the run (``CLOCKS``) left out. A
+    key's place among those of both lists is its rank less the keys of one list alone that rank before it. Those are
+    few where lists are near alike; they are numbered, and counted by blocks of ``RANKS``, so no task sorts a list.
+    """
+    if compare is None:
+        compare = [c for c in a.columns if c in b.columns and c not in (key, "rank", *CLOCKS)]
     cells = row_diff(a, b, [key], compare)
     cells = cells.withColumn("change", F.when(F.col("change") == "only_a", "missing").when(F.col("change") == "only_b", "extra").otherwise("cell"))
-    both = a.select(key, F.col("rank").alias("ra")).join(b.select(key, F.col("rank").alias("rb")), key)
-    places = both.withColumn("pa", F.row_number().over(Window.orderBy("ra"))).withColumn("pb", F.row_number().over(Window.orderBy("rb")))
+
+    def among_both(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        """``(key, name)``: places of my keys that the other list has, numbered without gaps."""
+        ranks = mine.select(key, "rank").join(other.select(key), key, "left_semi").withColumn("_block", F.floor((F.col("rank") - 1) / RANKS))
+        counts = ranks.groupBy("_block").agg(F.count("*").alias("_n"))
+        before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # a row per block of ranks
+        within = F.row_number().over(Window.partitionBy("_block").orderBy("rank"))
+        return ranks.join(before, "_block").select(key, (F.col("_before") + within).alias(name))
+
+    places = among_both(a, b, "pa").join(among_both(b, a, "pb"), key)
     moved = places.filter("pa <> pb").select(
         key, F.lit("reordered").alias("change"), F.lit("rank").alias("field"), F.col("pa").cast("string").alias("a"), F.col("pb").cast("string").alias("b")
     )
@@ -105,8 +128,9 @@ def moved_examples(older: DataFrame, newer: DataFrame, limit: int = 5) -> DataFr
 
 
 def retained_versions(versions: DataFrame) -> DataFrame:
-    """Oldest first, versions without an edit time before all."""
-    return versions.orderBy(F.asc_nulls_first("edited_at"), "version_id")
+    """A layer's versions with their ``position``, oldest first, those without an edit time before all."""
+    order = Window.partitionBy("layer").orderBy(F.asc_nulls_first("edited_at"), "version_id")
+    return versions.withColumn("position", F.row_number().over(order)).orderBy("layer", "position")
 
 
 def advanced(observed: DataFrame, baseline: DataFrame) -> DataFrame:

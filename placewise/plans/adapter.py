@@ -5,6 +5,9 @@ The texts below are plain SQL that Spark and DuckDB both run, so a query and its
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "conversations")
@@ -23,21 +26,25 @@ SELECT o_orderkey AS object_id, o_orderkey AS request_id,
   cast(n_regionkey AS double) * 10 + cast(c_custkey % 40 AS double) / 5 + cast(o_orderkey % 3 AS double) / 1024 AS latitude,
   CASE WHEN o_orderkey % 13 = 0 THEN 0
        ELSE cast(n_nationkey - n_nationkey % 5 AS double) * 2 + cast(c_custkey % 40 AS double) / 5 END AS longitude,
-  CASE WHEN o_orderkey % 10 < 8 THEN 'INTERNAL' WHEN o_orderkey % 10 = 8 THEN '311 Online' ELSE NULL END AS initiated_by
+  CASE WHEN o_orderkey % 10 < 8 THEN 'INTERNAL' WHEN o_orderkey % 10 = 8 THEN '311 Online' ELSE NULL END AS initiated_by,
+  concat('Call of ', lower(o_orderpriority)) AS description, substring(o_orderpriority, 1, 1) AS priority, c_mktsegment AS request_category,
+  CASE o_orderstatus WHEN 'F' THEN 'Resolved' WHEN 'P' THEN 'Partly resolved' ELSE NULL END AS resolution, o_orderstatus AS status,
+  r_name AS dept_responsibility, CASE WHEN o_orderkey % 6 = 0 THEN concat('W', cast(o_orderkey AS string)) ELSE NULL END AS work_order
 FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "order_part": """
 SELECT l_orderkey AS request_id, p_brand, p_type, p_size
 FROM (SELECT l_orderkey, min(l_partkey) AS pk FROM lineitem GROUP BY l_orderkey) x JOIN part ON p_partkey = pk""",
     "fields": """
-SELECT o_orderkey * 10 AS object_id, o_orderkey AS request_id, 1 AS field_id, 'Alleged Violation' AS name, o_orderpriority AS value FROM orders
-UNION ALL SELECT o_orderkey * 10 + 1, o_orderkey, 2, 'Vehicle Was Towed',
-  CASE o_orderstatus WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' ELSE NULL END FROM orders
-UNION ALL SELECT o_orderkey * 10 + 2, o_orderkey, 3, 'Property Ownership',
-  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END FROM orders JOIN customer ON o_custkey = c_custkey
-UNION ALL SELECT request_id * 10 + 3, request_id, 4, 'Vehicle Make', p_brand FROM order_part
-UNION ALL SELECT request_id * 10 + 4, request_id, 5, 'Vehicle Model', p_type FROM order_part
-UNION ALL SELECT request_id * 10 + 5, request_id, 6, 'Vehicle Colour', cast(p_size % 4 AS string) FROM order_part""",
+SELECT o_orderkey * 10 + i AS object_id, o_orderkey AS request_id, i + 1 AS field_id,
+  CASE i WHEN 0 THEN 'Alleged Violation' WHEN 1 THEN 'Vehicle Was Towed' ELSE 'Property Ownership' END AS name,
+  CASE WHEN i = 0 THEN o_orderpriority WHEN i = 1 THEN CASE o_orderstatus WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' ELSE NULL END
+       WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS value
+FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES (0), (1), (2)) AS v(i)
+UNION ALL SELECT request_id * 10 + i, request_id, i + 1,
+  CASE i WHEN 3 THEN 'Vehicle Make' WHEN 4 THEN 'Vehicle Model' ELSE 'Vehicle Colour' END,
+  CASE i WHEN 3 THEN p_brand WHEN 4 THEN p_type ELSE cast(p_size % 4 AS string) END
+FROM order_part CROSS JOIN (VALUES (3), (4), (5)) AS v(i)""",
     "squares": """
 SELECT cast(n_nationkey AS string) AS dauid, cast(n_nationkey - n_nationkey % 5 AS double) * 2 AS x0,
   cast(n_regionkey AS double) * 10 AS y0, cast(0 AS double) AS off, cast(7.03125 AS double) AS side FROM nation
@@ -80,19 +87,28 @@ FROM conversations""",
 
 
 class Inputs:
-    """The views as DataFrames, by attribute."""
+    """The tables and views as DataFrames, by attribute; each is made when it is first asked for.
+
+    Views are registered under names of their folder, so that several folders can be used in one session.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        for name in TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        for name, sql in VIEWS.items():
-            df = spark.sql(sql)
-            df.createOrReplaceTempView(name)
-            setattr(self, name, df)
+        self.spark, self.sf_dir = spark, sf_dir
+        self._prefix = f"v{zlib.crc32(sf_dir.encode()):08x}_"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+        if name not in TABLES and name not in VIEWS:
+            raise AttributeError(name)
+        if name in TABLES:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            sql = VIEWS[name]
+            for used in sorted(set(re.findall(r"(?:FROM|JOIN) ([a-z_]+)", sql))):
+                getattr(self, used)
+            df = self.spark.sql(re.sub(r"(?<=FROM |JOIN )([a-z_]+)", rf"{self._prefix}\1", sql))
+        df.createOrReplaceTempView(self._prefix + name)
+        setattr(self, name, df)
+        return df
 
 
 def with_views(sql: str, *ctes: str) -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators.figures import SEED, Z95
+from ..operators.figures import BLOCK_DOORS, REPLICATES, SEED, Z95
+from ..operators.reconcile import CALL_FIELDS
+from ..operators.types import dimension_rows
 from .adapter import with_views
-from .queries import CUTOFFS, NOW, SHORT
+from .queries import CUTOFFS, NOW
 
 ZONE = "America/Halifax"
 
@@ -100,10 +102,12 @@ TOTALS = "totals AS (SELECT canonical_type, sum(tn)::BIGINT AS tn, sum(tr)::BIGI
 WALD = f"""wald AS (SELECT *, 100 * (p1 - p2) AS difference, 100 * (p1 - p2 - {Z95} * se) AS wald_lo, 100 * (p1 - p2 + {Z95} * se) AS wald_hi FROM (
   SELECT *, sqrt(p1 * (1 - p1) / nullif(tn, 0) + p2 * (1 - p2) / nullif(nn, 0)) AS se FROM (
     SELECT *, tr / nullif(tn, 0) AS p1, nr / nullif(nn, 0) AS p2 FROM totals)))"""
-BOOT = f"""num AS (SELECT *, row_number() OVER (PARTITION BY canonical_type ORDER BY door) - 1 AS idx FROM t),
-draws AS (SELECT canonical_type, rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || k), 1, 8))::BIGINT % n AS idx FROM (
-  SELECT canonical_type, n, rep, unnest(range(0, n)) AS k FROM (SELECT canonical_type, count(*) AS n FROM t GROUP BY 1), range(0, {SHORT}) r(rep))),
-reps AS (SELECT canonical_type, rep, 100 * (sum(tr) / sum(tn) - sum(nr) / sum(nn)) AS d FROM draws JOIN num USING (canonical_type, idx) GROUP BY 1, 2
+BOOT = f"""dealt AS (SELECT t.*, CASE WHEN blocks > 1 THEN ('0x' || substr(md5(door), 1, 8))::BIGINT % blocks ELSE 0 END AS block FROM t
+  JOIN (SELECT canonical_type, ceil(count(*) / {BLOCK_DOORS})::BIGINT AS blocks FROM t GROUP BY 1) USING (canonical_type)),
+num AS (SELECT *, row_number() OVER (PARTITION BY canonical_type, block ORDER BY door) - 1 AS idx FROM dealt),
+draws AS (SELECT canonical_type, block, rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || (block * 1048576 + k)), 1, 8))::BIGINT % n AS idx FROM (
+  SELECT canonical_type, block, n, rep, unnest(range(0, n)) AS k FROM (SELECT canonical_type, block, count(*) AS n FROM num GROUP BY 1, 2), range(0, {REPLICATES}) r(rep))),
+reps AS (SELECT canonical_type, rep, 100 * (sum(tr) / sum(tn) - sum(nr) / sum(nn)) AS d FROM draws JOIN num USING (canonical_type, block, idx) GROUP BY 1, 2
   HAVING sum(tn) > 0 AND sum(nn) > 0),
 boot AS (SELECT canonical_type, len(d) AS replicates, d[1 + round_even(0.025 * (len(d) - 1), 0)::INT] AS boot_lo,
   d[1 + round_even(0.975 * (len(d) - 1), 0)::INT] AS boot_hi FROM (SELECT canonical_type, list(d ORDER BY d) AS d FROM reps GROUP BY 1))"""
@@ -118,6 +122,9 @@ VEHICLES = """vehicles AS (SELECT *, CASE WHEN seen < 30 THEN 'sample_too_small'
   ELSE 'mixed' END AS vehicle_verdict FROM (SELECT *, round_even("distinct" / nullif(seen, 0), 3) AS share FROM (
   SELECT canonical_type, sum(vehicles_seen)::BIGINT AS seen, sum(vehicles_distinct)::BIGINT AS "distinct", count(*) AS doorways FROM doors GROUP BY 1)))"""
 STATS = (*FLAGS, TALLY, TOTALS, WALD, BOOT, BOUND, VERDICT)
+URGENT = "ids AS (SELECT DISTINCT request_id FROM fields WHERE name = 'Alleged Violation' AND value IN (SELECT raw_label FROM dim WHERE canonical_type = 'Urgent or high'))"
+SELECTED = (ATTRS, LOADED, URGENT, "sel AS (SELECT *, 'all' AS canonical_type FROM loaded WHERE request_id IN (SELECT request_id FROM ids) AND request_id % 9 <> 0)", _gaps(),
+            _doors(district="1"), _blocks())
 HEADLINE = f"""SELECT * FROM (SELECT count(*) AS calls, count(*) FILTER (tow_flag = 'Y') AS tows, {_pct("count(*) FILTER (tow_flag = 'Y')", 'count(*)')} AS tow_pct,
   {_pct("count(*) FILTER (tow_status = 'unknown')", 'count(*)')} AS no_outcome_pct FROM sel),
  (SELECT count(*) AS addresses, coalesce(sum(vehicles_seen), 0)::BIGINT AS seen, coalesce(sum(vehicles_distinct), 0)::BIGINT AS "distinct",
@@ -173,7 +180,10 @@ SHIFTED = """shifted AS (SELECT * REPLACE (CASE WHEN request_id % 3 = 0 THEN obj
 old AS (SELECT request_id::VARCHAR AS business_key, object_id AS was FROM calls WHERE request_id % 8 = 0),
 new AS (SELECT request_id::VARCHAR AS business_key, object_id AS now FROM shifted WHERE request_id % 8 = 0)"""
 ALTERED = """altered AS (SELECT * REPLACE (CASE WHEN request_id % 31 = 0 THEN NULL ELSE community END AS community,
-  CASE WHEN request_id % 29 = 0 THEN '9' ELSE district END AS district) FROM calls WHERE request_id % 17 <> 0)"""
+  CASE WHEN request_id % 29 = 0 THEN '9' ELSE district END AS district, CASE WHEN request_id % 37 = 0 THEN date_closed + INTERVAL 1 SECOND ELSE date_closed END AS date_closed,
+  CASE WHEN request_id % 43 = 0 AND latitude >= 1 THEN latitude + 0.5 ELSE latitude END AS latitude, CASE WHEN request_id % 47 = 0 THEN NULL ELSE longitude END AS longitude,
+  CASE WHEN request_id % 53 = 0 THEN 'W' ELSE work_order END AS work_order, CASE WHEN request_id % 59 = 0 THEN 'X' ELSE status END AS status)
+  FROM calls WHERE request_id % 17 <> 0)"""
 
 
 def _diff(a: str, b: str, keys: list[str], fields: list[str], name: str) -> str:
@@ -187,7 +197,7 @@ def _diff(a: str, b: str, keys: list[str], fields: list[str], name: str) -> str:
   FROM {a} x FULL JOIN {b} y ON {on} WHERE x.{k0} IS NULL OR y.{k0} IS NULL UNION ALL {changed})"""
 
 
-ROW_DIFF = _diff("calls", "altered", ["request_id"], ["address", "community", "district", "initiated_by"], "rd")
+ROW_DIFF = _diff("calls", "altered", ["request_id"], CALL_FIELDS, "rd")
 FIELD_DIFF = """f2 AS (SELECT * REPLACE (CASE WHEN request_id % 23 = 0 THEN NULL ELSE value END AS value) FROM fields WHERE request_id % 19 <> 0),
 """ + _diff("fields", "f2", ["request_id", "field_id"], ["name", "value"], "fd")
 PULLED = """st AS (SELECT layer, max(source_last_edit) AS source_last_edit, min(full_load_completed_at) AS done FROM layer_state GROUP BY 1),
@@ -201,10 +211,17 @@ READY = """ready AS (SELECT store, count(full_load_completed_at) AS loaded, coun
 RECONCILED = """rec AS (SELECT layer, r AS reconciled FROM (SELECT DISTINCT layer FROM layer_state) LEFT JOIN
   (SELECT layer, arg_max(reconciled, started_at) AS r FROM runs WHERE error IS NULL AND reconciled IS NOT NULL GROUP BY 1) USING (layer))"""
 INTERVALS = """iv AS (SELECT *, date_diff('microsecond', lag(edited_at) OVER (PARTITION BY layer ORDER BY edited_at), edited_at) / 1000000 AS seconds FROM (
-  SELECT DISTINCT event_type AS layer, date_trunc('day', ts)::TIMESTAMP AS edited_at FROM events WHERE event_id % 3 = 0))"""
+  SELECT DISTINCT event_type AS layer, date_trunc('day', ts)::TIMESTAMP AS edited_at FROM events))"""
 GOOD = """good AS (SELECT *, coalesce(nullif(trim(role), ''), 'unspecified') AS r, nullif(trim(note), '') AS n FROM decisions
   WHERE coalesce(scope IN ('doorway', 'block'), false) AND coalesce(trim(item_key), '') <> '' AND coalesce(trim(decision), '') <> '')"""
-URGENT = "ids AS (SELECT DISTINCT request_id FROM fields WHERE name = 'Alleged Violation' AND value IN (SELECT raw_label FROM dim WHERE canonical_type = 'Urgent or high'))"
+
+PUBLISHED = (
+    "tab(raw_label, canonical_type, status, n, i) AS (VALUES " + ", ".join(
+        "({}, {}, '{}', {}::BIGINT, {})".format(*["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in r[:2]], r[2], r[3], i)
+        for i, r in enumerate(dimension_rows())) + ")",
+    f"""pub AS (SELECT request_id, CASE k WHEN {len(dimension_rows()) + 1} THEN 'no parking sign' WHEN {len(dimension_rows()) + 2} THEN 'Unheard of' ELSE raw_label END AS label
+      FROM (SELECT request_id, request_id * 31 % {len(dimension_rows()) + 3} AS k FROM fields WHERE name = 'Alleged Violation') LEFT JOIN tab ON i = k)""",
+)
 
 ORACLE_SQL: dict[str, str] = {
     "recent_watchlist": with_views(
@@ -290,13 +307,37 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(district, '?') AS d, {_title('worst_doorway')} AS worst, replace({_title('addresses')}, '; ', '|') AS addrs FROM blks""", *PAGE
     ),
     "export_rows": with_views(
-        f"""SELECT 'Any of these!' AS "Violation Type", 'any-of-these' AS slug, rank AS "Rank", address AS "Address", district AS "District", community AS "Community", street AS "Street",
-        block AS "Census Block", block_doorways_calling AS "Doorways Calling In Block", calls_12mo AS "Calls In Window", calls_total AS "Calls Total", tows AS "Tows",
-        vehicles_distinct AS "Distinct Vehicles", vehicles_seen AS "Vehicles Seen", repeat_calls AS "Repeat Calls", round_even(median_gap_days, 6) AS "Median Gap Days",
-        last_call AS "Last Call", owner AS "Ownership", round_even(lat, 6) AS "Latitude", round_even(lon, 6) AS "Longitude",
+        f"""SELECT {_title('address')} AS "Address", coalesce(district, '?') AS "District", {_title("coalesce(community, '')")} AS "Community", {_title("coalesce(street, '')")} AS "Street",
+        coalesce(block, '') AS "Block", block_doorways_calling AS "Doorways Calling On Block", calls_12mo AS "Calls (12mo)", calls_total AS "Calls (Total)", repeat_calls AS "Repeat Calls",
+        tows AS "Tows", vehicles_distinct AS "Vehicles Distinct", vehicles_seen AS "Vehicles Seen", round_even(median_gap_days, 0)::BIGINT AS "Median Gap Days", last_call AS "Last Call",
+        coalesce(owner, '') AS "Owner", round_even(lat, 6) AS "Latitude", round_even(lon, 6) AS "Longitude", 'Any of these!' AS "Violation Type", 'any-of-these' AS slug,
         strftime((SELECT max(date_closed) FROM sel), '%Y-%m-%d %H:%M:%S') AS derived_at, 'unknown' AS last_sync,
         strftime((SELECT max(local) FROM sel), '%Y-%m-%d %H:%M:%S') AS latest_call FROM nb""", *PAGE
     ),
+    "export_blocks": with_views(
+        f"""SELECT block AS "Block", {_title('streets')} AS "Streets", doorways AS "Doorways", calls_12mo AS "Calls (12mo)", calls_total AS "Calls (Total)", tows AS "Tows",
+        dwellings AS "Dwellings", calls_per_1k_dwellings AS "Calls per 1,000 Dwellings", coalesce(district, '?') AS "District", {_title('worst_doorway')} AS "Worst Doorway",
+        {_title('addresses')} AS "Addresses", 'Any of these!' AS "Violation Type" FROM blks""", *PAGE
+    ),
+    "derive_summary": with_views(
+        """SELECT (SELECT count(*) FROM doors) AS doorways, (SELECT count(*) FROM doors WHERE block IS NULL) AS unplaced, (SELECT count(*) FROM blks) AS blocks,
+        (SELECT count(*) FROM ids WHERE request_id % 9 = 0) AS missing, (SELECT max(local) FROM sel) AS latest""", *SELECTED
+    ),
+    "export_preamble": with_views(
+        """SELECT 'violation_type' AS key, 'Urgent or high' AS value UNION ALL SELECT 'slug', 'urgent-or-high' UNION ALL SELECT 'doorway_count', (SELECT count(*) FROM doors)::VARCHAR
+        UNION ALL SELECT 'block_count', (SELECT count(*) FROM blks)::VARCHAR UNION ALL SELECT 'latest_call_date', (SELECT strftime(max(local), '%Y-%m-%d') FROM sel)
+        UNION ALL SELECT 'filter: ' || k, v FROM (VALUES ('district', '1'), ('min_calls', '2'), ('min_doorways', '2'), ('recur_days', '90'), ('recency_days', '365')) f(k, v)
+        UNION ALL SELECT 'filters_in_effect', 'district = 1, min_calls = 2, min_doorways = 2, recency_days = 365, recur_days = 90'""", *SELECTED
+    ),
+    "run_metadata": with_views(
+        f"""SELECT TIMESTAMP '{NOW}' AS derived_at, (SELECT min(s) FROM (SELECT max(last_success_at) AS s FROM layer_state WHERE layer IN ('click', 'purchase') GROUP BY layer)) AS last_sync,
+        (SELECT max(date_initiated) FROM calls) AS newest_call, (SELECT bool_and(coalesce(r, false)) FROM (VALUES ('click'), ('purchase')) l(layer) LEFT JOIN
+          (SELECT layer, arg_max(reconciled, started_at) AS r FROM runs WHERE error IS NULL AND reconciled IS NOT NULL GROUP BY 1) USING (layer)) AS reconciled"""
+    ),
+    "version_map": with_views(
+        """SELECT '{' || string_agg('"' || layer || '":' || coalesce('"' || strftime(e, '%Y-%m-%dT%H:%M:%S') || '"', 'null'), ',' ORDER BY layer) || '}' AS version_json, count(*)::INT AS layers
+        FROM (VALUES ('view'), ('click'), ('never published')) l(layer) LEFT JOIN (SELECT layer, max(source_last_edit) AS e FROM layer_state GROUP BY 1) USING (layer)"""
+    ),
     "hour_histogram": with_views("SELECT * FROM h", _hist("h", _local("ts"), "nullif(event_type, 'click')", "events")),
     "hour_summary": with_views(
         f"""SELECT channel, sum(calls)::BIGINT AS total, arg_max(hour, (calls, -hour)) AS peak_hour,
@@ -312,22 +353,57 @@ ORACLE_SQL: dict[str, str] = {
         count(*) FILTER (value IS NOT NULL AND status IS NULL) AS n_unknown, count(*) FILTER (status = 'assigned') AS n_assigned,
         round_even(count(*) FILTER (status = 'assigned') / count(*), 6) AS assigned_share FROM fields LEFT JOIN dim ON value = raw_label WHERE name = 'Alleged Violation'"""
     ),
-    "dimension_check": with_views("SELECT raw_label, 2::BIGINT AS uses, status, canonical_type FROM dim WHERE status = 'excluded'"),
+    "dimension_check": with_views(
+        """SELECT raw_label, uses, status, canonical_type FROM (SELECT raw_label, count(*) AS uses FROM (SELECT raw_label FROM dim UNION ALL SELECT raw_label FROM dim WHERE status = 'excluded')
+        GROUP BY 1 HAVING count(*) > 1) JOIN dim USING (raw_label)"""
+    ),
+    "dimension_totals": with_views(
+        """SELECT *, entries = labels AND labels = 5 AS sound FROM (SELECT count(*) AS entries, count(DISTINCT raw_label) AS labels, count(DISTINCT canonical_type) AS types, sum(n)::BIGINT AS labelled_rows,
+        coalesce(sum(n) FILTER (status = 'assigned'), 0)::BIGINT AS assigned_rows, coalesce(sum(n) FILTER (status = 'excluded'), 0)::BIGINT AS excluded_rows,
+        coalesce(sum(n) FILTER (status = 'ambiguous'), 0)::BIGINT AS ambiguous_rows,
+        round_even(sum(n) FILTER (status = 'assigned') / (sum(n) - coalesce(sum(n) FILTER (status = 'excluded'), 0)), 6) AS assigned_share
+        FROM dim JOIN (SELECT value AS raw_label, count(*) AS n FROM fields WHERE name = 'Alleged Violation' GROUP BY 1) USING (raw_label))"""
+    ),
+    "published_types": with_views(
+        "SELECT canonical_type, CASE WHEN label IS NULL THEN 'null' ELSE coalesce(status, 'unknown') END AS label_status, count(*) AS n FROM pub LEFT JOIN tab ON label = raw_label GROUP BY 1, 2", *PUBLISHED
+    ),
+    "published_coverage": with_views(
+        """SELECT count(*) AS total, count(*) FILTER (label IS NULL) AS n_null, count(*) FILTER (status = 'excluded') AS n_excluded, count(*) FILTER (status = 'ambiguous') AS n_ambiguous,
+        count(*) FILTER (label IS NOT NULL AND status IS NULL) AS n_unknown, count(*) FILTER (status = 'assigned') AS n_assigned,
+        round_even(count(*) FILTER (status = 'assigned') / count(*), 6) AS assigned_share FROM pub LEFT JOIN tab ON label = raw_label""", *PUBLISHED
+    ),
+    "type_counts": with_views(
+        """SELECT canonical_type, raw_label, n AS count, coalesce(live, 0) AS live FROM tab LEFT JOIN (SELECT label AS raw_label, count(*) AS live FROM pub GROUP BY 1) USING (raw_label)
+        WHERE status = 'assigned'""", *PUBLISHED
+    ),
     "address_spread": with_views(
         f"""SELECT * FROM (SELECT count(*) AS addresses, count(*) FILTER (calls > 1) AS multi, {_pct('count(*) FILTER (calls > 1 AND spread > 50)', 'count(*) FILTER (calls > 1)')} AS over_50_pct,
         {_pct('count(*) FILTER (calls > 1 AND spread > 200)', 'count(*) FILTER (calls > 1)')} AS over_200_pct FROM sp), (SELECT count(*) AS near_pairs FROM near),
         (SELECT count(*) AS involved FROM (SELECT a FROM near UNION SELECT b FROM near))""", _points(), _spread(), _near(30.0)
     ),
     "spread_compare": with_views(
-        f"""SELECT CASE WHEN starts_with(door, 'U') THEN 'Urgent or high' ELSE 'Medium or low' END AS canonical_type, count(*) AS addresses, count(*) FILTER (calls > 1) AS multi,
+        f"""SELECT split_part(door, '|', 1) AS canonical_type, count(*) AS addresses, count(*) FILTER (calls > 1) AS multi,
         {_pct('count(*) FILTER (calls > 1 AND spread > 200)', 'count(*) FILTER (calls > 1)')} AS over_200_pct FROM sp GROUP BY 1""",
-        TYPES, _points(), "tp AS (SELECT canonical_type[1] || ' ' || door AS door, x, y FROM pts JOIN types USING (request_id))", _spread("tp"),
+        TYPES, _points(), "tp AS (SELECT canonical_type || '|' || door AS door, x, y FROM pts JOIN types USING (request_id))", _spread("tp"),
     ),
     "near_duplicates": with_views("SELECT a, b, round_even(metres, 6) AS metres FROM near", _points(400), _near(300.0)),
     "nearest_pairs": with_views("SELECT a, b, round_even(metres, 3) AS metres FROM near ORDER BY round_even(metres, 3), a, b LIMIT 8", _points(400), _near(300.0)),
     "snapshot_rows": with_views(
-        f"""SELECT 7 AS snapshot_id, TIMESTAMP '{CUTOFFS[2]}' AS derived_at, 'all' AS violation_type, address, rank, calls_12mo, calls_total,
-        '{{"tows":' || tows || ',"vehicles_seen":' || vehicles_seen || '}}' AS detail FROM doors""", *BASE
+        f"""SELECT 7 AS snapshot_id, TIMESTAMP '{CUTOFFS[2]}' AS derived_at, 'all' AS violation_type, address, rank, block, district, calls_12mo, calls_total, tows, vehicles_seen, vehicles_distinct,
+        '{{"community":"' || community || '","last_call":"' || last_call || '","repeat_calls":' || repeat_calls || '}}' AS detail FROM doors""", *BASE
+    ),
+    "snapshot_blocks": with_views(
+        f"""SELECT 7 AS snapshot_id, TIMESTAMP '{CUTOFFS[2]}' AS derived_at, canonical_type AS violation_type, block, rank, streets, district, doorways, calls_12mo, calls_total, tows, dwellings,
+        '{{"worst_doorway":"' || worst_doorway || '"}}' AS detail FROM blks""", *ALL, _blocks()
+    ),
+    "version_headers": with_views(
+        f"""SELECT 7 AS snapshot_id, TIMESTAMP '{CUTOFFS[2]}' AS derived_at, canonical_type AS violation_type, coalesce(n, 0) AS listed,
+        '{{"district": null, "min_calls": 2, "min_doorways": 2, "recur_days": 90}}' AS parameters,
+        (SELECT '{{' || string_agg('"' || layer || '":"' || strftime(e, '%Y-%m-%dT%H:%M:%S') || '"', ',' ORDER BY layer) || '}}' FROM (
+          SELECT layer, max(source_last_edit) AS e FROM layer_state WHERE layer IN ('view', 'click') GROUP BY 1)) AS mirror_version, latest::VARCHAR AS latest_call_date
+        FROM (SELECT DISTINCT canonical_type FROM dim WHERE status = 'assigned') LEFT JOIN (SELECT canonical_type, count(*) AS n FROM d0 WHERE canonical_type <> 'Urgent or high' GROUP BY 1) USING (canonical_type)
+        LEFT JOIN (SELECT canonical_type, max(local)::DATE AS latest FROM sel0 GROUP BY 1) USING (canonical_type)""",
+        ATTRS, LOADED, TYPES, TYPED, "sel0 AS (SELECT * FROM sel WHERE local < TIMESTAMP '1998-01-01')", _gaps(sel="sel0", name="gaps0"), _doors(sel="sel0", gaps="gaps0", name="d0"),
     ),
     "snapshot_headers": with_views("SELECT snapshot_id, derived_at, violation_type, listed FROM heads WHERE violation_type = 'Medium or low'", *_snapshots()),
     "departed": with_views(
@@ -349,8 +425,14 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN (SELECT canonical_type, strftime(date_initiated, '%Y-%m') AS version, count(*)::VARCHAR AS payload FROM calls JOIN types USING (request_id)
           WHERE strftime(date_initiated, '%Y-%m') <> '1997-03' GROUP BY 1, 2) USING (canonical_type, version)""", TYPES
     ),
-    "missing_figures": with_views("SELECT DISTINCT canonical_type FROM dim WHERE status = 'assigned' AND canonical_type <> 'Urgent or high'"),
-    "upsert_latest": with_views("SELECT object_id, request_id, field_id, name, CASE WHEN request_id % 3 = 0 THEN upper(value) ELSE value END AS value, CASE WHEN request_id % 3 = 0 THEN 2 ELSE 1 END AS written FROM fields"),
+    "missing_figures": with_views(
+        """SELECT DISTINCT canonical_type FROM dim WHERE status = 'assigned' AND canonical_type NOT IN (
+        SELECT canonical_type FROM calls JOIN types USING (request_id) WHERE canonical_type = 'Urgent or high')""", TYPES
+    ),
+    "upsert_latest": with_views(
+        """SELECT object_id, request_id, field_id, name, value, written FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY written DESC) AS r FROM (
+        SELECT *, 1 AS written FROM fields UNION ALL SELECT object_id, request_id, field_id, name, upper(value), 2 FROM fields WHERE request_id % 3 = 0)) WHERE r = 1"""
+    ),
     "version_sample": with_views(
         f"SELECT 'service_requests' AS layer, TIMESTAMP '{CUTOFFS[0]}' AS edited_at, request_id::VARCHAR AS business_key, object_id FROM calls WHERE request_id % 128 = 0"
     ),
@@ -423,4 +505,40 @@ ORACLE_SQL: dict[str, str] = {
         WHEN coalesce(trim(decision), '') = '' THEN 'no decision' END AS reason, count(*) AS n FROM decisions
         WHERE NOT coalesce(scope IN ('doorway', 'block'), false) OR coalesce(trim(item_key), '') = '' OR coalesce(trim(decision), '') = '' GROUP BY 1"""
     ),
+    "retained_versions": with_views(
+        """SELECT *, row_number() OVER (PARTITION BY layer ORDER BY edited_at NULLS FIRST, version_id)::INT AS position FROM (
+        SELECT layer, run_id AS version_id, CASE WHEN error IS NULL THEN source_edit END AS edited_at FROM runs WHERE kind = 'full_load')"""
+    ),
+    "landed_calls": with_views(
+        f"SELECT object_id, request_id, {', '.join(CALL_FIELDS)} FROM calls"
+    ),
+    "landed_fields": with_views("SELECT object_id, request_id, field_id, name, value FROM fields"),
+    "landed_areas": with_views(
+        """SELECT dauid::BIGINT AS object_id, dauid, NULL::INT AS people, nullif(dwellings, 0) AS dwellings, 'part ' || dauid AS subdivision, 'whole' AS division,
+        CASE WHEN dauid <> '24' THEN min_lon END AS min_lon, CASE WHEN dauid <> '24' THEN min_lat END AS min_lat, CASE WHEN dauid <> '24' THEN max_lon END AS max_lon,
+        CASE WHEN dauid <> '24' THEN max_lat END AS max_lat FROM areas"""
+    ),
+    "scanned_areas": with_views("SELECT dauid, dwellings, 0 AS people, min_lon, min_lat, max_lon, max_lat FROM areas WHERE dauid <> '24'"),
+    "area_edges": with_views("SELECT dauid, x1, y1, x2, y2 FROM edges WHERE dauid <> '24'"),
+    "scanned_calls": with_views("SELECT object_id, request_id, date_initiated, date_closed, address, community, district, latitude, longitude, initiated_by FROM calls"),
+    "epoch_times": with_views("SELECT event_id, epoch_ms(ts) AS ms, CASE WHEN event_id % 10 <> 0 THEN make_timestamp(epoch_ms(ts) * 1000) END AS back FROM events"),
+    "replaced_snapshot": with_views("SELECT run_id, layer, started_at FROM runs WHERE layer <> 'click'"),
+    "landed_stream": with_views("SELECT run_id, layer, started_at FROM runs WHERE run_id % 2 = 1"),
+    "listed_as_text": with_views("SELECT rank::VARCHAR AS rank, address, calls_12mo::VARCHAR AS calls_12mo, calls_total::VARCHAR AS calls_total, tows::VARCHAR AS tows, last_call FROM doors", *BASE),
+    "lists_by_type": with_views(
+        "SELECT canonical_type, rank::VARCHAR AS rank, address, calls_total::VARCHAR AS calls_total, replace(lower(canonical_type), ' ', '-') AS slug FROM doors", *ALL
+    ),
+    "retained_snapshots": with_views(
+        """SELECT i AS snapshot_id, canonical_type AS violation_type, coalesce(d, 0) AS listed, coalesce(d, 0) AS doorways, coalesce(b, 0) AS blocks
+        FROM (SELECT DISTINCT canonical_type FROM dim WHERE status = 'assigned') CROSS JOIN (VALUES (1), (2)) v(i)
+        LEFT JOIN (SELECT 1 AS i, canonical_type, count(*) AS d FROM d1 GROUP BY 2 UNION ALL SELECT 2, canonical_type, count(*) FROM d2 GROUP BY 2) USING (i, canonical_type)
+        LEFT JOIN (SELECT 1 AS i, canonical_type, count(*) AS b FROM b1 GROUP BY 2 UNION ALL SELECT 2, canonical_type, count(*) FROM b2 GROUP BY 2) USING (i, canonical_type)""",
+        ATTRS, LOADED, TYPES, TYPED,
+        *[c for i in (1, 2) for c in (f"sel{i} AS (SELECT * FROM sel WHERE local < TIMESTAMP '{CUTOFFS[i - 1]}')", _gaps(sel=f"sel{i}", name=f"gaps{i}"),
+                                      _doors(sel=f"sel{i}", gaps=f"gaps{i}", name=f"d{i}"), _blocks(2, f"d{i}", f"b{i}"))],
+    ),
+    "kept_figures": with_views(
+        """SELECT canonical_type, 'v1' AS version, '{}' AS parameters, CASE canonical_type WHEN 'Urgent or high' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS stored_at,
+        '{"nn":' || nn || ',"nr":' || nr || ',"tn":' || CASE canonical_type WHEN 'Urgent or high' THEN tn ELSE 0 END || ',"tr":' || tr || '}' AS payload FROM totals""", *FLAGS, TALLY, TOTALS
+    ),
 }

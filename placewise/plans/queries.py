@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import figures, freshness, geo, history, places, reconcile, select, triage
+from ..operators import derive, figures, freshness, geo, history, places, reconcile, select, triage, types
+from ..sources.layers import settled
 from .adapter import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KIND = "canonical_type"
 NOW = "2024-02-20 12:00:00"
-SHORT = 200  # bootstrap replicates of the SQL twins; the queries draw figures.REPLICATES
 CUTOFFS = ("1998-01-01", "1999-06-01", "2001-06-01")
 DOOR = ["rank", "address", "calls_12mo", "calls_total", "district", "community", "owner", "tows", "tow_rate", "vehicles_seen", "vehicles_distinct",
         "repeat_calls", "median_gap_days", "last_call", "street", "block", "block_dwellings", "lat", "lon"]
@@ -53,9 +53,8 @@ def doors_of(t: Inputs, loaded: DataFrame, **kw) -> DataFrame:
 
 def watched(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     loaded = everything(t)
-    doors = doors_of(t, loaded)
-    blocks = places.blocks(doors)
-    return loaded, places.with_neighbours(doors, blocks), blocks
+    doors = places.neighbours(doors_of(t, loaded))
+    return loaded, doors, places.blocks(doors)
 
 
 @query
@@ -230,11 +229,46 @@ def display_blocks(t):
     return rows.withColumn("addrs", F.array_join("addrs", "|"))
 
 
+FILTERS = {"district": None, "min_calls": 2, "min_doorways": 2, "recur_days": 90, "recency_days": 365}
+
+
 @query
 def export_rows(t):
     loaded, doors, _ = watched(t)
     clocks = loaded.agg(F.max("date_closed").alias("derived_at"), F.lit(None).cast("timestamp_ntz").alias("last_sync"), F.max("local").alias("latest_call"))
-    return places.stamp(places.export_rows(rounded(doors), "Any of these!").withColumn("slug", C.slug(F.col("Violation Type"))), clocks)
+    return places.stamp(places.export_doorways(doors, "Any of these!").withColumn("slug", C.slug(F.col("Violation Type"))), clocks)
+
+
+@query
+def export_blocks(t):
+    return places.export_blocks(watched(t)[2], "Any of these!")
+
+
+def derived_of(t, **filters) -> derive.Derived:
+    """The lists of one type in one district, some of its selected calls missing from the table."""
+    ids = select.ids_by_type(t.fields, t.dim, "Urgent or high")
+    return derive.derive(t.calls.filter("request_id % 9 <> 0"), t.fields, t.areas, t.edges, ids, **filters)
+
+
+@query
+def derive_summary(t):
+    return derived_of(t, district="1").summary()
+
+
+@query
+def export_preamble(t):
+    return derive.export_lists(derived_of(t, district="1"), "Urgent or high", {**FILTERS, "district": "1"})[0]
+
+
+@query
+def run_metadata(t):
+    state = t.layer_state.groupBy("layer").agg(F.max("last_success_at").alias("last_success_at"))
+    return derive.run_metadata(t.calls, t.runs, state, ["click", "purchase"], NOW)
+
+
+@query
+def version_map(t):
+    return history.version_map(t.layer_state, ["view", "click", "never published"]).select(F.col("version_json"), F.size("version").alias("layers"))
 
 
 @query
@@ -267,6 +301,43 @@ def dimension_check(t):
     return select.dimension_faults(twice).join(t.dim, "raw_label").select("raw_label", "uses", "status", "canonical_type")
 
 
+def counted_dim(t) -> DataFrame:
+    """The dimension with the rows that each label has."""
+    live = t.fields.filter(F.col("name") == select.LABEL).groupBy(F.col("value").alias("raw_label")).agg(F.count("*").alias("frozen_count"))
+    return t.dim.join(live, "raw_label")
+
+
+@query
+def dimension_totals(t):
+    return types.dimension_totals(counted_dim(t), 5, None)
+
+
+def published(t) -> DataFrame:
+    """Calls under published labels, in turn; some without one, some under a label that is unknown."""
+    labels = [row[0] for row in types.dimension_rows()] + [None, "no parking sign", "Unheard of"]
+    numbered = t.spark.createDataFrame(list(enumerate(labels)), "i int, label string")
+    calls = t.fields.filter(F.col("name") == select.LABEL).select("request_id", (F.col("request_id") * 31 % len(labels)).cast("int").alias("i"))
+    return calls.join(F.broadcast(numbered), "i").drop("i")
+
+
+@query
+def published_types(t):
+    found = types.type_of(published(t), types.type_dimension(t.spark))
+    return found.groupBy("canonical_type", "label_status").agg(F.count("*").alias("n"))
+
+
+@query
+def published_coverage(t):
+    rows = published(t).select(F.col("label").alias("value"), F.lit(select.LABEL).alias("name"))
+    return select.coverage(rows, types.type_dimension(t.spark))
+
+
+@query
+def type_counts(t):
+    live = published(t).groupBy(F.col("label").alias("raw_label")).agg(F.count("*").alias("live"))
+    return types.type_counts(types.type_dimension(t.spark)).join(live, "raw_label", "left").fillna(0, ["live"])
+
+
 @query
 def address_spread(t):
     return rounded(geo.spread_report(t.calls))
@@ -274,13 +345,7 @@ def address_spread(t):
 
 @query
 def spread_compare(t):
-    by = t.calls.join(select.canonical_types(t.fields, t.dim), "request_id")
-    s = geo.spreads(by.withColumn("address", F.concat(KIND, F.lit(" "), "address")))
-    kind = F.when(F.col("door").startswith("URGENT"), "Urgent or high").otherwise("Medium or low").alias(KIND)
-    return s.groupBy(kind).agg(
-        F.count("*").alias("addresses"), F.count_if(F.col("calls") > 1).alias("multi"),
-        C.percent(F.count_if((F.col("calls") > 1) & (F.col("spread") > 200)), F.count_if(F.col("calls") > 1)).alias("over_200_pct"),
-    )
+    return geo.spread_by(t.calls.join(select.canonical_types(t.fields, t.dim), "request_id"), KIND)
 
 
 def jittered(t) -> DataFrame:
@@ -295,32 +360,49 @@ def near_duplicates(t):
 
 @query
 def nearest_pairs(t):
-    pairs = geo.near_pairs(jittered(t), 300.0).withColumn("metres", F.bround("metres", 3))
-    return pairs.orderBy("metres", "a", "b").limit(8)
+    return geo.nearest_pairs(jittered(t), 300.0)
+
+
+def heads_of(t, rows: DataFrame) -> DataFrame:
+    """The headers of the three versions, their lists counted from the rows."""
+    heads = [history.snapshot_headers(t.dim, i, day, rows.filter(F.col("snapshot_id") == i)) for i, day in enumerate(CUTOFFS, 1)]
+    return heads[0].unionByName(heads[1]).unionByName(heads[2])
 
 
 def snapshots(t) -> tuple[DataFrame, DataFrame]:
-    """Headers and doorway rows of three versions: the calls before each cutoff."""
-    loaded = typed(t)
-    heads = rows = None
-    for i, day in enumerate(CUTOFFS, 1):
-        doors = places.doorways(loaded.filter(F.col("local") < F.lit(day).cast("timestamp_ntz")), by=[KIND]).select(KIND, "address", "rank", "calls_12mo", "calls_total", "tows")
-        part = doors.withColumnRenamed(KIND, "violation_type").withColumn("snapshot_id", F.lit(i))
-        head = history.snapshot_headers(t.dim, i, day, part)
-        rows = part if rows is None else rows.unionByName(part)
-        heads = head if heads is None else heads.unionByName(head)
-    return heads, rows
+    """Headers and doorway rows of three versions, the calls before each cutoff: the version is one more grouping key."""
+    at = F.array(*[F.struct(F.lit(i).alias("snapshot_id"), F.lit(day).cast("timestamp_ntz").alias("day")) for i, day in enumerate(CUTOFFS, 1)])
+    loaded = typed(t).withColumn("v", F.explode(F.filter(at, lambda v: F.col("local") < v["day"]))).withColumn("snapshot_id", F.col("v.snapshot_id"))
+    doors = places.doorways(loaded.drop("v"), by=[KIND, "snapshot_id"])
+    rows = settled(doors.select("snapshot_id", F.col(KIND).alias("violation_type"), "address", "rank", "calls_12mo", "calls_total", "tows"), "snapshots")
+    return heads_of(t, rows), rows
 
 
 @query
 def snapshot_rows(t):
-    doors = places.doorways(everything(t)).select("address", "rank", "calls_12mo", "calls_total", "tows", "vehicles_seen")
+    doors = doors_of(t, everything(t)).select(*history.KEPT["address"], "community", "last_call", "repeat_calls")
     return history.snapshot_rows(doors, 7, CUTOFFS[2], "all")
 
 
+@query
+def snapshot_blocks(t):
+    rows = places.blocks(doors_of(t, typed(t), by=[KIND]), by=[KIND]).select(KIND, *history.KEPT["block"], "worst_doorway")
+    return history.snapshot_rows(rows, 7, CUTOFFS[2], None, "block")
+
+
 @query
 def snapshot_headers(t):
-    return history.snapshots_of(snapshots(t)[0], "Medium or low")
+    return history.snapshots_of(snapshots(t)[0], "Medium or low").select("snapshot_id", "derived_at", "violation_type", "listed")
+
+
+@query
+def version_headers(t):
+    """A version's headers with parameters, version and newest call; one type lists nothing."""
+    loaded = typed(t).filter("local < timestamp_ntz'1998-01-01'")
+    rows = places.doorways(loaded.filter(F.col(KIND) != "Urgent or high"), by=[KIND]).withColumn("violation_type", F.col(KIND))
+    version = history.version_map(t.layer_state, ["view", "click"])
+    heads = history.snapshot_headers(t.dim, 7, CUTOFFS[2], rows, {"recur_days": 90}, version, loaded)
+    return heads.withColumn("latest_call_date", F.col("latest_call_date").cast("string"))
 
 
 @query
@@ -409,13 +491,19 @@ def moved_examples(t):
 
 
 def altered(t) -> DataFrame:
-    calls = t.calls.filter("request_id % 17 <> 0").withColumn("community", F.expr("case when request_id % 31 = 0 then null else community end"))
-    return calls.withColumn("district", F.expr("case when request_id % 29 = 0 then '9' else district end"))
+    """The calls as another copy has them: some gone, others with other fields, a date and coordinates among them."""
+    change = {
+        "community": "case when request_id % 31 = 0 then null else community end", "district": "case when request_id % 29 = 0 then '9' else district end",
+        "date_closed": "case when request_id % 37 = 0 then date_closed + interval '1' second else date_closed end",
+        "latitude": "case when request_id % 43 = 0 and latitude >= 1 then latitude + 0.5 else latitude end", "longitude": "case when request_id % 47 = 0 then null else longitude end",
+        "work_order": "case when request_id % 53 = 0 then 'W' else work_order end", "status": "case when request_id % 59 = 0 then 'X' else status end",
+    }
+    return t.calls.filter("request_id % 17 <> 0").withColumns({c: F.expr(e) for c, e in change.items()})
 
 
 @query
 def row_diff(t):
-    return reconcile.row_diff(t.calls, altered(t), ["request_id"], ["address", "community", "district", "initiated_by"])
+    return reconcile.row_diff(t.calls, altered(t), ["request_id"], reconcile.CALL_FIELDS)
 
 
 @query
@@ -436,10 +524,17 @@ def clean_verdict(t):
 
 @query
 def list_diff(t):
+    """Two runs' lists; the clocks that they carry differ on every row and are left out."""
     loaded = everything(t)
-    a = places.doorways(loaded)
-    b = places.doorways(loaded.filter("request_id % 41 <> 0"))
-    return reconcile.list_diff(a, b, "address", ["calls_12mo", "calls_total", "tows"])
+    run = lambda calls, at: places.doorways(calls).select("address", "rank", "calls_12mo", "calls_total", "tows", F.lit(at).alias("derived_at"))
+    return reconcile.list_diff(run(loaded, "then"), run(loaded.filter("request_id % 41 <> 0"), "now"), "address")
+
+
+@query
+def retained_versions(t):
+    """The loads of each layer as versions, those of failed runs without an edit time."""
+    versions = t.runs.filter("kind = 'full_load'").select("layer", F.col("run_id").alias("version_id"), F.expr("case when error is null then source_edit end").alias("edited_at"))
+    return reconcile.retained_versions(versions)
 
 
 @query

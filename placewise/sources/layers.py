@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +44,18 @@ CENSUS_AREAS = Layer(
 )
 
 
-def read_feature_pages(spark: SparkSession, path: str, layer: Layer) -> DataFrame:
-    """One row per feature of the landed pages, with ``rings`` where the layer has geometry."""
+def write_feature_pages(rows: DataFrame, layer: Layer, path: str, order: str, page: int = 1000) -> None:
+    """Rows under the layer's published names as pages of ``page`` features, a page a line; the reverse of reading them."""
+    names = [f.strip().split(" ")[0] for f in layer.attributes.split(",")]
+    parts = [F.struct(*names).alias("attributes")] + ([F.struct("rings").alias("geometry")] if layer.geometry else [])
+    pages = rows.select(F.floor(F.col(order) / page).alias("page"), F.struct(*parts).alias("f")).groupBy("page").agg(F.collect_list("f").alias("features"))
+    pages.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
+
+
+def read_feature_pages(spark: SparkSession, path: str, layer: Layer, page_a_line: bool = False) -> DataFrame:
+    """One row per feature of the landed pages, with ``rings`` where the layer has geometry. A page is a file, or a line."""
     schema = f"features array<struct<attributes: struct<{_typed(layer.attributes)}>, geometry: struct<rings: array<array<array<double>>>>>>"
-    pages = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    pages = spark.read.schema(schema).option("multiLine", not page_a_line).option("mode", "FAILFAST").json(path)
     rows = pages.select(F.explode("features").alias("f"))
     return rows.select("f.attributes.*", *([F.col("f.geometry.rings").alias("rings")] if layer.geometry else []))
 
@@ -85,6 +95,25 @@ def _required(name: str) -> Column:
     return F.coalesce(F.col(name), F.raise_error(F.lit(f"{name} is missing")).cast("long"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a local session without one gets a
+    temporary folder, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("placewise.work", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("placewise.work", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written and read again, so that what is derived from them several times is worked out once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 CALL_COLUMNS = ["object_id", "request_id", "date_initiated", "date_closed", "address", "community", "district", "latitude", "longitude", "initiated_by"]
 
 
@@ -115,24 +144,32 @@ def write_by_type(rows: DataFrame, path: str, kind: str = "canonical_type") -> N
 
 
 def replace_snapshot(spark: SparkSession, rows: DataFrame, root: str, version: str) -> None:
-    """Write a whole version beside the others, then append it to the pointer table: readers see the old or the new."""
-    rows.write.mode("overwrite").parquet(f"{root}/version={version}")
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
-        f"{root}/_pointer"
-    )
+    """Write a whole version beside the others, then append it to the pointer table: readers see the old or the new.
 
+    The folder is named by the version and a number of its own, so a version that is landed twice overwrites nothing.
+    """
+    folder = f"version={version}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(f"{root}/{folder}")
+    pointer = spark.createDataFrame([(version, folder)], "version string, folder string").withColumn("at", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/_pointer")
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The version that the pointer names; None before the first."""
+
+def _pointed(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.parquet(f"{root}/_pointer").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
+    return spark.read.parquet(f"{root}/_pointer").agg(F.max_by(F.struct("version", "folder"), F.struct("at", "version")).alias("p")).first()["p"]
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version that the pointer names; None before the first."""
+    found = _pointed(spark, root)
+    return found and found["version"]
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The current version; it stays readable while a newer one is written."""
-    return spark.read.parquet(f"{root}/version={current_version(spark, root)}")
+    return spark.read.parquet(f"{root}/{_pointed(spark, root)['folder']}")
 
 
 def append_once(rows: DataFrame, path: str, keys: list[str]) -> None:

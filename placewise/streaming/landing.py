@@ -1,8 +1,8 @@
 """Published snapshots that arrive as files are landed by one stream.
 
-A manifest file names a layer's version, its edit time, its number of rows and the folder of its table. A
-version older than or equal to the current one changes nothing, and a folder with fewer rows than its manifest
-says replaces nothing (the next manifest of the version tries again).
+A manifest file names a layer's version, its number of rows and the folder of its table. A version older than or equal
+to the current one changes nothing, and a folder with fewer rows than its manifest says replaces nothing (the next
+manifest of the version tries again). Of a batch's manifests of a layer, the newest complete version is landed.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ def land_published(spark: SparkSession, manifests: str, store: str, checkpoint:
     """
 
     def land(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("layer").agg(F.max_by(F.struct("version", "rows", "folder"), "version").alias("m"))
-        for layer, m in newest.collect():  # a row per layer
+        manifests_of = batch.groupBy("layer").agg(F.sort_array(F.collect_set(F.struct("version", "rows", "folder")), asc=False).alias("m"))
+        for layer, found in manifests_of.collect():  # a row per layer, of the manifests since the last call
             have = current_version(spark, f"{store}/{layer}")
-            if have is not None and m["version"] <= have:
-                continue
-            rows = spark.read.parquet(m["folder"])
-            if rows.count() == m["rows"]:
-                replace_snapshot(spark, rows, f"{store}/{layer}", m["version"])
+            for m in found:  # from new to old
+                if have is not None and m["version"] <= have:
+                    break
+                rows = spark.read.parquet(m["folder"])
+                if rows.count() >= m["rows"]:
+                    replace_snapshot(spark, rows, f"{store}/{layer}", m["version"])
+                    break
 
     stream = spark.readStream.schema(MANIFEST).json(manifests)
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
