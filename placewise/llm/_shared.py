@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: What was observed of a written table.
+_SEEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def seen(df: DataFrame) -> dict:
+    """Of a table that ``Scratch.cut`` returned: ``count`` and what else was observed of it; empty for others."""
+    return _SEEN.get(df, {})
+
+
 class Scratch:
     """Cuts lineage by writing a table to the shared folder and reading it again.
 
@@ -38,11 +48,17 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
+    def cut(self, df: DataFrame, label: str, rows: str | None = None, **sums: Column) -> DataFrame:
+        """The table written and read again. Its number of rows, the sum and the largest of the column ``rows`` and ``sums``
+        are observed as it is written and can be had by ``seen`` without another job."""
         path = self.path(label)
-        df.write.parquet(path)
+        if rows is not None:
+            sums |= {"total": F.sum(rows), "most": F.max(rows)}
+        watch = Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("count"), *[c.alias(k) for k, c in sums.items()]).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = (back, path)
+        _SEEN[back] = {k: v or 0 for k, v in watch.get.items()} | {"by": rows}
         return back
 
     def drop(self, *tables: DataFrame) -> None:
@@ -84,7 +100,8 @@ def slices(batches, rows: int = ROWS_AT_ONCE):
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if its rows, of a few numbers each, are counted to be few; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    count = seen(df)["count"] if seen(df) else df.count()
+    return F.broadcast(df) if count <= rows else df
 
 
 HOT_ROWS = 512
@@ -97,21 +114,25 @@ def hot_limit(counts: DataFrame, rows: str = "rows") -> tuple[int, bool]:
     The limit is ``HOT_ROWS`` or a ``HOT_KEYS``-th of all rows, whichever is more, so fewer than ``HOT_KEYS`` keys are
     hot in a table of any size: a proven bound for a broadcast. ``counts`` has a key's number of rows in ``rows``.
     """
-    total, most = counts.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    known = seen(counts)
+    if known.get("by") == rows:
+        total, most = known["total"], known["most"]
+    else:
+        total, most = counts.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
     limit = max(HOT_ROWS, total // HOT_KEYS)
     return limit, most > limit
 
 
-def join_keyed(left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner") -> DataFrame:
+def join_keyed(left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False) -> DataFrame:
     """``left`` joined with ``right``, a written table of one short row per key with the key's ``rows`` in ``left``.
 
     Rows of hot keys are joined where they lie, to a broadcast of those keys alone; the others are shuffled, so no
-    task gets a large share of one key. ``how`` is inner or left. ``rows`` is not returned.
+    task gets a large share of one key. ``how`` is inner or left. ``rows`` is returned only to ``keep`` it.
     """
     limit, any_hot = hot_limit(right, rows)
-    cold = right.filter(F.col(rows) <= limit).drop(rows)
+    gone = [] if keep else [rows]
     if not any_hot:
-        return left.join(cold, key, how)
-    hot = right.filter(F.col(rows) > limit).drop(rows)
+        return left.join(right.drop(*gone), key, how)
+    cold, hot = right.filter(F.col(rows) <= limit).drop(*gone), right.filter(F.col(rows) > limit).drop(*gone)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return left.join(F.broadcast(hot), key).unionByName(rest)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_ROWS, Scratch, hot_limit, join_keyed, slices, small
+from ._shared import HOT_ROWS, Scratch, hot_limit, join_keyed, seen, slices, small
 
 WORDS = 5
 COORDS = 128
@@ -230,10 +230,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("rows")), "least")
+        least = scratch.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("rows")), "least", "rows")
         large = join_keyed(both.filter("b > a"), least, "a").select(F.col("m").alias("a"), "b")
         large = scratch.cut(large.filter("a <> b").distinct(), "large")
-        lower = scratch.cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("rows")), "lower")
+        lower = scratch.cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("rows")), "lower", "rows")
         star = join_keyed(large, lower, "b")
         star = (
             star.select(F.col("m").alias("a"), "b")
@@ -241,8 +241,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        star = scratch.cut(star, "small")
-        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        star = scratch.cut(star, "small", sum=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        now = (seen(star)["count"], seen(star)["sum"])
         scratch.drop(e, least, large, lower)
         e = star
         if now == before:
@@ -304,8 +304,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int,
     )
     bands = scratch.cut(reps.select("node", F.posexplode(parts).alias("at", "band")), "bands")
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hubs = scratch.cut(hubs, "hubs")
-    stars = scratch.cut(join_keyed(bands, hubs.withColumn("rows", F.col("members")), "band"), "stars")
+    hubs = scratch.cut(hubs, "hubs", "members")
+    stars = scratch.cut(join_keyed(bands, hubs, "band", "members", keep=True), "stars")
     scratch.drop(bands)
     pairs = stars.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _confirm(pairs, reps, narrow, scratch, threshold_pct, words)
@@ -317,27 +317,26 @@ def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int,
         return df.join(c, col, "left").withColumn(name, F.coalesce("_c", col)).drop("_c")
 
     large = hubs.filter("members > 2").select("band", "hub", F.col("members").alias("rows"))
-    mains = scratch.cut(in_component(large, "hub", "main"), "mains")
+    mains = scratch.cut(in_component(large, "hub", "main"), "mains", "rows")
     members = in_component(stars.filter("members > 2").select("band", "at", "node"), "node", "comp")
     members = scratch.cut(join_keyed(members, mains, "band").filter("node <> hub"), "members")
     open_ = (
         members.groupBy("band")
         .agg(F.count_if(F.col("comp") != F.col("main")).alias("others"), F.count(F.lit(1)).alias("rest"))
-        .filter("others > 0 and rest > 1").withColumn("rows", F.col("rest"))
+        .filter("others > 0 and rest > 1")
     )
-    members = scratch.cut(join_keyed(members, scratch.cut(open_, "open-bands"), "band"), "open")
-    nodes = scratch.cut(members.select("node").distinct(), "open-nodes")
-    sets = _shingles(narrow, reps, nodes, words, scratch)
+    members = scratch.cut(join_keyed(members, scratch.cut(open_, "open-bands", "rest"), "band", "rest", keep=True), "open")
+    sets = _shingles(narrow, reps, members.select("node").distinct(), words, scratch)
     held = scratch.cut(members.join(reps.select("node", "sk", "n"), "node"), "held")
     other = F.col("comp") != F.col("main")
-    bytes_ = scratch.cut(
-        held.groupBy("band").agg(F.sum(F.when(other, F.col("n")).otherwise(0)).alias("other_n"), F.sum("n").alias("rest_n"), F.count("*").alias("rows")), "bytes"
+    bytes_ = held.groupBy("band").agg(
+        F.sum(F.when(other, F.col("n")).otherwise(0)).alias("other_n"), F.sum("n").alias("rest_n"), F.count("*").alias("rows")
     )
+    bytes_ = scratch.cut(bytes_, "bytes", "rows", rest_n=F.sum("rest_n"))
     held = join_keyed(held, bytes_, "band")
     blocks_of = lambda count, n: F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(8 * F.col(n) / BLOCK_BYTES), F.lit(1)).cast("int")
     lefts, rights = blocks_of("others", "other_n"), blocks_of("rest", "rest_n")
-    total = bytes_.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("rest_n"), F.lit(0))).first()
-    groups = max(1, total[0] // GROUP, 8 * int(total[1]) // BLOCK_BYTES)
+    groups = max(1, seen(bytes_)["total"] // GROUP, 8 * seen(bytes_)["rest_n"] // BLOCK_BYTES)
     group = F.when((lefts > 1) | (rights > 1), F.col("band"))
     group = F.coalesce(group, F.pmod("band", F.lit(groups)))  # small buckets share a group
     mine = F.xxhash64("node")
@@ -352,7 +351,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int,
     )
     blocks = left.unionByName(right).join(sets, "node").withColumnRenamed("node", "id").groupBy("group", "i", "j")
     more = scratch.cut(blocks.applyInArrow(_forest(threshold_pct, coords, rows), "a long, b long").distinct(), "more")
-    if not more.isEmpty():
+    if seen(more)["count"]:
         contracted = in_component(in_component(more, "a", "ca"), "b", "cb").select(
             F.col("ca").alias("a"), F.col("cb").alias("b")
         )
@@ -368,8 +367,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int,
     # A component is known by its smallest id; of its rows, those of one text share a class.
     named = reps.select("node", "key", "rep", "rows").join(comps, "node", "left")
     named = scratch.cut(named.select("key", "rep", "rows", F.coalesce("component", "node").alias("c")), "named")
-    least = scratch.cut(named.groupBy("c").agg(F.min("rep").alias("component"), F.count("*").alias("_n")), "least")
-    named = scratch.cut(join_keyed(named, least, "c", "_n").select("key", "component", "rows"), "named-by-id")
+    least = scratch.cut(named.groupBy("c").agg(F.min("rep").alias("component"), F.count("*").alias("_n")), "least", "_n")
+    named = scratch.cut(join_keyed(named, least, "c", "_n").select("key", "component", "rows"), "named-by-id", "rows")
     known = F.col("id").isNotNull() & F.col("key").isNotNull()
     out = join_keyed(s.filter(known).select("id", "sha", "n", "key"), named, "key").drop("key")
     alone = s.filter(~known).select("id", "sha", "n", F.col("id").alias("component"))
@@ -380,9 +379,9 @@ def _confirm(pairs: DataFrame, reps: DataFrame, narrow: DataFrame, scratch: Scra
     """The pairs that hold on full shingle sets. Pairs of a hub with very many members are dealt over salts, and its set
     goes to each, so that the members' sets do not meet in one task."""
     pairs = scratch.cut(pairs, "pairs")
-    counts = scratch.cut(pairs.groupBy("a").agg(F.count("*").alias("rows")), "counts")
+    counts = scratch.cut(pairs.groupBy("a").agg(F.count("*").alias("rows")), "counts", "rows")
     limit, any_hot = hot_limit(counts)
-    nodes = scratch.cut(counts.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    nodes = counts.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _shingles(narrow, reps, nodes, words, scratch)
     mine, its = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     on = ["a"]
@@ -395,7 +394,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, narrow: DataFrame, scratch: Scra
     links = scratch.cut(
         tested.select("a", "b", "y", "x").mapInArrow(_linked(threshold_pct), "a long, b long"), "links"
     )
-    scratch.drop(counts, nodes, sets)
+    scratch.drop(counts, sets)
     return links
 
 

@@ -117,7 +117,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     )
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     scores, threshold = _scores(rows, order)
-    scored = join_keyed(rows.filter("text <> ''"), scores, "text", how="left")
+    scored = join_keyed(rows.filter("text <> ''"), scores, "text", how="left").drop("allow", "block", "apart")
     out = scored.unionByName(rows.filter("text = ''").withColumn("score", F.lit(0.0))).crossJoin(F.broadcast(threshold))  # one row
     learned = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return out.select(
@@ -127,7 +127,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
 
 
 def _scores(rows: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """``(text, score, rows)`` of each distinct URL that is not empty, and the threshold as one row ``cut``."""
+    """``text``, ``score``, ``rows`` (and more) of each distinct URL that is not empty, and the threshold as one row ``cut``."""
     scratch = Scratch(rows.sparkSession, "urls")
     texts = rows.filter("text <> ''").groupBy("text").agg(
         F.count_if(F.col("hit.verdict") == "allow").alias("allow"), F.count_if(F.col("hit.verdict") == "block").alias("block"), F.count("*").alias("rows")
@@ -138,12 +138,12 @@ def _scores(rows: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     seen = texts.select("id", trains("allow"), trains("block"), F.explode(windows_of(F.col("text"), order)).alias("w"))
     counts = seen.groupBy("w").agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block"), F.count("*").alias("rows"))
     counts = scratch.cut(counts, "windows")
-    gains = scratch.cut(window_scores(counts, order).join(counts.select("w", "rows"), "w"), "gains")
+    gains = scratch.cut(window_scores(counts, order).join(counts.select("w", "rows"), "w"), "gains", "rows")
     by_id = join_keyed(seen.select("id", "w"), gains, "w").groupBy("id").agg(F.avg("gain").alias("score"))
-    scores = scratch.cut(texts.join(by_id, "id").select("text", "score", "allow", "block", "apart", "rows"), "scores")
+    scores = scratch.cut(texts.join(by_id, "id").select("text", "score", "allow", "block", "apart", "rows"), "scores", "rows")
     mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.nullif(F.sum(c), F.lit(0))
     cut = scores.filter("apart").agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("cut"))
-    return scores.select("text", "score", "rows"), scratch.cut(cut, "threshold")
+    return scores, scratch.cut(cut, "threshold")
 
 
 def oracle_sql(rules=RULES, order: int = ORDER, alphabet: int = ALPHABET) -> str:
