@@ -147,13 +147,37 @@ def type_record(flags: DataFrame, doors: DataFrame, dimension: DataFrame, replic
 
 def response_time(loaded: DataFrame, as_of: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Median minutes from report to closure, closed calls and calls never closed."""
-    calls = _as_of(loaded, as_of)
-    minutes = C.elapsed_minutes(F.col("date_initiated"), F.col("date_closed"))
-    return calls.groupBy(*(by or [])).agg(
-        F.percentile(minutes, F.lit(0.5)).alias("median_minutes"),
-        F.count_if(F.col("date_closed").isNotNull() & F.col("date_initiated").isNotNull()).alias("closed"),
+    by = by or []
+    calls = _as_of(loaded, as_of).withColumn("minutes", C.elapsed_minutes(F.col("date_initiated"), F.col("date_closed")))
+    counts = calls.groupBy(*by).agg(
+        F.count("minutes").alias("closed"),  # null unless both times are there
         F.count_if(F.col("date_closed").isNull()).alias("never_closed"),
     )
+    middle = median(calls.select(*by, "minutes"), "minutes", by).withColumnRenamed("minutes", "median_minutes")
+    out = counts.join(middle, by, "left") if by else counts.join(middle, F.lit(True), "left")  # a row per group
+    return out.select(*by, "median_minutes", "closed", "never_closed")
+
+
+MEDIAN_CELL = 16.0
+
+
+def median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The exact median of ``value`` per group, halfway between the middle two of an even number; groups without values
+    have no row (without ``by``, the one row is null).
+
+    Values are counted by cells of ``MEDIAN_CELL``; only those in the cells of the middle ranks are sorted, so no task
+    holds a group.
+    """
+    at = rows.filter(F.col(value).isNotNull()).withColumn("_cell", F.floor(F.col(value) / MEDIAN_CELL))
+    cells = at.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    upto = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")))  # a row per cell
+    upto = upto.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # ranks of the middle, from 1
+    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+    wanted = upto.filter(holds(low) | holds(high)).select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"), low.alias("_low"), high.alias("_high"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(value))
+    middle = at.join(F.broadcast(wanted), [*by, "_cell"]).withColumn("_rank", rank)  # two cells a group at most
+    return middle.filter(F.col("_rank").isin(F.col("_low"), F.col("_high"))).groupBy(*by).agg(F.avg(value).alias(value))
 
 
 def _as_of(loaded: DataFrame, as_of: str | None) -> DataFrame:

@@ -121,3 +121,19 @@ def test_lists_are_compared_without_their_clocks(spark):
 def test_versions_without_an_edit_time_come_first(spark):
     df = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 2)), ("a", 2, None), ("a", 3, dt.datetime(2024, 1, 1)), ("b", 4, None)], "layer string, version_id int, edited_at timestamp")
     assert [(r.layer, r.version_id, r.position) for r in reconcile.retained_versions(df).collect()] == [("a", 2, 1), ("a", 3, 2), ("a", 1, 3), ("b", 4, 1)]
+
+
+def test_median_equals_sorting(spark):
+    import random
+    import statistics
+
+    from placewise.operators import figures
+
+    rnd = random.Random(5)
+    groups = {f"g{n}": [rnd.choice([rnd.random() * 100, 7.5, -40.0, 1e6]) for _ in range(n)] for n in (1, 2, 3, 10, 401, 1000)}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("g3", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {r.k: r.v for r in figures.median(df, "v", ["k"]).collect()} == {k: pytest.approx(statistics.median(vs)) for k, vs in groups.items()}
+    assert figures.median(df.filter("k = 'g10'"), "v", []).first().v == pytest.approx(statistics.median(groups["g10"]))
+    assert figures.median(df.filter("v is null"), "v", []).first().v is None
+    assert figures.median(df.filter("v is null"), "v", ["k"]).count() == 0
