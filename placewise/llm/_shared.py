@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -31,6 +32,25 @@ def seen(df: DataFrame) -> dict:
     return _SEEN.get(df, {})
 
 
+#: Folders that scratch tables go below, the innermost last.
+_AREAS: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_area(spark: SparkSession, name: str):
+    """Scratch tables made within go to a folder of their own, which is deleted at the end; write results before."""
+    _AREAS.append(f"{_AREAS[-1] if _AREAS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _AREAS.pop())
+
+
 class Scratch:
     """Cuts lineage by writing a table to the shared folder and reading it again.
 
@@ -40,7 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_AREAS[-1] if _AREAS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the table, so that its id stays its own
         self._n = 0
 
@@ -65,8 +85,7 @@ class Scratch:
         for df in tables:
             _, path = self._paths.pop(id(df), (None, None))
             if path:
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

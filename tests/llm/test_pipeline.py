@@ -6,6 +6,21 @@ import corpus_pipeline
 from placewise.llm import secrets
 
 
+def test_run_leaves_its_result_alone_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    import os
+
+    from placewise.llm import _shared
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    rows = [(i, f"some words of document number {i} " * (1 + i % 7), "en", "s", 1) for i in range(40)] + [(40, None, "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(0)] or [(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and out.count() == out.select("doc_id", "piece").distinct().count()
+    tables = [d for d, _, files in os.walk(f"{tmp_path}/shared") if any(f.endswith(".parquet") for f in files)]
+    assert len(tables) == 1 and tables[0].endswith("packing")
+
+
 def test_stages(spark, tmp_path):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("aeiourstnl") for _ in range(rnd.randint(2, 7))) for _ in range(500)]
