@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.llm import exact_dedup, near_dedup, packing, queries, secrets, toxicity
-from placewise.llm._shared import Scratch, table
+from placewise.llm._shared import Scratch, scratch_area, table
 
 TOXIC = 0.7
 NEAR_PCT = 80
@@ -60,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's scratch tables, and the result of the stage before it, go when it is written."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    results = Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch_area(spark, name):
+            docs = results.cut(stage(spark, before, sf_dir), name)
+        results.drop(before)
     return docs
