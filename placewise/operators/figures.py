@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..sources.layers import settled
 from .places import RECUR_DAYS, with_gaps
 from .select import LABEL
 
@@ -93,8 +94,12 @@ def cluster_bootstrap(doorway_tallies: DataFrame, by: list[str] | None = None, r
 
 
 def effect_bound(doorway_tallies: DataFrame, by: list[str] | None = None, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Difference, both intervals and the reduction that each rules out; ``comparable`` is false for an empty group."""
+    """Difference, both intervals and the reduction that each rules out; ``comparable`` is false for an empty group.
+
+    The tallies, a row per doorway, are written first, since totals, sizes and resamples are all made of them.
+    """
     by = by or []
+    doorway_tallies = settled(doorway_tallies, "tallies")
     wald = wald_interval(group_totals(doorway_tallies, by))
     boot = cluster_bootstrap(doorway_tallies, by, replicates, seed)
     out = wald.join(boot, by, "left") if by else wald.join(boot, F.lit(True), "left")  # one row each

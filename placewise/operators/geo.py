@@ -38,33 +38,34 @@ def cell_of(areas: DataFrame) -> float:
     return found if found else 1.0
 
 
-def candidates(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """The points with each area (all its columns) whose box holds them.
+def locate(rows: DataFrame, areas: DataFrame, edges: DataFrame, cell: float | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The rows (with ``lon`` and ``lat``) and ``block``, the area that holds their point by the even-odd rule, null if none.
 
-    A box is listed under each grid cell that it covers and a point under its own, so the join is on cells;
-    the box test is its residual. ``cell`` near a typical box width keeps both sides small.
+    Holes are outside, islands in holes inside; of several areas the smallest id is taken. ``carry`` names columns of the
+    area to return as ``block_<name>``. A null coordinate, and a zero one, is no point.
+
+    Areas are listed, with box and edges as arrays, under each grid cell that their box covers, and a row looks its own cell
+    up: rows are joined once and never multiplied. ``cell`` near a typical box width keeps a cell's list short.
     """
+    cell, carry = cell or cell_of(areas), carry or []
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    boxes = areas.filter("min_lon is not null").withColumn("cx", F.explode(span("min_lon", "max_lon")))
-    boxes = boxes.withColumn("cy", F.explode(span("min_lat", "max_lat")))
-    at = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
-    inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return at.join(boxes, ["cx", "cy"]).filter(inside)
+    rings = edges.groupBy("dauid").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))  # a polygon each
+    shapes = areas.filter("min_lon is not null").select("dauid", *carry, "min_lon", "min_lat", "max_lon", "max_lat").join(rings, "dauid")
+    listed = shapes.withColumn("_cx", F.explode(span("min_lon", "max_lon"))).withColumn("_cy", F.explode(span("min_lat", "max_lat")))
+    listed = listed.groupBy("_cx", "_cy").agg(F.collect_list(F.struct(*shapes.columns)).alias("_shapes"))  # the few areas at a cell
+    point = (F.col("lon") != 0) & (F.col("lat") != 0)
+    at = rows.withColumn("_cx", F.when(point, F.floor(F.col("lon") / cell))).withColumn("_cy", F.when(point, F.floor(F.col("lat") / cell)))
+    in_box = lambda s: F.col("lon").between(s["min_lon"], s["max_lon"]) & F.col("lat").between(s["min_lat"], s["max_lat"])
+    ray = lambda e: C.crosses(F.col("lon"), F.col("lat"), e["x1"], e["y1"], e["x2"], e["y2"])
+    odd = lambda s: F.size(F.filter(s["edges"], ray)) % 2 == 1
+    hits = F.transform(F.filter("_shapes", lambda s: in_box(s) & odd(s)), lambda s: F.struct(s["dauid"], *[s[c] for c in carry]))
+    out = at.join(listed, ["_cx", "_cy"], "left").withColumn("_hit", F.array_min(hits))
+    return out.select(*rows.columns, F.col("_hit.dauid").alias("block"), *[F.col(f"_hit.{c}").alias(f"block_{c}") for c in carry])
 
 
 def containing_area(points: DataFrame, areas: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
-    """``(point, block)``: the area that holds each point by the even-odd rule, null if none.
-
-    Holes are outside, islands in holes inside; of several areas the smallest id is taken. An area's edges lie as an
-    array beside its box, so crossings are counted where box and point meet and points times edges are never rows.
-    """
-    rings = edges.groupBy("dauid").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))  # a polygon each
-    shapes = areas.select("dauid", "min_lon", "min_lat", "max_lon", "max_lat").join(rings, "dauid")
-    hits = candidates(points.select("point", "lon", "lat"), shapes, cell or cell_of(areas))
-    ray = lambda e: C.crosses(F.col("lon"), F.col("lat"), e["x1"], e["y1"], e["x2"], e["y2"])
-    odd = hits.filter(F.size(F.filter("edges", ray)) % 2 == 1)
-    first = odd.groupBy("point").agg(F.min("dauid").alias("block"))
-    return points.select("point").join(first, "point", "left")
+    """``(point, block)``: see ``locate``."""
+    return locate(points.select("point", "lon", "lat"), areas, edges, cell).select("point", "block")
 
 
 def call_points(calls: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from .geo import containing_area
+from .geo import locate
 from .select import usable
 
 #: Days before the newest call in which a doorway must have called; days in which a call recurs.
@@ -88,15 +88,10 @@ def door_measures(loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days:
 
 def ranked(listed: DataFrame, areas: DataFrame | None, edges: DataFrame | None, by: list[str]) -> DataFrame:
     """Listed doorways with street, tow rate, block and rank."""
-    keys = [*by, "door"]
     listed = listed.withColumn("tow_rate", F.col("tows") / F.col("calls_total"))
     listed = listed.withColumn("street", C.street_of(F.col("door")))
     if areas is not None:
-        points = listed.filter("lat <> 0 and lon <> 0").select(F.struct(*keys).alias("point"), "lon", "lat")
-        placed = containing_area(points, areas, edges).select("point", "block")
-        placed = placed.join(areas.select(F.col("dauid").alias("block"), F.col("dwellings").alias("block_dwellings")), "block", "left")
-        placed = placed.select(*[F.col(f"point.{k}").alias(k) for k in keys], "block", "block_dwellings")
-        listed = listed.join(placed, keys, "left")
+        listed = locate(listed, areas, edges, carry=["dwellings"])
     else:
         listed = listed.withColumn("block", F.lit(None).cast("string")).withColumn("block_dwellings", F.lit(None).cast("int"))
     order = Window.partitionBy(*by).orderBy(F.desc(C.score(F.col("calls_12mo"), F.col("tow_rate"))), "first_seen")

@@ -46,15 +46,13 @@ UNION ALL SELECT request_id * 10 + i, request_id, i + 1,
   CASE i WHEN 3 THEN p_brand WHEN 4 THEN p_type ELSE cast(p_size % 4 AS string) END
 FROM order_part CROSS JOIN (VALUES (3), (4), (5)) AS v(i)""",
     "squares": """
-SELECT cast(n_nationkey AS string) AS dauid, cast(n_nationkey - n_nationkey % 5 AS double) * 2 AS x0,
-  cast(n_regionkey AS double) * 10 AS y0, cast(0 AS double) AS off, cast(7.03125 AS double) AS side FROM nation
-UNION ALL SELECT cast(n_nationkey AS string), cast(n_nationkey - n_nationkey % 5 AS double) * 2,
-  cast(n_regionkey AS double) * 10, cast(2.015625 AS double), cast(2 AS double) FROM nation WHERE n_nationkey % 6 = 0""",
+SELECT cast(n_nationkey AS string) AS dauid, cast(n_nationkey - n_nationkey % 5 AS double) * 2 AS x0, cast(n_regionkey AS double) * 10 AS y0,
+  cast(CASE hole WHEN 0 THEN 0 ELSE 2.015625 END AS double) AS off, cast(CASE hole WHEN 0 THEN 7.03125 ELSE 2 END AS double) AS side
+FROM nation CROSS JOIN (VALUES (0), (1)) AS v(hole) WHERE hole = 0 OR n_nationkey % 6 = 0""",
     "edges": """
-SELECT dauid, x0+off AS x1, y0+off AS y1, x0+off+side AS x2, y0+off AS y2 FROM squares
-UNION ALL SELECT dauid, x0+off+side, y0+off, x0+off+side, y0+off+side FROM squares
-UNION ALL SELECT dauid, x0+off+side, y0+off+side, x0+off, y0+off+side FROM squares
-UNION ALL SELECT dauid, x0+off, y0+off+side, x0+off, y0+off FROM squares""",
+SELECT dauid, x0 + off + CASE WHEN i IN (1, 2) THEN side ELSE 0 END AS x1, y0 + off + CASE WHEN i IN (2, 3) THEN side ELSE 0 END AS y1,
+  x0 + off + CASE WHEN i IN (0, 1) THEN side ELSE 0 END AS x2, y0 + off + CASE WHEN i IN (1, 2) THEN side ELSE 0 END AS y2
+FROM squares CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i)""",
     "areas": """
 SELECT dauid, CASE WHEN n_nationkey % 9 = 0 THEN 0 ELSE 100 + 37 * n_nationkey END AS dwellings,
   min(x1) AS min_lon, min(y1) AS min_lat, max(x1) AS max_lon, max(y1) AS max_lat

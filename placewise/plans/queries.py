@@ -151,7 +151,7 @@ def wald_interval(t):
 
 @query
 def cluster_bootstrap(t):
-    return rounded(figures.cluster_bootstrap(type_tallies(t), [KIND]))
+    return rounded(figures.cluster_bootstrap(settled(type_tallies(t), "tallies"), [KIND]))
 
 
 @query
