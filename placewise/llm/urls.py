@@ -58,9 +58,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def windows_of(text: Column, order: int = ORDER) -> Column:
-    """One string of ``order`` + 1 characters for each character: its context, padded at the start, and itself."""
+    """One string of ``order`` + 1 characters for each character: its context, padded at the start, and itself.
+
+    A pattern that looks ahead and goes on by one character reads a text once, however long it is.
+    """
     padded = F.concat(F.lit(START * order), text)
-    return F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))
 
 
 def window_scores(counts: DataFrame, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:

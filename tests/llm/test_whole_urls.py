@@ -66,3 +66,14 @@ def test_whole_url_is_judged(spark):
     assert [got[i].verdict for i in range(len(ASKED))] == _brute(ASKED)
     assert [got[i].verdict for i in range(4)] == ["allow", "block", "allow", "block"]
     assert (got[0].host, got[0].path, got[2].host, got[2].path) == ("x.org", "/item", "", "")
+
+
+def test_windows_and_a_very_long_url(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a", "ab", "𝒳é\nx", "x" * 5 + "#?", "http://h/" + "q" * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, w in df.select("t", urls.windows_of(F.col("t"))).collect():
+        padded = urls.START * urls.ORDER + t
+        assert w == [padded[i : i + urls.ORDER + 1] for i in range(len(t))]
+    assert urls.judge(spark.createDataFrame([(1, texts[-1])], "page_id int, url string")).first().verdict == "allow"
