@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..sources.layers import settled
 from .geo import locate
 from .select import usable
 
@@ -94,8 +95,29 @@ def ranked(listed: DataFrame, areas: DataFrame | None, edges: DataFrame | None,
         listed = locate(listed, areas, edges, carry=["dwellings"])
     else:
         listed = listed.withColumn("block", F.lit(None).cast("string")).withColumn("block_dwellings", F.lit(None).cast("int"))
-    order = Window.partitionBy(*by).orderBy(F.desc(C.score(F.col("calls_12mo"), F.col("tow_rate"))), "first_seen")
-    return listed.drop("tn", "tr", "nn", "nr").withColumn("rank", F.row_number().over(order)).withColumnRenamed("door", "address")
+    listed = listed.drop("tn", "tr", "nn", "nr").withColumnRenamed("door", "address")
+    return numbered(listed, by, F.negative(C.score(F.col("calls_12mo"), F.col("tow_rate"))), "first_seen")
+
+
+RUNS = 64
+
+
+def numbered(rows: DataFrame, by: list[str], first: Column, then: str) -> DataFrame:
+    """The rows with ``rank``, their number within ``by`` in the order of ``first`` and ``then``, an integer column.
+
+    The rows are written once. They are counted by cells, the values of ``first`` by ``RUNS`` stretches of ``then``, the
+    cells are summed up in order, and rows are numbered within their cell: no task sorts a whole list.
+    """
+    rows = settled(rows.withColumn("_first", first), "listed")
+    low, high = rows.agg(F.min(then), F.max(then)).first()
+    width = ((high or 0) - (low or 0)) // RUNS + 1
+    cell = [*by, "_first", "_run"]
+    rows = rows.withColumn("_run", F.floor((F.col(then) - F.lit(low or 0)) / width))
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_first", "_run")) - F.col("_n")  # a row per cell
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy(then))
+    out = rows.join(counts.select(*cell, before.alias("_before")), cell).withColumn("rank", (F.col("_before") + within).cast("int"))
+    return out.drop("_first", "_run", "_before")
 
 
 def blocks(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None) -> DataFrame:

@@ -137,3 +137,19 @@ def test_median_equals_sorting(spark):
     assert figures.median(df.filter("k = 'g10'"), "v", []).first().v == pytest.approx(statistics.median(groups["g10"]))
     assert figures.median(df.filter("v is null"), "v", []).first().v is None
     assert figures.median(df.filter("v is null"), "v", ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_ranks_equal_sorting(spark, by):
+    import random
+
+    rnd = random.Random(7)
+    rows = [("ab"[i % 2], rnd.choice([0.0, 1.5, 1.5, 2.0, 300.0]), rnd.randint(0, 10**6) * 1000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, score double, first_seen long")
+    got = {r.first_seen: r["rank"] for r in places.numbered(df, by, F.negative("score"), "first_seen").collect()}
+    want = {}
+    for k in "ab" if by else [None]:
+        group = sorted((r for r in rows if k in (None, r[0])), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: n for n, r in enumerate(group, 1)}
+    assert got == want
+    assert places.numbered(df.limit(0), by, F.negative("score"), "first_seen").count() == 0
