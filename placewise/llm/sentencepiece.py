@@ -169,24 +169,25 @@ def stream_encode(
     paths meet. ``on_window`` gets the number of characters since the last boundary at each step, ``on_scores`` that of scores held.
     """
     root, unknown, longest = vocab.root, vocab.unknown_score, vocab.longest
+    most, watched = 4 * longest, on_window or on_scores
     best: list[float] = [0.0]  # scores of the positions from ``first`` on
-    first = 0
-    begins = array("q", [0])  # at each position since the last boundary, where its last piece begins ...
+    first = origin = 0  # ``origin`` is the last boundary
+    begins = array("q", [0])  # at each position from ``origin`` on, where its last piece begins ...
     pieces = array("q", [0])  # ... and its id, or for a character without a piece -1 less its code point
     growing: list[tuple[int, tuple]] = []  # where pieces that may still grow begin, and their trie nodes
 
     def ids(upto: int) -> list[int]:
         out: list[int] = []
-        while upto:
-            i = pieces[upto]
+        while upto > origin:
+            i = pieces[upto - origin]
             out.extend([i] if i >= 0 else reversed(vocab.one(chr(-1 - i))))
-            upto = begins[upto]
+            upto = begins[upto - origin]
         out.reverse()
         return out
 
     n = again = 0
     for char in chars:
-        score, begin_, piece = best[n - first] + unknown, n, -1 - ord(char)
+        score, last, piece = best[-1] + unknown, n, -1
         growing.append((n, root))
         still = []
         for begin, node in growing:
@@ -195,20 +196,21 @@ def stream_encode(
                 if child[0]:
                     still.append((begin, child))
                 if child[1] >= 0 and best[begin - first] + child[2] >= score:
-                    score, begin_, piece = best[begin - first] + child[2], begin, child[1]
+                    score, last, piece = best[begin - first] + child[2], begin, child[1]
         growing = still
         best.append(score)
-        begins.append(begin_)
-        pieces.append(piece)
+        begins.append(last)
+        pieces.append(piece if piece >= 0 else -1 - ord(char))
         n += 1
-        if len(best) > 4 * longest:
+        if n - first > most:
             del best[: n - longest - first]
             first = n - longest
-        if on_window:
-            on_window(n)
-        if on_scores:
-            on_scores(len(best))
-        if n < again or growing and not growing[0][0]:
+        if watched:
+            if on_window:
+                on_window(n - origin)
+            if on_scores:
+                on_scores(len(best))
+        if n < again or growing and growing[0][0] == origin:
             continue
         # A later piece begins here or where one may still grow: step those paths back until all are one. Where they are
         # not, the next look waits for an eighth more characters, so looks cost a step a character also in long runs.
@@ -216,22 +218,15 @@ def stream_encode(
         while len(paths) > 1:
             far = max(paths)
             paths.remove(far)
-            paths.add(begins[far])
+            paths.add(begins[far - origin])
         meet = paths.pop()
-        again = 0 if meet else n + n // 8
-        if meet:
+        if meet > origin:
             yield ids(meet)
-            if meet >= first:
-                base = best[meet - first]
-                best = [b - base for b in best[meet - first :]]
-                first = meet
-            begins, pieces = begins[meet:], pieces[meet:]
-            for k in range(len(begins)):
-                begins[k] -= meet
-            growing = [(begin - meet, node) for begin, node in growing]
-            first -= meet
-            n -= meet
-    if n:
+            del begins[: meet - origin], pieces[: meet - origin]
+            origin, again = meet, 0
+        else:
+            again = n + (n - origin) // 8
+    if n > origin:
         yield ids(n)
 
 
