@@ -3,7 +3,7 @@
 Encoding finds the segmentation of the highest total piece score (ties: the shortest last piece, from right
 to left). The search keeps a window bounded by the longest piece: a position only looks back that far, and
 whenever all positions from which a piece can still grow trace back to one boundary, the ids up to it are
-committed and forgotten. Characters without a piece become their UTF-8 bytes where the model has byte pieces.
+committed and forgotten (a look for that is taken every piece length). Characters without a piece become their UTF-8 bytes where the model has byte pieces.
 
 The scores are the model file's own. A model of the BPE type stores merge ranks there, so its ids are the
 best-scoring segmentation of its vocabulary, not those of its merge procedure; decoding gives the text back.
@@ -135,6 +135,8 @@ class Vocabulary:
             i, score = self.pieces[piece]
             old = node[0].get(piece[-1], ({},))
             node[0][piece[-1]] = (old[0], i, score)
+        #: What an id stands for by itself; byte pieces only do together.
+        self.plain = {i: {UNKNOWN: " ⁇ ", CONTROL: ""}.get(k, self.text[i]) for i, k in enumerate(self.kind) if k != BYTE}
         self.has_bytes = min(self.bytes) >= 0
         self.memo: Recent = Recent(MEMO)
         inner = {p for p in self.pieces if MARK in p.lstrip(MARK)}
@@ -185,7 +187,7 @@ def stream_encode(
         out.reverse()
         return out
 
-    n = again = 0
+    n, again = 0, longest
     for char in chars:
         score, last, piece = best[-1] + unknown, n, -1
         growing.append((n, root))
@@ -212,8 +214,8 @@ def stream_encode(
                 on_scores(len(best))
         if n < again or growing and growing[0][0] == origin:
             continue
-        # A later piece begins here or where one may still grow: step those paths back until all are one. Where they are
-        # not, the next look waits for an eighth more characters, so looks cost a step a character also in long runs.
+        # A later piece begins here or where one may still grow: step those paths back until all are one. The next look
+        # is a piece's length on, or an eighth of the characters held, so looks cost about a step a character in all texts.
         paths = {n, *(begin for begin, _ in growing)}
         while len(paths) > 1:
             far = max(paths)
@@ -223,9 +225,8 @@ def stream_encode(
         if meet > origin:
             yield ids(meet)
             del begins[: meet - origin], pieces[: meet - origin]
-            origin, again = meet, 0
-        else:
-            again = n + (n - origin) // 8
+            origin = meet
+        again = n + max(longest, (n - origin) // 8)
     if n > origin:
         yield ids(n)
 
@@ -283,6 +284,14 @@ def encode(text: str | None, vocab: Vocabulary) -> list[int]:
 
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
     """The text; control pieces and null ids give nothing, bytes that are not UTF-8 and ids outside the vocabulary U+FFFD."""
+    ids = list(ids)
+    parts = list(map(vocab.plain.get, ids))
+    text = "".join(_odd(ids, vocab) if None in parts else parts).replace(MARK, " ")
+    return text[1:] if text[:1] == " " else text
+
+
+def _odd(ids: list[int | None], vocab: Vocabulary) -> list[str]:
+    """The parts of a text with byte pieces, or with ids that are null or outside the vocabulary."""
     out: list[str] = []
     raw = bytearray()
     for i in ids:
@@ -298,13 +307,9 @@ def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
         if raw:
             out.append(raw.decode("utf-8", "replace"))
             raw.clear()
-        if vocab.kind[i] == UNKNOWN:
-            out.append(" ⁇ ")
-        elif vocab.kind[i] != CONTROL:
-            out.append(vocab.text[i])
+        out.append(vocab.plain[i])
     out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
-    return text[1:] if text[:1] == " " else text
+    return out
 
 
 def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_col: str = "ids") -> DataFrame:
