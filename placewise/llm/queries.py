@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming, near_dedup, packing, secrets, sentencepiece, toxicity, urls, warc
+from . import bpe, conversations, exact_dedup, hamming, near_dedup, packing, secrets, sentencepiece, toxicity, urls, warc
 from ._shared import held_out, small, table
 
 
@@ -72,6 +72,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    found = conversations.repair(rows, present=F.col("present"))
+    return found.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op12_conversations": op12_conversations,
     "op13_bpe": op13_bpe,
     "pipeline": pipeline,
 }
