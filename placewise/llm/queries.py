@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, exact_dedup, hamming, near_dedup, packing, secrets, sentencepiece, toxicity, urls, warc
+from . import bpe, conversations, exact_dedup, hamming, near_dedup, packing, secrets, sentencepiece, toxicity, urls, warc, whitening
 from ._shared import held_out, small, table
 
 
@@ -72,6 +72,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     found = conversations.repair(rows, present=F.col("present"))
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
     "op12_conversations": op12_conversations,
     "op13_bpe": op13_bpe,
     "pipeline": pipeline,
