@@ -29,7 +29,9 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 
 KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?:https?://[A-Za-z0-9./:_-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
+#: A cloud host begins where a run of host characters begins and ends at a name that no further label follows, so each run
+#: is read once, by loops over single characters, which need no stack.
+ENDPOINT = r"(?:https?://[A-Za-z0-9./:_-]+|(?<![a-z0-9.-])(?=[a-z0-9-])[a-z0-9.-]*?\.amazonaws\.com(?![a-z0-9-]|\.[a-z0-9-]))"
 SCOPE = 256
 
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
