@@ -127,10 +127,10 @@ HOT_ROWS = 512
 HOT_KEYS = 100_000
 
 
-def hot_limit(counts: DataFrame, rows: str = "rows") -> tuple[int, bool]:
+def hot_limit(counts: DataFrame, rows: str = "rows", keys: int = HOT_KEYS) -> tuple[int, bool]:
     """``(limit, any)``: a key of more rows than ``limit`` is hot; whether there is one.
 
-    The limit is ``HOT_ROWS`` or a ``HOT_KEYS``-th of all rows, whichever is more, so fewer than ``HOT_KEYS`` keys are
+    The limit is ``HOT_ROWS`` or a ``keys``-th of all rows, whichever is more, so fewer than ``keys`` keys are
     hot in a table of any size: a proven bound for a broadcast. ``counts`` has a key's number of rows in ``rows``.
     """
     known = seen(counts)
@@ -138,17 +138,20 @@ def hot_limit(counts: DataFrame, rows: str = "rows") -> tuple[int, bool]:
         total, most = known["total"], known["most"]
     else:
         total, most = counts.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
-    limit = max(HOT_ROWS, total // HOT_KEYS)
+    limit = max(HOT_ROWS, total // keys)
     return limit, most > limit
 
 
-def join_keyed(left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False) -> DataFrame:
+def join_keyed(
+    left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False, keys: int = HOT_KEYS
+) -> DataFrame:
     """``left`` joined with ``right``, a written table of one short row per key with the key's ``rows`` in ``left``.
 
     Rows of hot keys are joined where they lie, to a broadcast of those keys alone; the others are shuffled, so no
-    task gets a large share of one key. ``how`` is inner or left. ``rows`` is returned only to ``keep`` it.
+    task gets a large share of one key. ``how`` is inner or left. ``rows`` is returned only to ``keep`` it. Fewer
+    than ``keys`` keys are broadcast: give less than ``HOT_KEYS`` where keys are long.
     """
-    limit, any_hot = hot_limit(right, rows)
+    limit, any_hot = hot_limit(right, rows, keys)
     gone = [] if keep else [rows]
     if not any_hot:
         return left.join(right.drop(*gone), key, how)

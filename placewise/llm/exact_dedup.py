@@ -8,7 +8,7 @@ The digit widens from round to round, so a text of n bytes takes O(log n) rounds
 number given to it when its count is written, so a key never holds more than one digit.
 
 Each round counts with map-side combine, so a group of any size arrives at a reducer as a few partial
-counts, and relabels rows by an equi-join whose hot keys adaptive execution can split.
+counts, and relabels rows by a join in which rows of very frequent digits stay where they lie.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import HOT_KEYS, Scratch, join_keyed
 
 FIRST_WIDTH = 64
 GROWTH = 16
 MAX_WIDTH = 1 << 20
+#: Digits of very frequent keys are broadcast, so many bytes of them at most.
+HOT_BYTES = 1 << 26
 
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -79,17 +81,17 @@ def _partition(
     at, width = 0, first_width
     while True:
         digit = F.substring(whole, at + 1, width)
+        rows = rows.withColumn("_key", F.struct("_group", digit.alias("_digit")))
         counts = (
-            rows.groupBy("_group", digit.alias("_digit"))
+            rows.groupBy("_key")
             .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep"))
             .filter("_n > 1")
             .withColumn("_next", F.monotonically_increasing_id())
         )
-        counts = scratch.cut(counts, "groups")
-        goes_on = F.col("_next").isNotNull() & (F.octet_length("_digit") == width)
+        counts = scratch.cut(counts, "groups", rows="_n")
+        goes_on = F.col("_next").isNotNull() & (F.octet_length("_key._digit") == width)
         split = (
-            rows.withColumn("_digit", digit)
-            .join(counts.hint("merge"), ["_group", "_digit"], "left")
+            join_keyed(rows, counts, "_key", rows="_n", how="left", keep=True, keys=min(HOT_KEYS, HOT_BYTES // width))
             .select(
                 "_id",
                 "_carry",
