@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import datasource as D
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from ._shared import Scratch
+from ._shared import Scratch, join_keyed, seen
 
 BLOCK = 1 << 20
 #: A gzip header with an extra field of one part, ``sl``: its length, the member's and the data's.
 HEAD = struct.Struct("<4BI2BH2sH2I")
 ROLL_BYTES = 256 << 20
+#: Groups of equal payloads, of some 40 bytes each, that are broadcast at most.
+BROADCAST_GROUPS = 200_000
 PAGE_ID = "X-Page-ID"
 LENGTH = "X-Payload-Length"
 COLUMNS = {
@@ -119,16 +121,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     the response; a null id never wins against an id, and of rows that repeat id and payload all are responses.
     """
     spark = pages.sparkSession
+    scratch = Scratch(spark, "warc-groups")
     whole = F.coalesce(pages[html_col], F.lit("")).cast("binary")
     rows = pages.select(
         pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), whole.alias("payload"),
-        F.sha2(whole, 256).alias("key"),
+        F.unhex(F.sha2(whole, 256)).alias("key"),
     )
     large = F.octet_length("payload") >= least
     groups = rows.filter(large).groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter("n > 1").select("key", "first", F.lit(True).alias("shared"))
-    rows = rows.join(groups.hint("merge"), "key", "left")
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & large & ~F.col("id").eqNullSafe(F.col("first"))
+    groups = scratch.cut(groups.filter("n > 1"), "groups", rows="n")
+    # Few groups go to the payloads; with more, payloads of a group of many rows stay where they lie all the same.
+    few = seen(groups)["count"] <= BROADCAST_GROUPS
+    rows = rows.join(F.broadcast(groups), "key", "left") if few else join_keyed(rows, groups, "key", rows="n", how="left", keep=True)
+    revisit = F.col("n").isNotNull() & large & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select("id", "url", "payload", "first", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]):
