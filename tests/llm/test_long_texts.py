@@ -44,7 +44,9 @@ def test_hosts(spark):
     assert sorted((s.kind, s.start, s.end) for s in row.found if s.kind in ("key", "endpoint")) == _weak(text)
 
 
-def test_half_of_all_texts_begin_alike(spark):
+@pytest.mark.parametrize("few", [0, 1 << 25])
+def test_half_of_all_texts_begin_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "FEW_BYTES", few)
     texts = ["h" * 64 + str(i % 700) for i in range(3000)] + ["h" * 64] * 1500 + [f"{i} other" for i in range(1500)]
     df = docs_of(spark, texts)
     rows = exact_dedup.mark_duplicates(df).collect()
