@@ -139,3 +139,27 @@ def score(calls_12mo: Column, tow_rate: Column) -> Column:
 def per_thousand(calls: Column, dwellings: Column) -> Column:
     """Calls per 1,000 dwellings, one decimal; null without dwellings."""
     return F.bround(1000.0 * calls / F.nullif(dwellings, F.lit(0)).cast("double"), 1)
+
+
+#: The multiplier and step of a 32-bit integer mix, the same in any SQL engine with 64-bit integers.
+MIX, STEP, WORD = 0x45D9F3B, 0x9E3779B9, 0xFFFFFFFF
+
+
+def mixed(x: Column) -> Column:
+    """A number below 2 ** 32 as another one, so that near numbers come far apart; no two become the same."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(WORD)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def stream_of(seed: int, rep: Column, part: Column) -> Column:
+    """What the draws of one part of one replicate are made from."""
+    rep, part = rep.cast("long"), part.cast("long")
+    return mixed((mixed((F.lit(seed).cast("long") + rep).bitwiseAND(WORD)) + part).bitwiseAND(WORD))
+
+
+def draw(stream: Column, k: Column) -> Column:
+    """The k-th draw of a stream, below 2 ** 32: a sum of two mixes, so that draws can repeat as chance has it."""
+    k = k.cast("long")
+    other = mixed(stream.bitwiseXOR(STEP))
+    return (mixed(stream.bitwiseXOR(k)) + mixed((other + k).bitwiseAND(WORD))).bitwiseAND(WORD)

@@ -20,9 +20,11 @@ SUBSTANTIAL_REPEAT = 0.70
 
 SEED = 20260101
 REPLICATES = 2000
-#: Doorways that are resampled together, about; and replicates that a task draws at once.
+#: Doorways that one array holds; replicates, and draws, that a task makes at once; cells that doorways are numbered by.
 BLOCK_DOORS = 1024
 REPLICATES_AT_ONCE = 100
+DRAWS_AT_ONCE = 1 << 16
+CELLS = 1024
 STATUSES = ("towed", "not_towed", "unknown")
 
 
@@ -62,31 +64,58 @@ def wald_interval(totals: DataFrame) -> DataFrame:
     )
 
 
+def numbered_doors(doorway_tallies: DataFrame, by: list[str]) -> DataFrame:
+    """Doorways with ``idx``, their number from 0 in their group, and ``n``, the group's size.
+
+    They are numbered within cells of a hash of their names, and cells by the counts before them.
+    """
+    cell = F.conv(F.substring(F.md5(F.col("door").cast("binary")), 1, 8), 16, 10).cast("long") % CELLS
+    rows = doorway_tallies.withColumn("cell", cell)
+    cells = rows.groupBy(*by, "cell").agg(F.count("*").alias("many"))
+    before = F.sum("many").over(Window.partitionBy(*by).orderBy("cell")) - F.col("many")  # at most CELLS rows a group
+    cells = cells.select(*by, "cell", before.alias("before"), F.sum("many").over(Window.partitionBy(*by)).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*by, "cell").orderBy("door"))
+    return rows.join(cells, [*by, "cell"]).withColumn("idx", F.col("before") + within - 1).drop("cell", "before")
+
+
 def cluster_bootstrap(doorway_tallies: DataFrame, by: list[str] | None = None, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the difference over resamples of whole doorways.
-
-    A draw's doorway is a hash of (seed, replicate, draw), so the result depends on no partitioning and any
-    SQL engine gives the same. A group's doorways are dealt by a hash of their names to blocks of about
-    ``BLOCK_DOORS``, and each block is resampled to its own size: up to that many doorways are one block, the
-    textbook resample; with more, random blocks make the variance smaller by less than 1 in ``BLOCK_DOORS``. A block is
-    one array, so draws are looked up where they are made and only sums per replicate are shuffled. Replicates with
-    an empty group are dropped; ends are taken by nearest rank, half to even. A group without doorways has no row.
+    """Percentile interval of the difference over resamples of whole doorways, as many draws as the group has doorways.
+
+    A group's doorways lie in blocks of ``BLOCK_DOORS`` by number, an array each. A resample is drawn in two levels, which
+    gives the same multinomial counts as drawing from all: each draw first falls on a doorway number and so in a block, and
+    the draws of a block are counted; then as many doorways are drawn within it. A group of one block needs no first
+    level. Draws are a hash of (seed, replicate, block, draw), so the result depends on no partitioning and any SQL engine
+    gives the same; only counts a block and sums a replicate are shuffled. Replicates with an empty group are dropped; ends are
+    taken by nearest rank, half to even. A group without doorways has no row.
     """
     by = by or []
-    number = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-    sizes = doorway_tallies.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_DOORS).alias("blocks"))  # a row per group
-    dealt = doorway_tallies.join(F.broadcast(sizes), by) if by else doorway_tallies.crossJoin(F.broadcast(sizes))
-    dealt = dealt.withColumn("block", F.when(F.col("blocks") > 1, number(F.col("door")) % F.col("blocks")).otherwise(0))
+    spark = doorway_tallies.sparkSession
+    tasks = spark.sparkContext.defaultParallelism * 2
     tally = ("tn", "tr", "nn", "nr")
-    blocks = dealt.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("door", *tally))).alias("doors"))
-    blocks = blocks.withColumn("doors", F.transform("doors", lambda d: F.struct(*[d[c].alias(c) for c in tally])))
-    runs = blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATES_AT_ONCE))))
-    runs = runs.repartition(doorway_tallies.sparkSession.sparkContext.defaultParallelism * 2, "block", "first", *by)
-    last = F.least(F.col("first") + REPLICATES_AT_ONCE - 1, F.lit(replicates - 1))
-    reps = runs.select(*by, "block", "doors", F.explode(F.sequence("first", last)).alias("rep"))
-    draws = reps.select(*by, "block", "doors", "rep", F.explode(F.sequence(F.lit(0), F.size("doors") - 1)).alias("k"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), (F.col("block") * (1 << 20) + F.col("k")).cast("string"))
-    drawn = draws.select(*by, "rep", F.get("doors", (number(text) % F.size("doors")).cast("int")).alias("d")).select(*by, "rep", "d.*")
+    rows = numbered_doors(doorway_tallies, by).withColumn("block", F.floor(F.col("idx") / BLOCK_DOORS))
+    blocks = rows.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("idx", *tally))).alias("doors"), F.max("n").alias("n"))
+    # Written, since a block's doorways go to the runs of its replicates and its group's size to the first level.
+    blocks = settled(blocks.withColumn("doors", F.transform("doors", lambda d: F.struct(*[d[c].alias(c) for c in tally]))), "blocks")
+    reps = lambda rows: rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATES_AT_ONCE))))
+    each = F.sequence(F.col("first"), F.least(F.col("first") + REPLICATES_AT_ONCE - 1, F.lit(replicates - 1)))
+    small = reps(blocks.filter(F.col("n") <= BLOCK_DOORS)).withColumn("draws", F.transform(each, lambda r: F.struct(r.alias("rep"), F.size("doors").cast("long").alias("m"))))
+
+    large = blocks.filter(F.col("n") > BLOCK_DOORS)
+    groups = reps(large.filter("block = 0").select(*by, "n"))
+    chunks = groups.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS_AT_ONCE).cast("long"))))
+    chunks = chunks.repartition(tasks, "first", "at", *by).withColumn("rep", F.explode(each))
+    chunks = chunks.withColumn("stream", C.stream_of(seed, F.col("rep"), F.lit(0)))
+    k = F.explode(F.sequence(F.col("at"), F.least(F.col("at") + DRAWS_AT_ONCE, F.col("n")) - 1))
+    fallen = chunks.select(*by, "first", "rep", "n", "stream", k.alias("k"))
+    fallen = fallen.withColumn("block", F.floor(C.draw(F.col("stream"), F.col("k")) % F.col("n") / BLOCK_DOORS))
+    counts = fallen.groupBy(*by, "block", "first", "rep").agg(F.count("*").alias("m"))
+    counts = counts.groupBy(*by, "block", "first").agg(F.collect_list(F.struct("rep", "m")).alias("draws"))  # REPLICATES_AT_ONCE at most
+    runs = small.select(*by, "block", "first", "doors", "draws").unionByName(large.join(counts, [*by, "block"]).select(*by, "block", "first", "doors", "draws"))
+
+    runs = runs.repartition(tasks, "block", "first", *by).select(*by, "block", "doors", F.inline("draws"))
+    runs = runs.withColumn("stream", C.stream_of(seed, F.col("rep"), F.col("block") + 1))
+    draws = runs.select(*by, "rep", "doors", "stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    drawn = draws.select(*by, "rep", F.get("doors", (C.draw(F.col("stream"), F.col("k")) % F.size("doors")).cast("int")).alias("d")).select(*by, "rep", "d.*")
     sums = drawn.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in tally]).filter("tn > 0 and nn > 0")
     d = sums.groupBy(*by).agg(F.array_sort(F.collect_list(100 * (F.col("tr") / F.col("tn") - F.col("nr") / F.col("nn")))).alias("d"))
     at = lambda share: F.get("d", F.bround(share * (F.size("d") - 1), 0).cast("int"))
@@ -140,49 +169,61 @@ def vehicle_verdict(totals: DataFrame) -> DataFrame:
     return totals.withColumn("share", share).withColumn("vehicle_verdict", verdict)
 
 
-def type_record(flags: DataFrame, doors: DataFrame, dimension: DataFrame, replicates: int = REPLICATES, key: str = "canonical_type") -> DataFrame:
-    """One row per canonical type, those without calls too: totals, intervals, verdicts and a sentence of its own."""
+def type_record(measures: DataFrame, dimension: DataFrame, min_calls: int = 2, replicates: int = REPLICATES, key: str = "canonical_type") -> DataFrame:
+    """One row per canonical type, those without calls too: totals, intervals, verdicts and a sentence of its own.
+
+    ``measures`` are all doorways' (``places.door_measures``): their tallies by tow status, and the vehicles of listed ones.
+    """
     types = dimension.filter("status = 'assigned'").select(key).distinct()
-    tow = tow_verdict(effect_bound(tallies(flags, [key]), [key], replicates))
-    out = types.join(tow, key, "left").join(vehicle_verdict(vehicle_totals(doors, [key])), key, "left")
+    measures = settled(measures.select(key, "door", "tn", "tr", "nn", "nr", "calls_12mo", "vehicles_seen", "vehicles_distinct"), "measures")
+    tow = tow_verdict(effect_bound(measures.select(key, "door", "tn", "tr", "nn", "nr"), [key], replicates))
+    listed = measures.filter((F.col("calls_12mo") > 0) & (F.col("calls_12mo") >= min_calls))
+    out = types.join(tow, key, "left").join(vehicle_verdict(vehicle_totals(listed, [key])), key, "left")
     out = out.fillna(0, ["tn", "tr", "nn", "nr", "seen", "distinct", "doorways"]).fillna("sample_too_small", ["tow_verdict", "vehicle_verdict"])
     out = out.withColumn("comparable", F.coalesce("comparable", F.lit(False)))
     return out.withColumn("conclusion", F.concat_ws("; ", F.col(key), F.concat(F.lit("tows: "), "tow_verdict"), F.concat(F.lit("vehicles: "), "vehicle_verdict")))
 
 
-def response_time(loaded: DataFrame, as_of: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """Median minutes from report to closure, closed calls and calls never closed."""
+def response_time(calls: DataFrame, as_of: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Median minutes from report to closure, closed calls and calls never closed.
+
+    Calls are counted by their minutes, with map-side combine, and the counts are written; all figures come from them.
+    """
     by = by or []
-    calls = _as_of(loaded, as_of).withColumn("minutes", C.elapsed_minutes(F.col("date_initiated"), F.col("date_closed")))
-    counts = calls.groupBy(*by).agg(
-        F.count("minutes").alias("closed"),  # null unless both times are there
-        F.count_if(F.col("date_closed").isNull()).alias("never_closed"),
-    )
-    middle = median(calls.select(*by, "minutes"), "minutes", by).withColumnRenamed("minutes", "median_minutes")
-    out = counts.join(middle, by, "left") if by else counts.join(middle, F.lit(True), "left")  # a row per group
+    minutes = C.elapsed_minutes(F.col("date_initiated"), F.col("date_closed")).alias("minutes")
+    counts = _as_of(calls, as_of).groupBy(*by, minutes, F.col("date_closed").isNull().alias("open")).agg(F.count("*").alias("n"))
+    counts = settled(counts, "minutes")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias
+    totals = counts.groupBy(*by).agg(total(F.col("minutes").isNotNull())("closed"), total(F.col("open"))("never_closed"))  # no minutes unless both times are there
+    middle = median(counts, "minutes", by, "n").withColumnRenamed("minutes", "median_minutes")
+    out = totals.join(middle, by, "left") if by else totals.join(middle, F.lit(True), "left")  # a row per group
     return out.select(*by, "median_minutes", "closed", "never_closed")
 
 
 MEDIAN_CELL = 16.0
 
 
-def median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The exact median of ``value`` per group, halfway between the middle two of an even number; groups without values
-    have no row (without ``by``, the one row is null).
+def median(counts: DataFrame, value: str, by: list[str], n: str) -> DataFrame:
+    """The exact median per group of values that occur ``n`` times, halfway between the middle two of an even number; groups
+    without values have no row (without ``by``, the one row is null).
 
-    Values are counted by cells of ``MEDIAN_CELL``; only those in the cells of the middle ranks are sorted, so no task
-    holds a group.
+    Counts are summed up by cells of ``MEDIAN_CELL``; only the different values in the cells of the middle ranks are sorted,
+    so neither a large group nor a common value meets in one task.
     """
-    at = rows.filter(F.col(value).isNotNull()).withColumn("_cell", F.floor(F.col(value) / MEDIAN_CELL))
-    cells = at.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    at = counts.filter(F.col(value).isNotNull()).withColumn("_cell", F.floor(F.col(value) / MEDIAN_CELL))
+    cells = at.groupBy(*by, "_cell").agg(F.sum(n).alias("_n"))
     upto = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")))  # a row per cell
     upto = upto.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # ranks of the middle, from 1
     holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
     wanted = upto.filter(holds(low) | holds(high)).select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"), low.alias("_low"), high.alias("_high"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(value))
-    middle = at.join(F.broadcast(wanted), [*by, "_cell"]).withColumn("_rank", rank)  # two cells a group at most
-    return middle.filter(F.col("_rank").isin(F.col("_low"), F.col("_high"))).groupBy(*by).agg(F.avg(value).alias(value))
+    middle = at.join(wanted, [*by, "_cell"])  # two cells a group at most
+    last = F.col("_before") + F.sum(n).over(Window.partitionBy(*by, "_cell").orderBy(value))
+    middle = middle.groupBy(*by, "_cell", "_before", "_low", "_high", value).agg(F.sum(n).alias(n)).withColumn("_last", last)
+    has = lambda rank: (F.col("_last") >= F.col(rank)) & (F.col("_last") - F.col(n) < F.col(rank))
+    ends = middle.select(*by, value, has("_low").alias("_is_low"), has("_high").alias("_is_high")).filter("_is_low or _is_high").groupBy(*by)
+    found = ends.agg(F.max(F.when(F.col("_is_low"), F.col(value))).alias("_a"), F.max(F.when(F.col("_is_high"), F.col(value))).alias("_b"))
+    return found.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(value))
 
 
 def _as_of(loaded: DataFrame, as_of: str | None) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The parameters that a list is derived under unless told otherwise; columns that history keeps by name.
-PARAMETERS = {"min_calls": 2, "recur_days": 365, "min_doorways": 2, "district": None}
+from .places import MIN_CALLS, MIN_DOORWAYS, RECUR_DAYS
+
+#: The parameters that a list is derived under unless told otherwise. Columns that history keeps by name.
+PARAMETERS = {"min_calls": MIN_CALLS, "recur_days": RECUR_DAYS, "min_doorways": MIN_DOORWAYS, "district": None}
 KEPT = {
     "address": ("address", "rank", "block", "district", "calls_12mo", "calls_total", "tows", "vehicles_seen", "vehicles_distinct"),
     "block": ("block", "rank", "streets", "district", "doorways", "calls_12mo", "calls_total", "tows", "dwellings"),

@@ -11,9 +11,12 @@ from ..sources.layers import settled
 from .geo import locate
 from .select import usable
 
-#: Days before the newest call in which a doorway must have called; days in which a call recurs.
+#: Days before the newest call in which a doorway must have called; days in which a call recurs; calls and
+#: doorways that lists begin with.
 RECENCY_DAYS = 365
-RECUR_DAYS = 90
+RECUR_DAYS = 365
+MIN_CALLS = 2
+MIN_DOORWAYS = 2
 
 
 def with_gaps(loaded: DataFrame, recur_days: int, by: list[str]) -> DataFrame:

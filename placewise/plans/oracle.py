@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.figures import BLOCK_DOORS, REPLICATES, SEED, Z95
 from ..operators.reconcile import CALL_FIELDS
 from ..operators.types import dimension_rows
 from .adapter import with_views
@@ -40,7 +39,7 @@ ONE = "sel AS (SELECT *, 'all' AS canonical_type FROM loaded)"
 TYPED = "sel AS (SELECT loaded.*, canonical_type FROM loaded JOIN types USING (request_id))"
 
 
-def _gaps(recur: int = 90, sel: str = "sel", name: str = "gaps") -> str:
+def _gaps(recur: int = 365, sel: str = "sel", name: str = "gaps") -> str:
     return f"""{name} AS (SELECT *, coalesce(gap_days <= {recur}, false) AS recurs FROM (
   SELECT *, row_number() OVER w AS seq, datesub('day', local, lead(local) OVER w) AS gap_days FROM {sel}
   WHERE local IS NOT NULL AND door IS NOT NULL WINDOW w AS (PARTITION BY canonical_type, door ORDER BY local, request_id)))"""
@@ -99,15 +98,34 @@ FLAGS = (ATTRS, LOADED, TYPES, TYPED, _gaps())
 TALLY = """t AS (SELECT canonical_type, door, count(*) FILTER (tow_status = 'towed') AS tn, count(*) FILTER (tow_status = 'towed' AND recurs) AS tr,
   count(*) FILTER (tow_status = 'not_towed') AS nn, count(*) FILTER (tow_status = 'not_towed' AND recurs) AS nr FROM gaps GROUP BY 1, 2)"""
 TOTALS = "totals AS (SELECT canonical_type, sum(tn)::BIGINT AS tn, sum(tr)::BIGINT AS tr, sum(nn)::BIGINT AS nn, sum(nr)::BIGINT AS nr FROM t GROUP BY 1)"
+#: The normal quantile of a 95 per cent interval.
+Z95 = 1.959963984540054
 WALD = f"""wald AS (SELECT *, 100 * (p1 - p2) AS difference, 100 * (p1 - p2 - {Z95} * se) AS wald_lo, 100 * (p1 - p2 + {Z95} * se) AS wald_hi FROM (
   SELECT *, sqrt(p1 * (1 - p1) / nullif(tn, 0) + p2 * (1 - p2) / nullif(nn, 0)) AS se FROM (
     SELECT *, tr / nullif(tn, 0) AS p1, nr / nullif(nn, 0) AS p2 FROM totals)))"""
-BOOT = f"""dealt AS (SELECT t.*, CASE WHEN blocks > 1 THEN ('0x' || substr(md5(door), 1, 8))::BIGINT % blocks ELSE 0 END AS block FROM t
-  JOIN (SELECT canonical_type, ceil(count(*) / {BLOCK_DOORS})::BIGINT AS blocks FROM t GROUP BY 1) USING (canonical_type)),
-num AS (SELECT *, row_number() OVER (PARTITION BY canonical_type, block ORDER BY door) - 1 AS idx FROM dealt),
-draws AS (SELECT canonical_type, block, rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || (block * 1048576 + k)), 1, 8))::BIGINT % n AS idx FROM (
-  SELECT canonical_type, block, n, rep, unnest(range(0, n)) AS k FROM (SELECT canonical_type, block, count(*) AS n FROM num GROUP BY 1, 2), range(0, {REPLICATES}) r(rep))),
-reps AS (SELECT canonical_type, rep, 100 * (sum(tr) / sum(tn) - sum(nr) / sum(nn)) AS d FROM draws JOIN num USING (canonical_type, block, idx) GROUP BY 1, 2
+def _mix(source: str, c: str) -> str:
+    """Column c of the source as another number below 2 ** 32."""
+    for _ in range(2):
+        source = f"(SELECT * REPLACE ((xor({c}, {c} >> 16) * 73244475) & 4294967295 AS {c}) FROM {source})"
+    return f"(SELECT * REPLACE (xor({c}, {c} >> 16) AS {c}) FROM {source})"
+
+
+def _draws(source: str, part: str, k: str) -> str:
+    """Rows of the source, which has rep, times the draws in the list k, with the draw u."""
+    first = _mix(f"(SELECT *, (20260101 + rep) & 4294967295 AS s FROM {source})", "s")
+    stream = _mix(f"(SELECT * REPLACE ((s + {part}) & 4294967295 AS s) FROM {first})", "s")
+    other = _mix(f"(SELECT *, xor(s, 2654435769) AS b FROM {stream})", "b")
+    both = _mix(f"(SELECT * REPLACE ((b + k) & 4294967295 AS b), xor(s, k) AS a FROM (SELECT *, unnest({k}) AS k FROM {other}))", "b")
+    return f"(SELECT *, (a + b) & 4294967295 AS u FROM {_mix(both, 'a')})"
+
+
+BOOT = f"""num AS (SELECT *, row_number() OVER (PARTITION BY canonical_type ORDER BY ('0x' || substr(md5(door), 1, 8))::BIGINT % 1024, door) - 1 AS idx,
+  count(*) OVER (PARTITION BY canonical_type) AS n FROM t),
+sized AS (SELECT canonical_type, n, r.rep FROM (SELECT DISTINCT canonical_type, n FROM num), (SELECT unnest(range(0, 2000)) AS rep) r),
+fallen AS (SELECT canonical_type, n, rep, 0 AS block, n AS m FROM sized WHERE n <= 1024
+  UNION ALL SELECT canonical_type, n, rep, u % n // 1024, count(*) FROM {_draws('(SELECT * FROM sized WHERE n > 1024)', '0', 'range(0, n)')} GROUP BY 1, 2, 3, 4),
+draws AS (SELECT canonical_type, rep, block * 1024 + u % least(1024, n - 1024 * block) AS idx FROM {_draws('fallen', '(block + 1)', 'range(0, m)')}),
+reps AS (SELECT canonical_type, rep, 100 * (sum(tr) / sum(tn) - sum(nr) / sum(nn)) AS d FROM draws JOIN num USING (canonical_type, idx) GROUP BY 1, 2
   HAVING sum(tn) > 0 AND sum(nn) > 0),
 boot AS (SELECT canonical_type, len(d) AS replicates, d[1 + round_even(0.025 * (len(d) - 1), 0)::INT] AS boot_lo,
   d[1 + round_even(0.975 * (len(d) - 1), 0)::INT] AS boot_hi FROM (SELECT canonical_type, list(d ORDER BY d) AS d FROM reps GROUP BY 1))"""
@@ -258,6 +276,8 @@ ORACLE_SQL: dict[str, str] = {
     "tow_tallies": with_views("SELECT door, tn, tr, nn, nr FROM t", ATTRS, LOADED, ONE, _gaps(), TALLY),
     "wald_interval": with_views(f"SELECT canonical_type, tn, tr, nn, nr, {_r('difference', 'wald_lo', 'wald_hi')} FROM wald", *FLAGS, TALLY, TOTALS, WALD),
     "cluster_bootstrap": with_views(f"SELECT canonical_type, replicates, {_r('boot_lo', 'boot_hi')} FROM boot", *FLAGS, TALLY, BOOT),
+    "unit_bootstrap": with_views(f"SELECT canonical_type, replicates, {_r('boot_lo', 'boot_hi')} FROM boot", ATTRS, LOADED, TYPES,
+        "sel AS (SELECT loaded.* REPLACE (door || ' unit ' || (request_id % 7) AS door), canonical_type FROM loaded JOIN types USING (request_id))", _gaps(), TALLY, BOOT),
     "effect_bound": with_views("SELECT * FROM bound", *STATS),
     "tow_verdict": with_views("SELECT canonical_type, tow_verdict FROM verdict", *STATS),
     "vehicle_verdict": with_views("SELECT * FROM vehicles", *ALL, VEHICLES),
@@ -326,8 +346,8 @@ ORACLE_SQL: dict[str, str] = {
     "export_preamble": with_views(
         """SELECT 'violation_type' AS key, 'Urgent or high' AS value UNION ALL SELECT 'slug', 'urgent-or-high' UNION ALL SELECT 'doorway_count', (SELECT count(*) FROM doors)::VARCHAR
         UNION ALL SELECT 'block_count', (SELECT count(*) FROM blks)::VARCHAR UNION ALL SELECT 'latest_call_date', (SELECT strftime(max(local), '%Y-%m-%d') FROM sel)
-        UNION ALL SELECT 'filter: ' || k, v FROM (VALUES ('district', '1'), ('min_calls', '2'), ('min_doorways', '2'), ('recur_days', '90'), ('recency_days', '365')) f(k, v)
-        UNION ALL SELECT 'filters_in_effect', 'district = 1, min_calls = 2, min_doorways = 2, recency_days = 365, recur_days = 90'""", *SELECTED
+        UNION ALL SELECT 'filter: ' || k, v FROM (VALUES ('district', '1'), ('min_calls', '2'), ('min_doorways', '2'), ('recur_days', '365'), ('recency_days', '365')) f(k, v)
+        UNION ALL SELECT 'filters_in_effect', 'district = 1, min_calls = 2, min_doorways = 2, recency_days = 365, recur_days = 365'""", *SELECTED
     ),
     "run_metadata": with_views(
         f"""SELECT TIMESTAMP '{NOW}' AS derived_at, (SELECT min(s) FROM (SELECT max(last_success_at) AS s FROM layer_state WHERE layer IN ('click', 'purchase') GROUP BY layer)) AS last_sync,

@@ -154,6 +154,13 @@ def cluster_bootstrap(t):
     return rounded(figures.cluster_bootstrap(settled(type_tallies(t), "tallies"), [KIND]))
 
 
+@query
+def unit_bootstrap(t):
+    """Doorways told apart by unit, of which a type has thousands."""
+    units = typed(t).withColumn("door", F.concat("door", F.lit(" unit "), (F.col("request_id") % 7).cast("string")))
+    return rounded(figures.cluster_bootstrap(settled(figures.tallies(figures.recurrence_flags(units, by=[KIND]), [KIND]), "tallies"), [KIND]))
+
+
 @query
 def effect_bound(t):
     return figures.effect_bound(type_tallies(t), [KIND])
@@ -171,13 +178,14 @@ def vehicle_verdict(t):
 
 @query
 def type_record(t):
-    flags = figures.recurrence_flags(typed(t), by=[KIND])
-    return figures.type_record(flags, places.doorways(typed(t), by=[KIND]), t.dim)
+    return figures.type_record(places.door_measures(typed(t), by=[KIND]), t.dim)
 
 
 @query
 def response_time(t):
-    return rounded(figures.response_time(typed(t), "2000-06-30", [KIND]))
+    kinds = select.canonical_types(t.fields, t.dim)
+    calls = t.calls.join(kinds, "request_id").withColumn("local", C.to_local(F.col("date_initiated")))  # no attribute is needed
+    return rounded(figures.response_time(calls, "2000-06-30", [KIND]))
 
 
 @query
@@ -229,7 +237,7 @@ def display_blocks(t):
     return rows.withColumn("addrs", F.array_join("addrs", "|"))
 
 
-FILTERS = {"district": None, "min_calls": 2, "min_doorways": 2, "recur_days": 90, "recency_days": 365}
+FILTERS = {**history.PARAMETERS, "recency_days": places.RECENCY_DAYS}
 
 
 @query

@@ -36,7 +36,7 @@ def doors(spark, rows, attrs=None, **kw):
 
 
 def test_recurrence_edges_are_floored_days(spark):
-    got = doors(spark, [(1, 0, "a st"), (2, 90.99, "a st"), (3, 0, "b st"), (4, 91, "b st"), (5, 0, "c st"), (6, 1, "c st"), (7, 2, "c st")])
+    got = doors(spark, [(1, 0, "a st"), (2, 90.99, "a st"), (3, 0, "b st"), (4, 91, "b st"), (5, 0, "c st"), (6, 1, "c st"), (7, 2, "c st")], recur_days=90)
     assert {a: r.repeat_calls for a, r in got.items()} == {"A ST": 1, "B ST": 0, "C ST": 2}
     assert got["A ST"].median_gap_days == 90 and got["C ST"].vehicles_seen == 0
 
