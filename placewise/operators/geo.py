@@ -31,41 +31,89 @@ def box_of(rings: Column) -> list[Column]:
     ]
 
 
-def cell_of(areas: DataFrame) -> float:
-    """A cell about as wide as a typical box: the median of the boxes' longer sides. One row of the small side is read."""
+#: A power of four: cells of side 4 ** level. Edges are taken wider by this part of a cell, far above what arithmetic rounds.
+LEAST_LEVEL, MOST_LEVEL, WIDER = -24, 8, 1.0 / 1024
+
+
+def _shapes(areas: DataFrame, edges: DataFrame, carry: list[str]) -> DataFrame:
+    """Areas with the side of their cells: about the square root of the number of edges by box side, so that an area has
+    about as many cells as edges, of whatever size it is."""
+    counts = edges.filter("y1 <> y2").groupBy("dauid").agg(F.count("*").alias("n"))
+    shapes = areas.filter("min_lon is not null").select("dauid", *carry, "min_lon", "min_lat", "max_lon", "max_lat").join(counts, "dauid")
     side = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
-    found = areas.filter("min_lon is not null").agg(F.percentile_approx(side, 0.5)).first()[0]
-    return found if found else 1.0
+    level = F.ceil(F.log(F.greatest(side, F.lit(1e-300)) / F.greatest(F.floor(F.sqrt("n")), F.lit(1))) / math.log(4)).cast("int")
+    shapes = shapes.withColumn("level", F.greatest(F.least(level, F.lit(MOST_LEVEL)), F.lit(LEAST_LEVEL))).withColumn("s", F.pow(F.lit(4.0), "level"))
+    at = {"c0": "min_lon", "c1": "max_lon", "r0": "min_lat", "r1": "max_lat"}
+    return shapes.withColumns({k: F.floor(F.col(v) / F.col("s")) for k, v in at.items()})
 
 
-def locate(rows: DataFrame, areas: DataFrame, edges: DataFrame, cell: float | None = None, carry: list[str] | None = None) -> DataFrame:
+def cover(areas: DataFrame, edges: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``(level, r, c, shapes)``: the cells of a grid of many sizes that areas lie in, each area in cells of its own size.
+
+    A shape in a cell holds the edges that cross the cell's row within the cell, and of those that cross the row further
+    east only what they add to a ray's crossings: whether an odd number of their ends lies north of the row
+    (``odd``), and the latitudes within the row at which that changes (``flips``), which are few since the ends of edges that
+    follow each other cancel. A cell without edges is inside or outside as a whole, and only the former is listed.
+    """
+    carry = carry or []
+    shapes = _shapes(areas, edges, carry)
+    e = edges.filter("y1 <> y2").join(shapes.select("dauid", "s", "c0", "c1", "r0", "r1"), "dauid")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first, last = F.greatest(F.floor(low / F.col("s")), F.col("r0")), F.least(F.floor(high / F.col("s")), F.col("r1"))
+    e = e.filter(first <= last).withColumn("r", F.explode(F.sequence(first, last)))
+    x_at = lambda y: F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    ends = [x_at(F.greatest(low, F.col("r") * F.col("s"))), x_at(F.least(high, (F.col("r") + 1) * F.col("s")))]
+    wide, west, east = F.col("s") * WIDER, F.least("x1", "x2"), F.greatest("x1", "x2")
+    e = e.withColumn("from", F.floor((F.greatest(F.least(*ends), west) - wide) / F.col("s")))
+    e = e.withColumn("upto", F.floor((F.least(F.greatest(*ends), east) + wide) / F.col("s")))
+    # East of a cell: what begins in a later column. Only a column's sums are kept, and the latitudes that do not cancel.
+    e = e.withColumn("from", F.least("from", F.col("c1") + 1))
+    top, bottom = (F.col("r") + 1) * F.col("s"), F.col("r") * F.col("s")
+    key = ["dauid", "r", "c"]
+    north = e.select("dauid", "r", (F.col("from") - 1).alias("c"), ((F.col("y1") >= top).cast("int") + (F.col("y2") >= top).cast("int")).alias("north"))
+    inner = e.select("dauid", "r", "c0", "from", F.explode(F.array("y1", "y2")).alias("y"), top.alias("t"), bottom.alias("b")).filter("y > b and y < t")
+    inner = inner.groupBy("dauid", "r", "y", "from").agg(F.count("*").alias("n"), F.first("c0").alias("c0")).filter("n % 2 = 1")
+    w = Window.partitionBy("dauid", "r", "y").orderBy(F.desc("from"))
+    inner = inner.withColumn("k", F.row_number().over(w)).withColumn("next", F.greatest(F.coalesce(F.lead("from").over(w), F.col("c0")), F.col("c0")))
+    inner = inner.filter("k % 2 = 1 and next < `from`").select("dauid", "r", F.explode(F.sequence(F.col("next"), F.col("from") - 1)).alias("c"), F.col("y").alias("flip"))
+    crossing = e.withColumn("a", F.greatest("from", "c0")).withColumn("z", F.least("upto", "c1")).filter("a <= z")
+    crossing = crossing.select("dauid", "r", F.explode(F.sequence("a", "z")).alias("c"), F.struct("x1", "y1", "x2", "y2").alias("edge"))
+    box = shapes.select("dauid", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("dauid", "r", F.explode(F.sequence("c0", "c1")).alias("c"), F.lit(0).alias("north"))
+    parts = north.unionByName(box).unionByName(inner, allowMissingColumns=True).unionByName(crossing, allowMissingColumns=True)
+    cells = parts.groupBy(*key).agg(F.sum("north").alias("north"), F.collect_list("flip").alias("flips"), F.collect_list("edge").alias("edges"))
+    further = Window.partitionBy("dauid", "r").orderBy(F.desc("c"))  # a row of one area's cells
+    cells = cells.withColumn("odd", F.coalesce(F.sum("north").over(further), F.lit(0)) % 2 == 1).filter("odd or size(edges) > 0 or size(flips) > 0")
+    held = cells.select(*key, "odd", "flips", "edges").join(shapes.drop("n", "s", "r0", "r1"), "dauid").filter("c >= c0")
+    shape = F.struct("dauid", *carry, "min_lon", "min_lat", "max_lon", "max_lat", "odd", "flips", "edges")
+    return held.groupBy("level", "r", "c").agg(F.collect_list(shape).alias("shapes"))  # the few areas at a cell
+
+
+def locate(rows: DataFrame, covered: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The rows (with ``lon`` and ``lat``) and ``block``, the area that holds their point by the even-odd rule, null if none.
 
     Holes are outside, islands in holes inside; of several areas the smallest id is taken. ``carry`` names columns of the
-    area to return as ``block_<name>``. A null coordinate, and a zero one, is no point.
+    area to return as ``block_<name>``. A null coordinate, and a zero one, is no point. ``covered`` is ``cover`` of the areas.
 
-    Areas are listed, with box and edges as arrays, under each grid cell that their box covers, and a row looks its own cell
-    up: rows are joined once and never multiplied. ``cell`` near a typical box width keeps a cell's list short.
+    Each different point looks up its cell of every size in use, of which there are at most ``MOST_LEVEL - LEAST_LEVEL + 1``.
     """
-    cell, carry = cell or cell_of(areas), carry or []
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    rings = edges.groupBy("dauid").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))  # a polygon each
-    shapes = areas.filter("min_lon is not null").select("dauid", *carry, "min_lon", "min_lat", "max_lon", "max_lat").join(rings, "dauid")
-    listed = shapes.withColumn("_cx", F.explode(span("min_lon", "max_lon"))).withColumn("_cy", F.explode(span("min_lat", "max_lat")))
-    listed = listed.groupBy("_cx", "_cy").agg(F.collect_list(F.struct(*shapes.columns)).alias("_shapes"))  # the few areas at a cell
-    point = (F.col("lon") != 0) & (F.col("lat") != 0)
-    at = rows.withColumn("_cx", F.when(point, F.floor(F.col("lon") / cell))).withColumn("_cy", F.when(point, F.floor(F.col("lat") / cell)))
+    carry = carry or []
+    points = rows.select("lon", "lat").filter("lon <> 0 and lat <> 0").distinct()
+    levels = F.broadcast(covered.select("level").distinct())  # so few, whatever the areas
+    side = F.pow(F.lit(4.0), "level")
+    points = points.crossJoin(levels).withColumn("r", F.floor(F.col("lat") / side)).withColumn("c", F.floor(F.col("lon") / side))
     in_box = lambda s: F.col("lon").between(s["min_lon"], s["max_lon"]) & F.col("lat").between(s["min_lat"], s["max_lat"])
     ray = lambda e: C.crosses(F.col("lon"), F.col("lat"), e["x1"], e["y1"], e["x2"], e["y2"])
-    odd = lambda s: F.size(F.filter(s["edges"], ray)) % 2 == 1
-    hits = F.transform(F.filter("_shapes", lambda s: in_box(s) & odd(s)), lambda s: F.struct(s["dauid"], *[s[c] for c in carry]))
-    out = at.join(listed, ["_cx", "_cy"], "left").withColumn("_hit", F.array_min(hits))
+    crossed = lambda s: s["odd"].cast("int") + F.size(F.filter(s["flips"], lambda y: y > F.col("lat"))) + F.size(F.filter(s["edges"], ray))
+    hits = F.transform(F.filter("shapes", lambda s: in_box(s) & (crossed(s) % 2 == 1)), lambda s: F.struct(s["dauid"], *[s[c] for c in carry]))
+    found = points.join(covered, ["level", "r", "c"]).select("lon", "lat", F.array_min(hits).alias("_hit")).filter("_hit is not null")
+    found = found.groupBy("lon", "lat").agg(F.min("_hit").alias("_hit"))
+    out = rows.join(found, ["lon", "lat"], "left")
     return out.select(*rows.columns, F.col("_hit.dauid").alias("block"), *[F.col(f"_hit.{c}").alias(f"block_{c}") for c in carry])
 
 
-def containing_area(points: DataFrame, areas: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
+def containing_area(points: DataFrame, covered: DataFrame) -> DataFrame:
     """``(point, block)``: see ``locate``."""
-    return locate(points.select("point", "lon", "lat"), areas, edges, cell).select("point", "block")
+    return locate(points.select("point", "lon", "lat"), covered).select("point", "block")
 
 
 def call_points(calls: DataFrame) -> DataFrame:

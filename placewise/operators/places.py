@@ -32,9 +32,8 @@ def with_gaps(loaded: DataFrame, recur_days: int, by: list[str]) -> DataFrame:
 
 def doorways(
     loaded: DataFrame,
-    areas: DataFrame | None = None,
-    edges: DataFrame | None = None,
-    min_calls: int = 2,
+    covered: DataFrame | None = None,
+    min_calls: int = MIN_CALLS,
     recur_days: int = RECUR_DAYS,
     recency_days: int = RECENCY_DAYS,
     by: list[str] | None = None,
@@ -42,8 +41,8 @@ def doorways(
 ) -> DataFrame:
     """Ranked doorways that still call: at least ``min_calls`` in the window before the newest call.
 
-    The newest call is that of the selection (``by`` group), with or without an address. With ``areas`` and
-    ``edges``, each doorway's median point is placed in its block. ``by`` names grouping columns of several
+    The newest call is that of the selection (``by`` group), with or without an address. With ``covered`` (``geo.cover``
+    with the areas' dwellings), each doorway's median point is placed in its block. ``by`` names grouping columns of several
     selections at once. ``rank`` orders by score, ties by the doorway's lowest request id.
     """
     by = by or []
@@ -51,7 +50,7 @@ def doorways(
     listed = measures.filter((F.col("calls_12mo") > 0) & (F.col("calls_12mo") >= min_calls))
     if district is not None and district.strip():
         listed = listed.filter(F.col("district") == district)
-    return ranked(listed, areas, edges, by)
+    return ranked(listed, covered, by)
 
 
 def door_measures(loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days: int = RECENCY_DAYS, by: list[str] | None = None) -> DataFrame:
@@ -90,40 +89,41 @@ def door_measures(loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days:
     )
 
 
-def ranked(listed: DataFrame, areas: DataFrame | None, edges: DataFrame | None, by: list[str]) -> DataFrame:
+def ranked(listed: DataFrame, covered: DataFrame | None, by: list[str]) -> DataFrame:
     """Listed doorways with street, tow rate, block and rank."""
     listed = listed.withColumn("tow_rate", F.col("tows") / F.col("calls_total"))
     listed = listed.withColumn("street", C.street_of(F.col("door")))
-    if areas is not None:
-        listed = locate(listed, areas, edges, carry=["dwellings"])
+    if covered is not None:
+        listed = locate(listed, covered, carry=["dwellings"])
     else:
         listed = listed.withColumn("block", F.lit(None).cast("string")).withColumn("block_dwellings", F.lit(None).cast("int"))
     listed = listed.drop("tn", "tr", "nn", "nr").withColumnRenamed("door", "address")
-    return numbered(listed, by, F.negative(C.score(F.col("calls_12mo"), F.col("tow_rate"))), "first_seen")
+    return numbered(listed, by, [F.negative(C.score(F.col("calls_12mo"), F.col("tow_rate"))), F.col("first_seen")])
 
 
-RUNS = 64
+def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The rows with ``rank``, their number within ``by`` in the order of ``order``, which must tell rows apart.
 
-
-def numbered(rows: DataFrame, by: list[str], first: Column, then: str) -> DataFrame:
-    """The rows with ``rank``, their number within ``by`` in the order of ``first`` and ``then``, an integer column.
-
-    The rows are written once. They are counted by cells, the values of ``first`` by ``RUNS`` stretches of ``then``, the
-    cells are summed up in order, and rows are numbered within their cell: no task sorts a whole list.
+    The rows are written, so that finding the ranges' bounds does not work them out twice, dealt into ranges of (``by``,
+    ``order``), and written in order with their places. A range's rows of a group are numbered on from those of the ranges
+    before; only a row per range and group is summed up, so no task sorts a list, whatever its keys are.
     """
-    rows = settled(rows.withColumn("_first", first), "listed")
-    low, high = rows.agg(F.min(then), F.max(then)).first()
-    width = ((high or 0) - (low or 0)) // RUNS + 1
-    cell = [*by, "_first", "_run"]
-    rows = rows.withColumn("_run", F.floor((F.col(then) - F.lit(low or 0)) / width))
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_first", "_run")) - F.col("_n")  # a row per cell
-    within = F.row_number().over(Window.partitionBy(*cell).orderBy(then))
-    out = rows.join(counts.select(*cell, before.alias("_before")), cell).withColumn("rank", (F.col("_before") + within).cast("int"))
-    return out.drop("_first", "_run", "_before")
-
-
-def blocks(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None) -> DataFrame:
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = settled(rows.withColumns(dict(zip(keys, order, strict=True))), "listed")
+    dealt = rows.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys)
+    placed = settled(dealt.drop(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33).alias("_part")
+    runs = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by], part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_part")) - F.col("_n")  # a row per range
+    runs = runs.withColumn("_before", earlier)
+    same = F.shiftright("_at", 33) == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = placed.join(runs, same).withColumn("rank", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int"))
+    return out.drop("_at", "_part", "_first", "_n", "_before", *[f"_{c}" for c in by])
+
+
+def blocks(doors: DataFrame, min_doorways: int = MIN_DOORWAYS, by: list[str] | None = None) -> DataFrame:
     """Ranked blocks of listed doorways: those with at least ``min_doorways``. Doorways are shuffled once, by block."""
     by = by or []
     keys = [*by, "block"]
@@ -147,11 +147,11 @@ def blocks(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None)
     )
     out = out.withColumn("calls_per_1k_dwellings", C.per_thousand(F.col("calls_12mo"), F.col("dwellings")))
     out = out.filter(F.col("doorways") >= min_doorways)
-    order = Window.partitionBy(*by).orderBy(F.desc("doorways"), F.desc(F.coalesce("calls_per_1k_dwellings", F.lit(0.0))), "first_rank")
-    return out.withColumn("rank", F.row_number().over(order)).drop("first_rank")
+    order = [F.negative("doorways"), F.negative(F.coalesce("calls_per_1k_dwellings", F.lit(0.0))), F.col("first_rank")]
+    return numbered(out, by, order).drop("first_rank")
 
 
-def neighbours(doors: DataFrame, min_doorways: int = 2, by: list[str] | None = None) -> DataFrame:
+def neighbours(doors: DataFrame, min_doorways: int = MIN_DOORWAYS, by: list[str] | None = None) -> DataFrame:
     """As ``with_neighbours``, from the doorways alone: those of one block are counted where they meet."""
     own = F.coalesce(F.nullif("block", F.lit("")), F.concat(F.lit("\u0000"), "address"))  # a doorway without a block is alone
     n = F.count("*").over(Window.partitionBy(*(by or []), own))

@@ -10,6 +10,12 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import geo
+from ..sources import layers
+
+#: Tables that are landed bucketed, by their key, and what they are made of.
+STORED = {"calls": "request_id", "fields": "request_id"}
+SOURCES = ("region", "nation", "customer", "part", "orders", "lineitem")
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "conversations")
 
 VIEWS: dict[str, str] = {
@@ -95,8 +101,27 @@ class Inputs:
         self._prefix = f"v{zlib.crc32(sf_dir.encode()):08x}_"
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in STORED or name == "covered":
+            df = self._stored(name)
+            setattr(self, name, df)
+            return df
         if name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
+        return self._view(name)
+
+    def _stored(self, name: str) -> DataFrame:
+        """The landed table of a name: calls and attributes bucketed by request, and the areas' cover. A folder's tables are
+        landed once a session, again if their files have changed."""
+        size, newest = layers.size_and_time(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in SOURCES])
+        table = f"{self._prefix}{name}_{size:x}_{newest:x}"
+        if not self.spark.catalog.tableExists(table):
+            if name == "covered":
+                geo.cover(self.areas, self.edges, ["dwellings"]).write.option("path", layers.work_folder(self.spark, table)).saveAsTable(table)
+            else:
+                layers.store_bucketed(self._view(name), table, STORED[name], layers.buckets_for(size))
+        return self.spark.table(table)
+
+    def _view(self, name: str) -> DataFrame:
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         else:
@@ -105,7 +130,8 @@ class Inputs:
                 getattr(self, used)
             df = self.spark.sql(re.sub(r"(?<=FROM |JOIN )([a-z_]+)", rf"{self._prefix}\1", sql))
         df.createOrReplaceTempView(self._prefix + name)
-        setattr(self, name, df)
+        if name not in STORED:
+            setattr(self, name, df)
         return df
 
 

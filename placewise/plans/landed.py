@@ -137,7 +137,7 @@ def retained_snapshots(t):
     root = layers.work_folder(t.spark, "retained")
     for i, (day, label) in enumerate((("1998-01-01", "view"), ("1999-06-01", "click"), ("1999-06-01", "click")), 1):
         loaded = typed(t).filter(F.col("local") < F.lit(day).cast("timestamp_ntz"))
-        doors = layers.settled(places.doorways(loaded, t.areas, t.edges, by=[KIND]), "doors")
+        doors = layers.settled(places.doorways(loaded, t.covered, by=[KIND]), "doors")
         rows = history.snapshot_rows(doors.select(KIND, *history.KEPT["address"]), i, day, None)
         blocks = history.snapshot_rows(places.blocks(doors, by=[KIND]).select(KIND, *history.KEPT["block"]), i, day, None, "block")
         version = history.version_map(t.layer_state.filter(F.col("layer") == label))

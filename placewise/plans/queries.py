@@ -48,7 +48,7 @@ def typed(t: Inputs) -> DataFrame:
 
 
 def doors_of(t: Inputs, loaded: DataFrame, **kw) -> DataFrame:
-    return places.doorways(loaded, t.areas, t.edges, **kw)
+    return places.doorways(loaded, t.covered, **kw)
 
 
 def watched(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def point_in_polygon(t):
     points = t.calls.filter("latitude <> 0 and longitude <> 0").select(
         F.col("request_id").alias("point"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")
     )
-    return geo.containing_area(points, t.areas, t.edges)
+    return geo.containing_area(points, t.covered)
 
 
 @query
@@ -255,7 +255,7 @@ def export_blocks(t):
 def derived_of(t, **filters) -> derive.Derived:
     """The lists of one type in one district, some of its selected calls missing from the table."""
     ids = select.ids_by_type(t.fields, t.dim, "Urgent or high")
-    return derive.derive(t.calls.filter("request_id % 9 <> 0"), t.fields, t.areas, t.edges, ids, **filters)
+    return derive.derive(t.calls.filter("request_id % 9 <> 0"), t.fields, t.covered, ids, **filters)
 
 
 @query

@@ -179,3 +179,38 @@ def append_once(rows: DataFrame, path: str, keys: list[str]) -> None:
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(path)
+
+
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS = 8
+
+
+def size_and_time(spark: SparkSession, paths: list[str]) -> tuple[int, int]:
+    """Bytes of the files below the paths, and when the last path was changed."""
+    size = newest = 0
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        size += fs.getContentSummary(at).getLength()
+        newest = max(newest, fs.getFileStatus(at).getModificationTime())
+    return size, newest
+
+
+def buckets_for(size: int) -> int:
+    """A power of two, so that tables of different size can still be joined bucket by bucket."""
+    n = LEAST_BUCKETS
+    while n * BUCKET_BYTES < size:
+        n *= 2
+    return n
+
+
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The rows as a table of the session's catalogue, in ``buckets`` files by a hash of ``key``, sorted by it.
+
+    Joins and aggregates on the key read tables of one number of buckets where they lie, without a shuffle.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
+    return spark.table(name)

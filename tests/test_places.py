@@ -74,14 +74,14 @@ def donut(spark):
 def test_points_in_polygons(spark, donut):
     pts = {"ring": (1.0, 1.0), "hole": (3.0, 3.0), "island": (5.0, 5.0), "outside": (15.0, 5.0), "two": (21.5, 1.5), "one": (24.0, 4.0)}
     df = spark.createDataFrame([(k, *v) for k, v in pts.items()], "point string, lon double, lat double")
-    got = {r.point: r.block for r in geo.containing_area(df, *donut).collect()}
+    got = {r.point: r.block for r in geo.containing_area(df, geo.cover(*donut)).collect()}
     assert got == {"ring": "1", "hole": None, "island": "1", "outside": None, "two": "0", "one": "2"}
 
 
 def test_blocks_and_neighbours(spark, donut):
     rows = [(i, 0, a, {"lat": 1.0, "lon": x}) for i, a, x in [(1, "1 oak st", 1.0), (2, "2 oak st", 1.0), (3, "3 elm st", 1.0), (4, "9 elm st", 20.5), (5, "8 elm st", 24.0), (6, "1 far st", 15.0)]]
     loaded = select.load(calls_of(spark, rows), fields_of(spark, [(r[0], {}) for r in rows]))
-    d = places.doorways(loaded, *donut, min_calls=1)
+    d = places.doorways(loaded, geo.cover(*donut, carry=["dwellings"]), min_calls=1)
     b = places.blocks(d)
     got = [(r.block, r.doorways, r.streets, r.calls_per_1k_dwellings, r.worst_doorway) for r in b.orderBy("rank").collect()]
     assert got == [("1", 3, "OAK ST / ELM ST", 30.0, "1 OAK ST"), ("2", 2, "ELM ST", 20.0, "9 ELM ST")]
