@@ -33,13 +33,14 @@ class Derived:
 def derive(
     calls: DataFrame, fields: DataFrame, covered: DataFrame, ids: DataFrame | None = None, min_calls: int = MIN_CALLS,
     recur_days: int = RECUR_DAYS, recency_days: int = RECENCY_DAYS, min_doorways: int = MIN_DOORWAYS, district: str | None = None,
+    busy: DataFrame | None = None,
 ) -> Derived:
     """The lists of the calls in ``ids`` (all if None): doorways of a district with their neighbours, and blocks.
 
     A selected id without a call is reported as missing, a listed doorway in no area as one without a block.
     """
     loaded = select.load(calls, fields, ids)
-    doors = places.doorways(loaded, covered, min_calls, recur_days, recency_days, district=district)
+    doors = places.doorways(loaded, covered, min_calls, recur_days, recency_days, district=district, busy=busy)
     blocks = places.blocks(doors, min_doorways)
     missing = select.missing_ids(ids, calls) if ids is not None else calls.select("request_id").limit(0)
     return Derived(loaded, places.neighbours(doors, min_doorways), blocks, missing, loaded.agg(F.max("local").alias("latest")))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..sources.layers import settled
 from .places import RECUR_DAYS, with_gaps
+from .ranking import median
 from .select import LABEL
 
 #: The normal quantile of a 95 per cent interval; sample floors; shares of the vehicle verdict.
@@ -28,9 +29,9 @@ CELLS = 1024
 STATUSES = ("towed", "not_towed", "unknown")
 
 
-def recurrence_flags(loaded: DataFrame, recur_days: int = RECUR_DAYS, by: list[str] | None = None) -> DataFrame:
-    """Every usable call with ``recurs``, also at doorways that are not listed."""
-    return with_gaps(loaded, recur_days, by or [])
+def recurrence_flags(loaded: DataFrame, recur_days: int = RECUR_DAYS, by: list[str] | None = None, busy: DataFrame | None = None) -> DataFrame:
+    """Every usable call with ``recurs``, also at doorways that are not listed. ``busy``: see ``places.with_gaps``."""
+    return with_gaps(loaded, recur_days, by or [], busy)
 
 
 def recurrence_by_tow(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -200,32 +201,6 @@ def response_time(calls: DataFrame, as_of: str | None = None, by: list[str] | No
     return out.select(*by, "median_minutes", "closed", "never_closed")
 
 
-MEDIAN_CELL = 16.0
-
-
-def median(counts: DataFrame, value: str, by: list[str], n: str) -> DataFrame:
-    """The exact median per group of values that occur ``n`` times, halfway between the middle two of an even number; groups
-    without values have no row (without ``by``, the one row is null).
-
-    Counts are summed up by cells of ``MEDIAN_CELL``; only the different values in the cells of the middle ranks are sorted,
-    so neither a large group nor a common value meets in one task.
-    """
-    at = counts.filter(F.col(value).isNotNull()).withColumn("_cell", F.floor(F.col(value) / MEDIAN_CELL))
-    cells = at.groupBy(*by, "_cell").agg(F.sum(n).alias("_n"))
-    upto = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")))  # a row per cell
-    upto = upto.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # ranks of the middle, from 1
-    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
-    wanted = upto.filter(holds(low) | holds(high)).select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"), low.alias("_low"), high.alias("_high"))
-    middle = at.join(wanted, [*by, "_cell"])  # two cells a group at most
-    last = F.col("_before") + F.sum(n).over(Window.partitionBy(*by, "_cell").orderBy(value))
-    middle = middle.groupBy(*by, "_cell", "_before", "_low", "_high", value).agg(F.sum(n).alias(n)).withColumn("_last", last)
-    has = lambda rank: (F.col("_last") >= F.col(rank)) & (F.col("_last") - F.col(n) < F.col(rank))
-    ends = middle.select(*by, value, has("_low").alias("_is_low"), has("_high").alias("_is_high")).filter("_is_low or _is_high").groupBy(*by)
-    found = ends.agg(F.max(F.when(F.col("_is_low"), F.col(value))).alias("_a"), F.max(F.when(F.col("_is_high"), F.col(value))).alias("_b"))
-    return found.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(value))
-
-
 def _as_of(loaded: DataFrame, as_of: str | None) -> DataFrame:
     from .select import before_midnight_after
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..sources.layers import settled
 from .geo import locate
+from .ranking import median, numbered, ordered
 from .select import usable
 
 #: Days before the newest call in which a doorway must have called; days in which a call recurs; calls and
@@ -19,15 +20,36 @@ MIN_CALLS = 2
 MIN_DOORWAYS = 2
 
 
-def with_gaps(loaded: DataFrame, recur_days: int, by: list[str]) -> DataFrame:
+def with_gaps(loaded: DataFrame, recur_days: int, by: list[str], busy: DataFrame | None = None) -> DataFrame:
     """Usable calls with ``seq`` in their doorway, ``gap_days`` to its next call and ``recurs`` (within ``recur_days``).
 
-    On calls in order the next one decides whether any later one is near enough. Gaps are whole days, floored.
+    On calls in order the next one decides whether any later one is near enough. Gaps are whole days, floored. The calls
+    of a doorway meet in one task, but for doorways in ``busy`` (``select.busy_doors``): theirs are cut into runs by time.
     """
+    calls = usable(loaded)
     w = Window.partitionBy(*by, "door").orderBy("local", "request_id")
-    gap = F.timestamp_diff("DAY", F.col("local"), F.lead("local").over(w))
-    calls = usable(loaded).withColumn("seq", F.row_number().over(w)).withColumn("gap_days", gap)
-    return calls.withColumn("recurs", F.coalesce(F.col("gap_days") <= recur_days, F.lit(False)))
+    plain = calls if busy is None else calls.join(F.broadcast(busy.select("door")), "door", "left_anti")
+    out = plain.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("_next", F.lead("local").over(w))
+    if busy is not None:
+        out = out.unionByName(_in_runs(calls.join(F.broadcast(busy.select("door")), "door", "left_semi"), by))
+    gap = F.timestamp_diff("DAY", F.col("local"), F.col("_next"))
+    return out.withColumn("gap_days", gap).withColumn("recurs", F.coalesce(F.col("gap_days") <= recur_days, F.lit(False))).drop("_next")
+
+
+def _in_runs(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Calls with ``seq`` and ``_next``, the time of the doorway's next call. The last call of a run finds it in the run after."""
+    keys = [*by, "door"]
+    placed, runs, same = ordered(calls, keys, [F.col("local"), F.col("request_id")])
+    begins = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in keys], F.shiftright("_at", 33).alias("_part")).agg(F.min("local").alias("_begins"))
+    joined = F.lit(True)
+    for c in [*[f"_{k}" for k in keys], "_part"]:
+        joined = joined & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    runs = runs.alias("a").join(begins.alias("b"), joined).select("a.*", "b._begins")
+    runs = runs.withColumn("_after", F.lead("_begins").over(Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_part")))  # a row per run
+    within = Window.partitionBy(*keys, "_part").orderBy("_at")
+    out = placed.join(runs, same).withColumn("seq", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    out = out.withColumn("_next", F.coalesce(F.lead("local").over(within), F.col("_after")))
+    return out.select(*calls.columns, "seq", "_next")
 
 
 def doorways(
@@ -38,55 +60,98 @@ def doorways(
     recency_days: int = RECENCY_DAYS,
     by: list[str] | None = None,
     district: str | None = None,
+    busy: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked doorways that still call: at least ``min_calls`` in the window before the newest call.
 
     The newest call is that of the selection (``by`` group), with or without an address. With ``covered`` (``geo.cover``
     with the areas' dwellings), each doorway's median point is placed in its block. ``by`` names grouping columns of several
-    selections at once. ``rank`` orders by score, ties by the doorway's lowest request id.
+    selections at once. ``rank`` orders by score, ties by the doorway's lowest request id. ``busy``: see ``with_gaps``.
     """
     by = by or []
-    measures = door_measures(loaded, recur_days, recency_days, by)
+    measures = door_measures(loaded, recur_days, recency_days, by, busy)
     listed = measures.filter((F.col("calls_12mo") > 0) & (F.col("calls_12mo") >= min_calls))
     if district is not None and district.strip():
         listed = listed.filter(F.col("district") == district)
     return ranked(listed, covered, by)
 
 
-def door_measures(loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days: int = RECENCY_DAYS, by: list[str] | None = None) -> DataFrame:
+def door_measures(
+    loaded: DataFrame, recur_days: int = RECUR_DAYS, recency_days: int = RECENCY_DAYS, by: list[str] | None = None, busy: DataFrame | None = None
+) -> DataFrame:
     """One row per doorway, listed or not, with all that a list says of it and its tallies by tow status.
 
-    Calls are shuffled once, by doorway; every window and sum after that stays in the doorway's partition.
+    Calls are shuffled once, by doorway; every window and sum after that stays in the doorway's partition. Those of
+    ``busy`` doorways are cut into runs and summed up in parts.
     """
     by = by or []
-    keys = [*by, "door"]
     latest = loaded.groupBy(*by).agg(F.max("local").alias("latest"))
-    calls = with_gaps(loaded, recur_days, by)
     # one row per selection: a join on its key, or on nothing
-    calls = calls.join(F.broadcast(latest), by) if by else calls.crossJoin(F.broadcast(latest))
+    with_latest = lambda calls: calls.join(F.broadcast(latest), by) if by else calls.crossJoin(F.broadcast(latest))
+    if busy is None:
+        return _measures(with_latest(with_gaps(loaded, recur_days, by)), recency_days, by)
+    doors = F.broadcast(busy.select("door"))
+    out = _measures(with_latest(with_gaps(loaded.join(doors, "door", "left_anti"), recur_days, by)), recency_days, by)
+    calls = settled(with_latest(with_gaps(loaded.join(doors, "door", "left_semi"), recur_days, by, busy)), "busy")
+    return out.unionByName(_measures_in_parts(calls, recency_days, by))
+
+
+def _sums(recency_days: int) -> list[Column]:
+    """What is said of a doorway by sums and extremes alone."""
     recent = F.col("local") >= F.col("latest") - F.expr(f"interval {recency_days} days")
-    # The most frequent owner, null counting as a value, ties to the one seen first; a vehicle counts at its first call.
-    owners, vehicles = Window.partitionBy(*keys, "owner"), Window.partitionBy(*keys, "vehicle").orderBy("seq")
-    calls = calls.withColumn("often", F.struct(F.count("*").over(owners).alias("n"), F.negative(F.min("seq").over(owners)).alias("first")))
-    calls = calls.withColumn("new_vehicle", F.col("vehicle").isNotNull() & (F.row_number().over(vehicles) == 1))
     tally = lambda s, *more: F.count_if(F.expr(" and ".join([f"tow_status = '{s}'", *more])))
-    return calls.groupBy(*keys).agg(
+    return [
         F.count_if(recent).alias("calls_12mo"),
         F.count("*").alias("calls_total"),
         F.max_by("district", "seq").alias("district"),
         F.max_by("community", "seq").alias("community"),
-        F.max_by("owner", "often").alias("owner"),
         F.count_if(F.col("tow_flag") == "Y").alias("tows"),
         F.count("vehicle").alias("vehicles_seen"),
-        F.count_if("new_vehicle").alias("vehicles_distinct"),
         F.count_if("recurs").alias("repeat_calls"),
-        F.percentile("gap_days", F.lit(0.5)).alias("median_gap_days"),
         F.date_format(F.max("local"), "yyyy-MM-dd").alias("last_call"),
-        F.percentile(F.nullif("latitude", F.lit(0.0)), F.lit(0.5)).alias("lat"),
-        F.percentile(F.nullif("longitude", F.lit(0.0)), F.lit(0.5)).alias("lon"),
         F.min("request_id").alias("first_seen"),
         tally("towed").alias("tn"), tally("towed", "recurs").alias("tr"), tally("not_towed").alias("nn"), tally("not_towed", "recurs").alias("nr"),
-    )
+    ]
+
+
+def _measures(calls: DataFrame, recency_days: int, by: list[str]) -> DataFrame:
+    keys = [*by, "door"]
+    # The most frequent owner, null counting as a value, ties to the one seen first; a vehicle counts at its first call.
+    owners, vehicles = Window.partitionBy(*keys, "owner"), Window.partitionBy(*keys, "vehicle").orderBy("seq")
+    calls = calls.withColumn("often", F.struct(F.count("*").over(owners).alias("n"), F.negative(F.min("seq").over(owners)).alias("first")))
+    calls = calls.withColumn("new_vehicle", F.col("vehicle").isNotNull() & (F.row_number().over(vehicles) == 1))
+    return calls.groupBy(*keys).agg(
+        *_sums(recency_days),
+        F.max_by("owner", "often").alias("owner"),
+        F.count_if("new_vehicle").alias("vehicles_distinct"),
+        F.percentile("gap_days", F.lit(0.5)).alias("median_gap_days"),
+        F.percentile(F.nullif("latitude", F.lit(0.0)), F.lit(0.5)).alias("lat"),
+        F.percentile(F.nullif("longitude", F.lit(0.0)), F.lit(0.5)).alias("lon"),
+    )
+
+
+#: Widths of the cells in which medians of gaps, in days, and of coordinates, in degrees, are looked for.
+GAP_CELL, DEGREE_CELL = 16.0, 1.0 / 4096
+
+
+def _measures_in_parts(calls: DataFrame, recency_days: int, by: list[str]) -> DataFrame:
+    """As ``_measures``, by aggregates that are combined before each shuffle, so that a doorway's calls never meet."""
+    keys = [*by, "door"]
+    owners = calls.groupBy(*keys, "owner").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    owners = owners.groupBy(*keys).agg(F.max_by("owner", F.struct("n", F.negative("first"))).alias("owner"))
+    vehicles = calls.filter("vehicle is not null").groupBy(*keys, "vehicle").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("vehicles_distinct"))
+    out = calls.groupBy(*keys).agg(*_sums(recency_days))
+    parts = [owners, vehicles]
+    for value, name, cell in (("gap_days", "median_gap_days", GAP_CELL), ("latitude", "lat", DEGREE_CELL), ("longitude", "lon", DEGREE_CELL)):
+        kept = F.col(value).cast("double") if value == "gap_days" else F.nullif(value, F.lit(0.0))
+        parts.append(median(calls.groupBy(*keys, kept.alias(name)).agg(F.count("*").alias("n")), name, keys, "n", cell))
+    for part in parts:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}"))
+        added = [c for c in part.columns if c not in keys]
+        out = out.alias("_a").join(part.alias("_b"), same, "left").select("_a.*", *[f"_b.{c}" for c in added])
+    return out.fillna(0, ["vehicles_distinct"])
 
 
 def ranked(listed: DataFrame, covered: DataFrame | None, by: list[str]) -> DataFrame:
@@ -101,28 +166,6 @@ def ranked(listed: DataFrame, covered: DataFrame | None, by: list[str]) -> DataF
     return numbered(listed, by, [F.negative(C.score(F.col("calls_12mo"), F.col("tow_rate"))), F.col("first_seen")])
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The rows with ``rank``, their number within ``by`` in the order of ``order``, which must tell rows apart.
-
-    The rows are written, so that finding the ranges' bounds does not work them out twice, dealt into ranges of (``by``,
-    ``order``), and written in order with their places. A range's rows of a group are numbered on from those of the ranges
-    before; only a row per range and group is summed up, so no task sorts a list, whatever its keys are.
-    """
-    keys = [f"_o{i}" for i in range(len(order))]
-    rows = settled(rows.withColumns(dict(zip(keys, order, strict=True))), "listed")
-    dealt = rows.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys)
-    placed = settled(dealt.drop(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33).alias("_part")
-    runs = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by], part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_part")) - F.col("_n")  # a row per range
-    runs = runs.withColumn("_before", earlier)
-    same = F.shiftright("_at", 33) == F.col("_part")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = placed.join(runs, same).withColumn("rank", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int"))
-    return out.drop("_at", "_part", "_first", "_n", "_before", *[f"_{c}" for c in by])
-
-
 def blocks(doors: DataFrame, min_doorways: int = MIN_DOORWAYS, by: list[str] | None = None) -> DataFrame:
     """Ranked blocks of listed doorways: those with at least ``min_doorways``. Doorways are shuffled once, by block."""
     by = by or []

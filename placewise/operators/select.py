@@ -130,3 +130,14 @@ def coverage(fields: DataFrame, dimension: DataFrame, label: str = LABEL) -> Dat
 def dimension_faults(dimension: DataFrame) -> DataFrame:
     """Labels that stand in more than one row of the dimension; none in a sound one."""
     return dimension.groupBy("raw_label").agg(F.count("*").alias("uses")).filter("uses > 1")
+
+
+#: A doorway of more calls than this, or than a hundred-thousandth of all, is cut into runs; so there are fewer than 100,000.
+BUSY_CALLS, BUSY_DOORS = 1_000_000, 100_000
+
+
+def busy_doors(calls: DataFrame, least: int = BUSY_CALLS) -> DataFrame:
+    """``(door, calls)``: doorways with so many calls that one task should not hold them."""
+    counts = calls.groupBy(C.clean_address(F.col("address")).alias("door")).agg(F.count("*").alias("calls"))
+    total = counts.agg((F.sum("calls") / BUSY_DOORS).alias("share"))
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("door").isNotNull() & (F.col("calls") > F.greatest(F.lit(least), "share"))).drop("share")  # one row

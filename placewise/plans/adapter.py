@@ -10,7 +10,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import geo
+from ..operators import geo, select
 from ..sources import layers
 
 #: Tables that are landed bucketed, by their key, and what they are made of.
@@ -105,18 +105,23 @@ class Inputs:
             df = self._stored(name)
             setattr(self, name, df)
             return df
+        if name == "busy":
+            found = self._stored(name)
+            self.busy = None if found.isEmpty() else found
+            return self.busy
         if name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
         return self._view(name)
 
     def _stored(self, name: str) -> DataFrame:
-        """The landed table of a name: calls and attributes bucketed by request, and the areas' cover. A folder's tables are
+        """The landed table of a name: calls and attributes bucketed by request, the areas' cover, and busy doorways (None without any). A folder's tables are
         landed once a session, again if their files have changed."""
         size, newest = layers.size_and_time(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in SOURCES])
         table = f"{self._prefix}{name}_{size:x}_{newest:x}"
         if not self.spark.catalog.tableExists(table):
-            if name == "covered":
-                geo.cover(self.areas, self.edges, ["dwellings"]).write.option("path", layers.work_folder(self.spark, table)).saveAsTable(table)
+            if name in ("covered", "busy"):
+                rows = geo.cover(self.areas, self.edges, ["dwellings"]) if name == "covered" else select.busy_doors(self.calls)
+                rows.write.option("path", layers.work_folder(self.spark, table)).saveAsTable(table)
             else:
                 layers.store_bucketed(self._view(name), table, STORED[name], layers.buckets_for(size))
         return self.spark.table(table)

@@ -245,6 +245,8 @@ ORACLE_SQL: dict[str, str] = {
     "recent_watchlist": with_views(
         "SELECT rank, address, calls_12mo, calls_total, tows, round_even(tow_rate, 6) AS tow_rate, repeat_calls, round_even(median_gap_days, 6) AS median_gap_days, last_call FROM doors", *BASE
     ),
+    "crowded_doorways": with_views(f"SELECT {DOOR} FROM doors", ATTRS, LOADED,
+        "sel AS (SELECT * REPLACE (CASE WHEN request_id % 2 = 0 THEN '1 CROWDED ST' ELSE door END AS door), 'all' AS canonical_type FROM loaded)", _gaps(), _doors()),
     "doorways_full": with_views(f"SELECT {DOOR} FROM doors", *BASE),
     "blocks": with_views(f"SELECT {BLOCK} FROM blks", *BASE, _blocks()),
     "watchlist_with_neighbours": with_views(f"SELECT {DOOR}, block_doorways_calling FROM nb", ATTRS, LOADED, ONE, _gaps(), _doors(district="1"), _blocks(), NB),

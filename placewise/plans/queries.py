@@ -48,7 +48,7 @@ def typed(t: Inputs) -> DataFrame:
 
 
 def doors_of(t: Inputs, loaded: DataFrame, **kw) -> DataFrame:
-    return places.doorways(loaded, t.covered, **kw)
+    return places.doorways(loaded, t.covered, **{"busy": t.busy, **kw})
 
 
 def watched(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ def watched(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query
 def recent_watchlist(t):
-    rows = places.doorways(everything(t))
+    rows = places.doorways(everything(t), busy=t.busy)
     return rounded(rows.select("rank", "address", "calls_12mo", "calls_total", "tows", "tow_rate", "repeat_calls", "median_gap_days", "last_call"))
 
 
@@ -68,6 +68,18 @@ def doorways_full(t):
     return rounded(doors_of(t, everything(t)).select(*DOOR))
 
 
+def crowded(t) -> DataFrame:
+    """Half of all calls at one doorway."""
+    return everything(t).withColumn("door", F.when(F.col("request_id") % 2 == 0, "1 CROWDED ST").otherwise(F.col("door")))
+
+
+@query
+def crowded_doorways(t):
+    """A doorway with half of all calls is cut into runs by time."""
+    busy = crowded(t).groupBy("door").agg(F.count("*").alias("calls")).filter("calls > 1000")
+    return rounded(doors_of(t, crowded(t), busy=busy).select(*DOOR))
+
+
 @query
 def blocks(t):
     return rounded(places.blocks(doors_of(t, everything(t))).select(*BLOCK))
@@ -131,17 +143,17 @@ def point_in_polygon(t):
 
 @query
 def recurrence_by_tow(t):
-    flags = figures.recurrence_flags(typed(t), by=[KIND])
+    flags = figures.recurrence_flags(typed(t), by=[KIND], busy=t.busy)
     return figures.recurrence_by_tow(flags, [KIND])
 
 
 @query
 def tow_tallies(t):
-    return figures.tallies(figures.recurrence_flags(everything(t)))
+    return figures.tallies(figures.recurrence_flags(everything(t), busy=t.busy))
 
 
 def type_tallies(t) -> DataFrame:
-    return figures.tallies(figures.recurrence_flags(typed(t), by=[KIND]), [KIND])
+    return figures.tallies(figures.recurrence_flags(typed(t), by=[KIND], busy=t.busy), [KIND])
 
 
 @query
@@ -178,7 +190,7 @@ def vehicle_verdict(t):
 
 @query
 def type_record(t):
-    return figures.type_record(places.door_measures(typed(t), by=[KIND]), t.dim)
+    return figures.type_record(places.door_measures(typed(t), by=[KIND], busy=t.busy), t.dim)
 
 
 @query

@@ -51,7 +51,7 @@ def derived(spark, donut, **kw):
     at = [(1, "1 oak st", 1.0), (2, "2 oak st", 1.0), (3, "3 elm st", 1.0), (4, "9 elm st", 20.5), (5, "8 elm st", 24.0), (6, "1 far st", 15.0)]
     calls = calls_of(spark, [(i, 0, a, {"lat": 1.0, "lon": x}) for i, a, x in at])
     ids = spark.createDataFrame([(i,) for i in range(1, 9)], "request_id long")
-    return derive.derive(calls, fields_of(spark, [(i, {}) for i, _, _ in at]), *donut, ids, min_calls=1, **kw)
+    return derive.derive(calls, fields_of(spark, [(i, {}) for i, _, _ in at]), geo.cover(*donut, carry=["dwellings"]), ids, min_calls=1, **kw)
 
 
 def test_derive_reports_what_is_missing_and_unplaced(spark, donut):
@@ -127,16 +127,16 @@ def test_median_equals_sorting(spark):
     import random
     import statistics
 
-    from placewise.operators import figures
+    from placewise.operators import ranking
 
     rnd = random.Random(5)
     groups = {f"g{n}": [rnd.choice([rnd.random() * 100, 7.5, -40.0, 1e6]) for _ in range(n)] for n in (1, 2, 3, 10, 401, 1000)}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("g3", None)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    assert {r.k: r.v for r in figures.median(df, "v", ["k"]).collect()} == {k: pytest.approx(statistics.median(vs)) for k, vs in groups.items()}
-    assert figures.median(df.filter("k = 'g10'"), "v", []).first().v == pytest.approx(statistics.median(groups["g10"]))
-    assert figures.median(df.filter("v is null"), "v", []).first().v is None
-    assert figures.median(df.filter("v is null"), "v", ["k"]).count() == 0
+    df = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count("*").alias("n"))
+    assert {r.k: r.v for r in ranking.median(df, "v", ["k"], "n").collect()} == {k: pytest.approx(statistics.median(vs)) for k, vs in groups.items()}
+    assert ranking.median(df.filter("k = 'g10'"), "v", [], "n", 0.5).first().v == pytest.approx(statistics.median(groups["g10"]))
+    assert ranking.median(df.filter("v is null"), "v", [], "n").first().v is None
+    assert ranking.median(df.filter("v is null"), "v", ["k"], "n").count() == 0
 
 
 @pytest.mark.parametrize("by", [[], ["k"]])
@@ -146,10 +146,10 @@ def test_ranks_equal_sorting(spark, by):
     rnd = random.Random(7)
     rows = [("ab"[i % 2], rnd.choice([0.0, 1.5, 1.5, 2.0, 300.0]), rnd.randint(0, 10**6) * 1000 + i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, score double, first_seen long")
-    got = {r.first_seen: r["rank"] for r in places.numbered(df, by, F.negative("score"), "first_seen").collect()}
+    got = {r.first_seen: r["rank"] for r in places.numbered(df, by, [F.negative("score"), F.col("first_seen")]).collect()}
     want = {}
     for k in "ab" if by else [None]:
         group = sorted((r for r in rows if k in (None, r[0])), key=lambda r: (-r[1], r[2]))
         want |= {r[2]: n for n, r in enumerate(group, 1)}
     assert got == want
-    assert places.numbered(df.limit(0), by, F.negative("score"), "first_seen").count() == 0
+    assert places.numbered(df.limit(0), by, [F.negative("score"), F.col("first_seen")]).count() == 0
