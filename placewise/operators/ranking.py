@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.layers import settled
+from ..sources.layers import settled, settled_and_counted
+
+#: A list of so many rows at most is sorted by one task.
+SHORT_LIST = 100_000
 
 
 def ordered(rows: DataFrame, by: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame, Column]:
@@ -18,6 +21,10 @@ def ordered(rows: DataFrame, by: list[str], order: list[Column]) -> tuple[DataFr
     """
     keys = [f"_o{i}" for i in range(len(order))]
     rows = settled(rows.withColumns(dict(zip(keys, order, strict=True))), "unordered")  # so that finding the ranges works nothing out twice
+    return _dealt(rows, by, keys)
+
+
+def _dealt(rows: DataFrame, by: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame, Column]:
     dealt = rows.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys)
     placed = settled(dealt.drop(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     runs = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
@@ -28,12 +35,17 @@ def ordered(rows: DataFrame, by: list[str], order: list[Column]) -> tuple[DataFr
     return placed, runs, same
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[Column], short: int = SHORT_LIST) -> DataFrame:
     """The rows with ``rank``, their number within ``by`` in the order of ``order``, which must tell rows apart.
 
-    A run's rows are numbered on from those of the runs before (see ``ordered``), so no task sorts a list, whatever its keys are.
+    The rows are written and counted. Up to ``short`` of them are sorted where they meet; of more, a run's rows are numbered
+    on from those of the runs before (see ``ordered``), so no task sorts a longer list, whatever its keys are.
     """
-    placed, runs, same = ordered(rows, by, order)
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows, n = settled_and_counted(rows.withColumns(dict(zip(keys, order, strict=True))), "unordered")
+    if n <= short:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).drop(*keys)
+    placed, runs, same = _dealt(rows, by, keys)
     out = placed.join(runs, same).withColumn("rank", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int"))
     return out.drop("_at", "_part", "_first", "_n", "_before", *[f"_{c}" for c in by])
 

@@ -116,6 +116,7 @@ class Inputs:
     def _stored(self, name: str) -> DataFrame:
         """The landed table of a name: calls and attributes bucketed by request, the areas' cover, and busy doorways (None without any). A folder's tables are
         landed once a session, again if their files have changed."""
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket is one sorted file
         size, newest = layers.size_and_time(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in SOURCES])
         table = f"{self._prefix}{name}_{size:x}_{newest:x}"
         if not self.spark.catalog.tableExists(table):

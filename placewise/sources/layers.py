@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -109,9 +109,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows written and read again, so that what is derived from them several times is worked out once."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settled_and_counted(df, name)[0]
+
+
+def settled_and_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``settled``, with the number of rows, observed as they are written."""
+    path, watch = work_folder(df.sparkSession, name), Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), watch.get["n"] or 0
 
 
 CALL_COLUMNS = ["object_id", "request_id", "date_initiated", "date_closed", "address", "community", "district", "latitude", "longitude", "initiated_by"]
