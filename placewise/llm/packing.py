@@ -27,7 +27,7 @@ from ._shared import Scratch, slices
 
 CAPACITY = 2048
 END_ID = 0
-MEMO = 600_000
+MEMO = 400_000
 MARK = "\x01"
 WORDS_A_CALL = 500
 SALTED_ROWS = 50_000
