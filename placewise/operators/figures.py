@@ -225,3 +225,19 @@ def denominators(loaded: DataFrame, fields: DataFrame, ids: DataFrame, as_of: st
     )
     rows = one.unpivot([], ["selection", "as_of", "tow_cohort", "known_status", "excluded"], "name", "count")
     return rows.unionByName(label_counts(fields, ids).select(F.concat(F.lit("label:"), "label").alias("name"), F.col("requests").alias("count")))
+
+
+def denominators_by(loaded: DataFrame, fields: DataFrame, by: str, as_of: str | None = None) -> DataFrame:
+    """A row per group: calls of the selection, up to a day, towed, of known outcome, excluded, and ``labels``, the distinct
+    requests of every label that its calls carry, most common first."""
+    usable, known = F.col("local").isNotNull() & F.col("door").isNotNull(), F.col("tow_status") != "unknown"
+    dated = F.col("local").isNotNull() if as_of is None else F.coalesce(F.col("local") < F.date_add(F.lit(as_of).cast("date"), 1).cast("timestamp_ntz"), F.lit(False))
+    out = loaded.groupBy(by).agg(
+        F.count("*").alias("selection"), F.count_if(dated).alias("as_of"), F.count_if(usable & (F.col("tow_status") == "towed")).alias("tow_cohort"),
+        F.count_if(usable & known).alias("known_status"), F.count_if(usable & ~known).alias("excluded"),
+    )
+    rows = fields.filter(F.col("name") == LABEL).join(loaded.select("request_id", by), "request_id")
+    counts = rows.groupBy(by, F.col("value").alias("label")).agg(F.count_distinct("request_id").alias("requests"))
+    listed = F.array_sort(F.collect_list(F.struct(F.negative("requests").alias("n"), "label")))  # a row per label
+    labels = counts.groupBy(by).agg(F.transform(listed, lambda x: F.struct(x["label"].alias("label"), F.negative(x["n"]).alias("requests"))).alias("labels"))
+    return out.join(labels, by, "left")

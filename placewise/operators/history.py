@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,21 +73,45 @@ def snapshot_headers(
     )
 
 
+def commit_key(version: str | None, parameters: str) -> str:
+    """The name of what is kept for a version and parameters."""
+    return hashlib.sha256(f"{version}|{parameters}".encode()).hexdigest()[:20]
+
+
+def overwrite(rows: DataFrame, path: str) -> None:
+    """A part of a commit, in place of what an attempt that was cut short may have left."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def is_retained(spark: SparkSession, root: str, version: str | None, parameters: str) -> bool:
+    return exists(spark, f"{root}/headers/commit={commit_key(version, parameters)}/_SUCCESS")
+
+
 def retain(headers: DataFrame, doors: DataFrame, blocks: DataFrame, root: str) -> bool:
-    """Append a snapshot of all types under ``root``, unless its version and parameters are stored; whether it was.
+    """Keep a snapshot of all types under ``root``, unless its version and parameters are kept; whether it was.
 
-    The headers are written last, so a snapshot that lacks them was cut short and counts as not taken.
+    Each part overwrites its own folder, named by version and parameters, and the headers are written last. A snapshot that
+    was cut short is not seen by ``retained`` and leaves nothing behind once it is taken again. Without headers nothing is kept.
     """
     spark = headers.sparkSession
-    key = headers.select("mirror_version", "parameters").distinct()
-    if exists(spark, f"{root}/headers") and key.join(spark.read.parquet(f"{root}/headers"), ["mirror_version", "parameters"], "left_anti").isEmpty():
+    said = headers.select("mirror_version", "parameters").first()  # the same on every header
+    if said is None or is_retained(spark, root, said["mirror_version"], said["parameters"]):
         return False
-    doors.write.mode("append").parquet(f"{root}/doorways")
-    blocks.write.mode("append").parquet(f"{root}/blocks")
-    headers.write.mode("append").parquet(f"{root}/headers")
+    key = commit_key(said["mirror_version"], said["parameters"])
+    for part, rows in (("doorways", doors), ("blocks", blocks), ("headers", headers.coalesce(1))):
+        overwrite(rows, f"{root}/{part}/commit={key}")
     return True
 
 
+def retained(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """The ``doorways``, ``blocks`` or ``headers`` of all snapshots whose headers are there."""
+    rows = spark.read.parquet(f"{root}/{part}")
+    if part != "headers":
+        commits = spark.read.parquet(f"{root}/headers").select("commit").distinct()
+        rows = rows.join(commits, "commit", "left_semi")
+    return rows.drop("commit")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -141,18 +166,41 @@ def figure_rows(record: DataFrame, version: str, parameters: str, stored_at: str
     )
 
 
+FIGURES = "canonical_type string, version string, parameters string, stored_at timestamp_ntz, payload string"
+
+
+def read_figures(spark: SparkSession, path: str) -> DataFrame:
+    """All stored figures; none before the first."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], FIGURES)
+    return spark.read.schema(FIGURES).parquet(path).select("canonical_type", "version", "parameters", "stored_at", "payload")
+
+
+def overwrite_figures(rows: DataFrame, path: str) -> int:
+    """Each row in a folder of its version, parameters and type, in place of an earlier one; how many there were."""
+    key = F.substring(F.sha2(F.concat_ws("|", "version", "parameters"), 256), 1, 20)
+    rows = rows.withColumn("commit", key).withColumn("kind", F.md5("canonical_type"))
+    watch = Observation()
+    rows = rows.repartition("kind").observe(watch, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit", "kind").parquet(path)
+    return watch.get["n"] or 0
+
+
 def store_figures(record: DataFrame, path: str, version: str, parameters: str, stored_at: str) -> int:
-    """Store the figures of the types that have none for this version and these parameters; how many were stored."""
-    spark = record.sparkSession
+    """Store the figures of the types that have none for this version and these parameters; how many were stored.
+
+    A type's figures have a folder of their own, so an attempt that was cut short, or another at the same time, leaves one copy.
+    """
     rows = figure_rows(record, version, parameters, stored_at)
-    if exists(spark, path):
-        have = spark.read.parquet(path)
-        if missing_figures(rows.select("canonical_type"), have, version, parameters).isEmpty():
-            return 0
-        rows = new_figures(rows, have)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return overwrite_figures(new_figures(rows, read_figures(record.sparkSession, path)), path)
+
+
+def compute_missing(dimension: DataFrame, path: str, version: str, parameters: str, stored_at: str, make) -> int:
+    """Store figures for the assigned types that have none; how many were stored. ``make(types)`` works out the records of
+    the given types alone, and is not called if none is missing."""
+    types = dimension.filter("status = 'assigned'").select("canonical_type").distinct()
+    missing = missing_figures(types, read_figures(dimension.sparkSession, path), version, parameters)
+    return 0 if missing.isEmpty() else store_figures(make(missing), path, version, parameters, stored_at)
 
 
 def missing_figures(types: DataFrame, stored: DataFrame, version: str, parameters: str) -> DataFrame:

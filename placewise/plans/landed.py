@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import figures, geo, history, places
+from ..operators import figures, geo, history, places, versions
 from ..sources import layers
 from ..streaming.landing import land_published
 from .adapter import Inputs
-from .queries import KIND, everything, query, typed
+from .queries import CUTOFFS, KIND, everything, query, typed
 
 
 def landed(t: Inputs, published: DataFrame, layer: layers.Layer, order: str) -> DataFrame:
@@ -142,9 +142,14 @@ def retained_snapshots(t):
         blocks = history.snapshot_rows(places.blocks(doors, by=[KIND]).select(KIND, *history.KEPT["block"]), i, day, None, "block")
         version = history.version_map(t.layer_state.filter(F.col("layer") == label))
         history.retain(history.snapshot_headers(t.dim, i, day, rows, version=version), rows, blocks, root)
-    read = lambda part: t.spark.read.parquet(f"{root}/{part}")
+    return kept_lists(t, root)
+
+
+def kept_lists(t: Inputs, root: str, *more: str) -> DataFrame:
+    """Headers of all kept snapshots with the rows that are kept for them."""
+    read = lambda part: history.retained(t.spark, root, part)
     count = lambda part: read(part).groupBy("snapshot_id", "violation_type").agg(F.count("*").alias(part))
-    heads = read("headers").select("snapshot_id", "violation_type", "listed")
+    heads = read("headers").select("snapshot_id", "violation_type", "listed", *more)
     out = heads.join(count("doorways"), ["snapshot_id", "violation_type"], "left").join(count("blocks"), ["snapshot_id", "violation_type"], "left")
     return out.fillna(0, ["doorways", "blocks"])
 
@@ -157,4 +162,22 @@ def kept_figures(t):
     history.store_figures(record.filter(f"{KIND} = 'Urgent or high'"), path, "v1", "{}", "2024-01-01")
     history.store_figures(record.withColumn("tn", F.lit(0)), path, "v1", "{}", "2024-01-02")
     history.store_figures(record, path, "v1", "{}", "2024-01-03")
-    return t.spark.read.parquet(path)
+    return history.read_figures(t.spark, path)
+
+
+@query
+def derived_versions(t):
+    """Versions of both call layers arrive; lists and figures are kept for each that both are at. The third lacks a layer."""
+    root = layers.work_folder(t.spark, "derived")
+    for i, (day, parts) in enumerate(((CUTOFFS[0], 2), (CUTOFFS[1], 2), (CUTOFFS[2], 1)), 1):
+        said = []
+        for name, rows in (("service_requests", t.calls.filter(F.col("date_initiated") < F.lit(day).cast("timestamp_ntz"))), ("custom_fields", t.fields))[:parts]:
+            rows.write.parquet(f"{root}/published/{name}/{i}")
+            said.append((name, f"2024-0{i}", t.spark.read.parquet(f"{root}/published/{name}/{i}").count(), f"{root}/published/{name}/{i}"))
+        t.spark.createDataFrame(said, "layer string, version string, rows long, folder string").coalesce(1).write.mode("append").json(f"{root}/manifests")
+        then = lambda i=i: versions.derive_landed(t.spark, f"{root}/store", t.covered, t.dim, root, f"2024-0{i}-02")
+        land_published(t.spark, f"{root}/manifests", f"{root}/store", f"{root}/checkpoint", then)
+    kept = history.read_figures(t.spark, f"{root}/figures")
+    said = kept.select(F.col("canonical_type").alias("violation_type"), F.col("version").alias("mirror_version"), F.from_json("payload", "tn long, closed long, selection long, labels array<struct<label string, requests long>>").alias("f"))
+    lists = kept_lists(t, f"{root}/lists", "mirror_version")
+    return lists.join(said, ["violation_type", "mirror_version"], "left").select(*lists.columns, "f.tn", "f.closed", "f.selection", F.size("f.labels").alias("labels"))

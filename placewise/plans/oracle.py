@@ -559,6 +559,19 @@ ORACLE_SQL: dict[str, str] = {
         *[c for i in (1, 2) for c in (f"sel{i} AS (SELECT * FROM sel WHERE local < TIMESTAMP '{CUTOFFS[i - 1]}')", _gaps(sel=f"sel{i}", name=f"gaps{i}"),
                                       _doors(sel=f"sel{i}", gaps=f"gaps{i}", name=f"d{i}"), _blocks(2, f"d{i}", f"b{i}"))],
     ),
+    "derived_versions": with_views(
+        """SELECT i AS snapshot_id, canonical_type AS violation_type, '{"custom_fields":"2024-0' || i || '","service_requests":"2024-0' || i || '"}' AS mirror_version,
+          coalesce(d, 0) AS listed, coalesce(d, 0) AS doorways, coalesce(b, 0) AS blocks, tn, closed, selection, labels
+        FROM (SELECT DISTINCT canonical_type FROM dim WHERE status = 'assigned') CROSS JOIN (VALUES (1), (2)) v(i)
+        LEFT JOIN (SELECT 1 AS i, canonical_type, count(*) AS d FROM d1 GROUP BY 2 UNION ALL SELECT 2, canonical_type, count(*) FROM d2 GROUP BY 2) USING (i, canonical_type)
+        LEFT JOIN (SELECT 1 AS i, canonical_type, count(*) AS b FROM b1 GROUP BY 2 UNION ALL SELECT 2, canonical_type, count(*) FROM b2 GROUP BY 2) USING (i, canonical_type)
+        LEFT JOIN (SELECT i, canonical_type, count(*) FILTER (door IS NOT NULL AND local IS NOT NULL AND tow_status = 'towed') AS tn,
+            count(*) FILTER (date_initiated IS NOT NULL AND date_closed IS NOT NULL) AS closed, count(*) AS selection,
+            count(DISTINCT label) AS labels FROM (SELECT 1 AS i, * FROM sel1 UNION ALL SELECT 2, * FROM sel2) GROUP BY 1, 2) USING (i, canonical_type)""",
+        ATTRS, LOADED, TYPES, TYPED,
+        *[c for i in (1, 2) for c in (f"sel{i} AS (SELECT * FROM sel WHERE date_initiated < TIMESTAMP '{CUTOFFS[i - 1]}')", _gaps(sel=f"sel{i}", name=f"gaps{i}"),
+                                      _doors(sel=f"sel{i}", gaps=f"gaps{i}", name=f"d{i}"), _blocks(2, f"d{i}", f"b{i}"))],
+    ),
     "kept_figures": with_views(
         """SELECT canonical_type, 'v1' AS version, '{}' AS parameters, CASE canonical_type WHEN 'Urgent or high' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS stored_at,
         '{"nn":' || nn || ',"nr":' || nr || ',"tn":' || CASE canonical_type WHEN 'Urgent or high' THEN tn ELSE 0 END || ',"tr":' || tr || '}' AS payload FROM totals""", *FLAGS, TALLY, TOTALS

@@ -7,6 +7,8 @@ manifest of the version tries again). Of a batch's manifests of a layer, the new
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from ..sources.layers import current_version, replace_snapshot
 MANIFEST = "layer string, version string, rows long, folder string"
 
 
-def land_published(spark: SparkSession, manifests: str, store: str, checkpoint: str) -> None:
+def land_published(spark: SparkSession, manifests: str, store: str, checkpoint: str, then: Callable[[], object] | None = None) -> None:
     """Land what has been published since the last call; ``store/<layer>`` holds the versions.
 
-    Versions compare as text, so name them by edit time. The stream's checkpoint remembers manifests that were seen.
+    Versions compare as text, so name them by edit time. The stream's checkpoint remembers manifests that were seen. ``then``
+    (such as ``versions.derive_landed``) is part of the batch: if it fails, the next call takes the batch again, in which
+    what was landed is left alone and ``then`` is run anew.
     """
 
     def land(batch: DataFrame, _: int) -> None:
@@ -32,6 +36,8 @@ def land_published(spark: SparkSession, manifests: str, store: str, checkpoint:
                 if rows.count() >= m["rows"]:
                     replace_snapshot(spark, rows, f"{store}/{layer}", m["version"])
                     break
+        if then is not None:
+            then()
 
     stream = spark.readStream.schema(MANIFEST).json(manifests)
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,11 +29,11 @@ def test_a_version_is_retained_once_with_empty_lists_too(spark, dim, tmp_path):
     assert not take(2, state)
     assert take(3, state, min_calls=5)
     assert take(4, state.withColumn("source_last_edit", F.lit(dt.datetime(2024, 2, 1))))
-    heads = spark.read.parquet(f"{tmp_path}/kept/headers")
+    heads = history.retained(spark, f"{tmp_path}/kept", "headers")
     assert sorted((r.snapshot_id, r.violation_type, r.listed) for r in heads.collect()) == [(i, k, n) for i in (1, 3, 4) for k, n in (("A", 1), ("B", 0))]
     first = heads.filter("snapshot_id = 1").first()
     assert first.mirror_version == '{"areas":null,"calls":"2024-01-02T00:00:00","fields":null}' and '"min_calls": 2' in first.parameters
-    door, block = (spark.read.parquet(f"{tmp_path}/kept/{p}").filter("snapshot_id = 1").first() for p in ("doorways", "blocks"))
+    door, block = (history.retained(spark, f"{tmp_path}/kept", p).filter("snapshot_id = 1").first() for p in ("doorways", "blocks"))
     assert door.detail == '{"owner":"q"}' and block.detail == '{"worst_doorway":"1 X ST"}' and door.violation_type == "A"
 
 
@@ -43,7 +43,7 @@ def test_figures_are_stored_once(spark, tmp_path):
     store = lambda df, version="v": history.store_figures(df, path, version, "{}", "2024-01-01")
     assert [store(record.limit(1)), store(record), store(record), store(record, "w"), store(record.limit(0), "x")] == [1, 1, 0, 2, 0]
     asked = record.select("canonical_type", F.lit("v").alias("version"), F.lit("{}").alias("parameters"))
-    got = history.stored_figures(asked, spark.read.parquet(path))
+    got = history.stored_figures(asked, history.read_figures(spark, path))
     assert {r.canonical_type: (r.payload, r.available) for r in got.collect()} == {"A": ('{"n":1}', True), "B": ('{"n":2}', True)}
 
 
