@@ -143,18 +143,19 @@ def hot_limit(counts: DataFrame, rows: str = "rows", keys: int = HOT_KEYS) -> tu
 
 
 def join_keyed(
-    left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False, keys: int = HOT_KEYS
+    left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False, keys: int = HOT_KEYS, hint: str | None = None
 ) -> DataFrame:
     """``left`` joined with ``right``, a written table of one short row per key with the key's ``rows`` in ``left``.
 
     Rows of hot keys are joined where they lie, to a broadcast of those keys alone; the others are shuffled, so no
     task gets a large share of one key. ``how`` is inner or left. ``rows`` is returned only to ``keep`` it. Fewer
-    than ``keys`` keys are broadcast: give less than ``HOT_KEYS`` where keys are long.
+    than ``keys`` keys are broadcast: give less than ``HOT_KEYS`` where keys are long. ``hint`` is how the others are joined.
     """
+    joined = lambda rows, by: rows.join(by.hint(hint) if hint else by, key, how)
     limit, any_hot = hot_limit(right, rows, keys)
     gone = [] if keep else [rows]
     if not any_hot:
-        return left.join(right.drop(*gone), key, how)
+        return joined(left, right.drop(*gone))
     cold, hot = right.filter(F.col(rows) <= limit).drop(*gone), right.filter(F.col(rows) > limit).drop(*gone)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    rest = joined(left.join(F.broadcast(hot.select(key)), key, "left_anti"), cold)
     return left.join(F.broadcast(hot), key).unionByName(rest)

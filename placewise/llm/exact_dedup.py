@@ -8,8 +8,7 @@ The digit widens from round to round, so a text of n bytes takes O(log n) rounds
 number given to it when its count is written, so a key never holds more than one digit.
 
 Each round counts with map-side combine, so a group of any size arrives at a reducer as a few partial
-counts, and relabels rows by a join in which rows of very frequent digits stay where they lie, and all rows where the
-groups are counted to be few.
+counts, and relabels rows by a join in which rows of very frequent digits stay where they lie.
 """
 
 from __future__ import annotations
@@ -17,15 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_KEYS, Scratch, join_keyed, seen
+from ._shared import HOT_KEYS, Scratch, join_keyed
 
 FIRST_WIDTH = 64
 GROWTH = 16
 MAX_WIDTH = 1 << 20
 #: Digits of very frequent keys are broadcast, so many bytes of them at most.
 HOT_BYTES = 1 << 26
-#: Counted groups of this many bytes at most go to the rows, which then stay where they lie.
-FEW_BYTES = 1 << 25
 
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -93,9 +90,8 @@ def _partition(
         )
         counts = scratch.cut(counts, "groups", rows="_n")
         goes_on = F.col("_next").isNotNull() & (F.octet_length("_key._digit") == width)
-        few = seen(counts)["count"] * (width + 64) <= FEW_BYTES
         split = (
-            (rows.join(F.broadcast(counts), "_key", "left") if few else join_keyed(rows, counts, "_key", rows="_n", how="left", keep=True, keys=min(HOT_KEYS, HOT_BYTES // width)))
+            join_keyed(rows, counts, "_key", rows="_n", how="left", keep=True, keys=min(HOT_KEYS, HOT_BYTES // width), hint="merge")
             .select(
                 "_id",
                 "_carry",
