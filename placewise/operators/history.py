@@ -128,28 +128,69 @@ def snapshots_of(headers: DataFrame, kind: str, limit: int | None = None) -> Dat
     return out if limit is None else out.limit(limit)
 
 
+def ordinals(headers: DataFrame) -> DataFrame:
+    """Headers with ``ord``, a snapshot's number within its type, oldest first: a row per snapshot and type."""
+    w = Window.partitionBy("violation_type").orderBy("derived_at", "snapshot_id")
+    return headers.withColumn("ord", F.row_number().over(w))
+
+
+def runs_of(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(violation_type, address, first_ord, last_ord)``: the unbroken runs of snapshots that a key is on, from all rows.
+
+    ``numbered`` are headers with ``ord`` (see ``ordinals``). Within a run the number of the snapshot less that of the row stays.
+    """
+    keys = ["violation_type", "address"]
+    on = rows.select("snapshot_id", *keys).distinct().join(numbered.select("snapshot_id", "violation_type", "ord"), ["snapshot_id", "violation_type"])
+    island = F.col("ord") - F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))  # a row per snapshot of a key
+    return on.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).drop("_island")
+
+
+def next_runs(runs: DataFrame, rows: DataFrame, ord_: int) -> DataFrame:
+    """The runs after one more snapshot, number ``ord_`` of its types, with ``rows``; no older snapshot is read.
+
+    A run that went up to the snapshot before goes on if its key is there, other keys begin one. All else stays as it was.
+    Types whose next snapshot has another number are merged apart.
+    """
+    keys = ["violation_type", "address"]
+    now = rows.select(*keys).distinct().withColumn("_now", F.lit(True))
+    open_ = runs.filter(F.col("last_ord") == ord_ - 1).join(now, keys, "full_outer")
+    went_on = open_.select(
+        *keys, F.coalesce("first_ord", F.lit(ord_)).alias("first_ord"), F.when(F.col("_now"), F.lit(ord_)).otherwise(F.col("last_ord")).alias("last_ord")
+    )
+    return runs.filter(F.col("last_ord") != ord_ - 1).unionByName(went_on)
+
+
 def presence(headers: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (violation_type, address) and snapshot of the type: ``present``, and the snapshot's ``ord``."""
-    w = Window.partitionBy("violation_type").orderBy("derived_at", "snapshot_id")
-    numbered = headers.withColumn("ord", F.row_number().over(w))
-    hits = rows.select("snapshot_id", "violation_type", "address").distinct().withColumn("hit", F.lit(True))
-    grid = asked.join(numbered, "violation_type").join(hits, ["snapshot_id", "violation_type", "address"], "left")
-    return grid.select("violation_type", "address", "snapshot_id", "derived_at", "ord", F.coalesce("hit", F.lit(False)).alias("present"))
+    numbered = ordinals(headers)
+    return presence_in(numbered, runs_of(numbered, rows), asked)
+
+
+def presence_in(numbered: DataFrame, runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """As ``presence``, from runs: those of an asked key, few, are looked up once and told apart by its snapshots' numbers."""
+    keys = ["violation_type", "address"]
+    held = runs.groupBy(*keys).agg(F.collect_list(F.struct("first_ord", "last_ord")).alias("_runs"))  # changes of one key
+    asked = asked.select(*keys).join(held, keys, "left")
+    grid = asked.join(numbered, "violation_type")
+    present = F.coalesce(F.exists("_runs", lambda r: (r["first_ord"] <= F.col("ord")) & (F.col("ord") <= r["last_ord"])), F.lit(False))
+    return grid.select(*keys, "snapshot_id", "derived_at", "ord", present.alias("present"))
 
 
 def left_when(headers: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The most recent departure of each asked address: status, last snapshot present, first one after without it.
+    """The most recent departure of each asked address: status, last snapshot present, first one after without it."""
+    numbered = ordinals(headers)
+    return left_in(numbered, runs_of(numbered, rows), asked)
 
-    A key's last hit is aggregated from the rows alone; headers are a row per snapshot and type.
-    """
-    w = Window.partitionBy("violation_type").orderBy("derived_at", "snapshot_id")
-    numbered = headers.select("violation_type", "snapshot_id", "derived_at", F.row_number().over(w).alias("ord"))
+
+def left_in(numbered: DataFrame, runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """As ``left_when``, from runs: a key's last run says when it was last there. Numbered headers are a row per snapshot and type."""
     keys = ["violation_type", "address"]
-    hits = rows.select("snapshot_id", *keys).join(numbered, ["violation_type", "snapshot_id"])
-    last = hits.groupBy(*keys).agg(F.max("ord").alias("last_present"), F.max_by("derived_at", "ord").alias("last_seen_at"))
+    last = runs.groupBy(*keys).agg(F.max("last_ord").alias("last_present"))
     newest = numbered.groupBy("violation_type").agg(F.max("ord").alias("newest"))
-    after = numbered.select("violation_type", (F.col("ord") - 1).alias("last_present"), F.col("derived_at").alias("left_at"))
-    out = asked.join(last, keys, "left").join(newest, "violation_type", "left").join(after, ["violation_type", "last_present"], "left")
+    at = lambda ord_, name: numbered.select("violation_type", ord_.alias("last_present"), F.col("derived_at").alias(name))
+    out = asked.join(last, keys, "left").join(newest, "violation_type", "left")
+    for when in (at(F.col("ord"), "last_seen_at"), at(F.col("ord") - 1, "left_at")):
+        out = out.join(when, ["violation_type", "last_present"], "left")
     status = (
         F.when(F.col("newest").isNull(), "no_snapshots_retained").when(F.col("last_present").isNull(), "never_listed")
         .when(F.col("last_present") == F.col("newest"), "still_listed").otherwise("left")

@@ -241,6 +241,9 @@ PUBLISHED = (
       FROM (SELECT request_id, request_id * 31 % {len(dimension_rows()) + 3} AS k FROM fields WHERE name = 'Alleged Violation') LEFT JOIN tab ON i = k)""",
 )
 
+TOUCHED = """touched AS (SELECT * REPLACE (CASE WHEN request_id % 4999 = 0 THEN 'X' ELSE status END AS status) FROM calls WHERE request_id <> 77
+  UNION ALL SELECT * REPLACE (-1 AS request_id) FROM calls WHERE request_id = 33)"""
+
 ORACLE_SQL: dict[str, str] = {
     "recent_watchlist": with_views(
         "SELECT rank, address, calls_12mo, calls_total, tows, round_even(tow_rate, 6) AS tow_rate, repeat_calls, round_even(median_gap_days, 6) AS median_gap_days, last_call FROM doors", *BASE
@@ -465,6 +468,16 @@ ORACLE_SQL: dict[str, str] = {
         count(*) FILTER (now IS NULL) AS only_in_older, count(*) FILTER (was IS NULL) AS only_in_newer FROM old FULL JOIN new USING (business_key))""", SHIFTED
     ),
     "moved_examples": with_views("SELECT business_key, was, now FROM old JOIN new USING (business_key) WHERE was <> now ORDER BY business_key LIMIT 5", SHIFTED),
+    "few_changes": with_views("SELECT * FROM td", TOUCHED, _diff("calls", "touched", ["request_id"], CALL_FIELDS, "td")),
+    "copies_agree": with_views(
+        """SELECT (SELECT count(*) FROM calls) AS rows_a, (SELECT count(*) FROM calls) AS rows_b, true AS agree, 'same' AS copy
+        UNION ALL SELECT (SELECT count(*) FROM calls), (SELECT count(*) FROM touched), NOT EXISTS (SELECT * FROM calls EXCEPT SELECT * FROM touched), 'touched'""", TOUCHED
+    ),
+    "merged_runs": with_views(
+        """SELECT violation_type, address, min(snapshot_id)::INT AS first_ord, max(snapshot_id)::INT AS last_ord FROM (
+          SELECT *, snapshot_id - row_number() OVER (PARTITION BY violation_type, address ORDER BY snapshot_id) AS g FROM (SELECT DISTINCT violation_type, address, snapshot_id FROM snaps))
+        GROUP BY 1, 2, g""", *_snapshots()
+    ),
     "row_diff": with_views("SELECT * FROM rd", ALTERED, ROW_DIFF),
     "field_diff": with_views("SELECT * FROM fd", FIELD_DIFF),
     "id_diff": with_views(

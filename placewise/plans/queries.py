@@ -526,6 +526,33 @@ def row_diff(t):
     return reconcile.row_diff(t.calls, altered(t), ["request_id"], reconcile.CALL_FIELDS)
 
 
+def touched(t) -> DataFrame:
+    """The calls with few rows changed, one gone and one more."""
+    rows = t.calls.filter("request_id <> 77").withColumn("status", F.expr("case when request_id % 4999 = 0 then 'X' else status end"))
+    return rows.unionByName(t.calls.filter("request_id = 33").withColumn("request_id", F.lit(-1).cast("long")))
+
+
+@query
+def few_changes(t):
+    """Of copies that are near alike, only unequal buckets are joined."""
+    return reconcile.bucketed_diff(t.calls, touched(t), ["request_id"], reconcile.CALL_FIELDS)
+
+
+@query
+def copies_agree(t):
+    same, other = (reconcile.copies_agree(t.calls, x, ["request_id"], reconcile.CALL_FIELDS) for x in (t.calls.repartition(3), touched(t)))
+    return same.withColumn("copy", F.lit("same")).unionByName(other.withColumn("copy", F.lit("touched")))
+
+
+@query
+def merged_runs(t):
+    """Runs of snapshots, the last snapshot merged without reading those before."""
+    heads, rows = snapshots(t)
+    numbered = history.ordinals(heads)
+    runs = history.runs_of(numbered, rows.filter("snapshot_id < 3"))
+    return history.next_runs(runs, rows.filter("snapshot_id = 3"), 3)
+
+
 @query
 def field_diff(t):
     b = t.fields.filter("request_id % 19 <> 0").withColumn("value", F.expr("case when request_id % 23 = 0 then null else value end"))
