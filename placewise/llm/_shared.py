@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -32,8 +33,8 @@ def seen(df: DataFrame) -> dict:
     return _SEEN.get(df, {})
 
 
-#: Folders that scratch tables go below, the innermost last.
-_AREAS: list[str] = []
+#: The folder that scratch tables go below, in this thread or task; None: the shared one itself.
+_AREA: ContextVar[str | None] = ContextVar("area", default=None)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -44,11 +45,13 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch_area(spark: SparkSession, name: str):
     """Scratch tables made within go to a folder of their own, which is deleted at the end; write results before."""
-    _AREAS.append(f"{_AREAS[-1] if _AREAS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path = f"{_AREA.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = _AREA.set(path)
     try:
         yield
     finally:
-        delete(spark, _AREAS.pop())
+        _AREA.reset(before)
+        delete(spark, path)
 
 
 class Scratch:
@@ -60,7 +63,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{_AREAS[-1] if _AREAS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_AREA.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the table, so that its id stays its own
         self._n = 0
 

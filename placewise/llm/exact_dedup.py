@@ -51,7 +51,11 @@ def mark_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns; of rows that repeat id and text, one."""
+    """The rows that stay, with their own columns; of rows that repeat id and text, one.
+
+    Null and empty texts are equal. A null id stays only where no row of its group has one. Very long texts are compared
+    digit by digit. An empty table gives no rows.
+    """
     stay = _partition(docs, id_col, text_col, docs.columns).filter(F.col("_id").eqNullSafe(F.col("_keep")))
     one = stay.filter("_n = 1").unionByName(stay.filter("_n > 1").dropDuplicates(["_id", "_class"]))
     return one.select(*[F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -274,7 +274,11 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 80, words: int = WORDS) -> DataFrame:
-    """The rows that ``near_duplicates`` keeps, with their own columns."""
+    """The rows that ``near_duplicates`` keeps, with their own columns.
+
+    Null and empty texts are linked with nothing and stay. Of rows that repeat an id with equal or linked texts, those that
+    ``near_duplicates`` marks as kept all stay. An empty table gives no rows.
+    """
     gone = _components(docs, id_col, text_col, threshold_pct, words, COORDS, ROWS).filter("not kept")
     gone = small(Scratch(docs.sparkSession, "dropped").cut(gone.select("id", "sha").distinct(), "ids"))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)

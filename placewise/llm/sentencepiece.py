@@ -315,7 +315,8 @@ def _odd(ids: list[int | None], vocab: Vocabulary) -> list[str]:
 def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_col: str = "ids") -> DataFrame:
     """The input's columns and ``as_col``, an array of ids (which hides a column of its name).
 
-    A null or empty text has no ids. ``model_path`` must be readable on the executors.
+    A null or empty text has no ids. Repeated rows get the same ids each; an empty table gives no rows. ``model_path`` must be
+    readable on the executors.
     """
     keep = [c for c in docs.columns if c.lower() != as_col.lower()]
     at = keep.index(text_col)
@@ -331,7 +332,8 @@ def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", as_c
 
 
 def decode_column(rows: DataFrame, model_path: str, ids_col: str = "ids", as_col: str = "decoded") -> DataFrame:
-    """The input's columns and ``as_col``, the decoded text; a null array gives an empty text."""
+    """The input's columns and ``as_col``, the decoded text; a null or empty array gives an empty text. Repeated rows get
+    the same text each; an empty table gives no rows."""
     keep = [c for c in rows.columns if c.lower() != as_col.lower()]
     at = keep.index(ids_col)
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(as_col, T.StringType())])

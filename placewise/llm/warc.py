@@ -118,7 +118,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Write a record per row and return the archive's files.
 
     A null html is an empty payload. Of equal payloads of at least ``least`` bytes the row with the largest id is
-    the response; a null id never wins against an id, and of rows that repeat id and payload all are responses.
+    the response; a null id never wins against an id, and of rows that repeat id and payload all are responses. An empty
+    table writes no file.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc-groups")
