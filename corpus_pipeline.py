@@ -28,22 +28,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest id. Null and empty texts are equal."""
+    """Of equal texts the row of the largest id; of rows that repeat id and text, one. Null and empty texts are equal. An
+    empty table gives no rows."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a shingle similarity of 0.8 or more, the document of the smallest id."""
+    """Of each group linked by a shingle similarity of 0.8 or more, the document of the smallest id. Null and empty texts are
+    linked with nothing and stay; an empty table gives no rows."""
     return near_dedup.keep_first(docs, threshold_pct=NEAR_PCT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All documents, repeated rows too, with secrets in their texts replaced; null and empty texts stay as they are."""
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and offset."""
+    """One row per piece with its sequence and offset; a null or empty text is one piece, repeated rows are packed each, and an
+    empty table gives no rows."""
     return packing.pack(docs, queries.tokenizer_file("word_bpe_49k.json"))
 
 
