@@ -100,7 +100,7 @@ def euclid(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def grid_cell(metres: Column, side: float = 60.0) -> Column:
+def grid_cell(metres: Column, side: float | Column = 60.0) -> Column:
     return F.floor(metres / side)
 
 

@@ -42,7 +42,10 @@ def readiness(layers: DataFrame) -> DataFrame:
     return n.select("store", "loaded", "layers", said.alias("readiness"))
 
 
-def newest_call(calls: DataFrame) -> DataFrame:
+def newest_call(calls: DataFrame, micros: str | None = None) -> DataFrame:
+    """The newest date; from the column of its microseconds, if the table has one (``layers.read_counted``)."""
+    if micros is not None:
+        return calls.agg(F.max(micros).alias("us")).select(F.timestamp_micros("us").cast("timestamp_ntz").alias("newest_call"))
     return calls.agg(F.max("date_initiated").alias("newest_call"))
 
 

@@ -175,17 +175,22 @@ def address_points(calls: DataFrame) -> DataFrame:
     return middle.groupBy("door").agg(*[F.max(F.when(F.col("axis") == i, F.col("v"))).alias(c) for i, c in enumerate("xy")])
 
 
-def near_pairs(calls: DataFrame, metres: float = NEAR_METRES) -> DataFrame:
-    """Pairs of addresses within ``metres``: each looks in its own grid cell and those around it."""
-    points = address_points(calls).withColumn("cx", C.grid_cell(F.col("x"), 2 * metres)).withColumn("cy", C.grid_cell(F.col("y"), 2 * metres))
+def _within(points: DataFrame, side: Column, radius: Column) -> DataFrame:
+    """``(a, b, metres)`` of ``points`` (``door``, ``x``, ``y``) no further apart than ``radius``, which ``side`` is no less than: each looks
+    in its own cell of that side and those around it."""
+    points = points.withColumns({"cx": C.grid_cell(F.col("x"), side), "cy": C.grid_cell(F.col("y"), side), "radius": radius}).select("door", "x", "y", "cx", "cy", "radius")
     around = F.sequence(F.lit(-1), F.lit(1))
     left = points.select("door", "x", "y", F.explode(F.transform(around, lambda d: F.col("cx") + d)).alias("cx"), "cy")
     left = left.select("door", "x", "y", "cx", F.explode(F.transform(around, lambda d: F.col("cy") + d)).alias("cy"))
     a, b = left.alias("a"), points.alias("b")
     d = C.euclid(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.door") < F.col("b.door"))
-    pairs = a.join(b, same).select(F.col("a.door").alias("a"), F.col("b.door").alias("b"), d.alias("metres"))
-    return pairs.filter(F.col("metres") <= metres)
+    return a.join(b, same & (d <= F.col("b.radius"))).select(F.col("a.door").alias("a"), F.col("b.door").alias("b"), d.alias("metres"))
+
+
+def near_pairs(calls: DataFrame, metres: float = NEAR_METRES) -> DataFrame:
+    """Pairs of addresses within ``metres``."""
+    return _within(address_points(calls), F.lit(2 * metres), F.lit(metres))
 
 
 def spread_report(calls: DataFrame) -> DataFrame:
@@ -196,15 +201,42 @@ def spread_report(calls: DataFrame) -> DataFrame:
         C.percent(F.count_if((F.col("calls") > 1) & (F.col("spread") > 50)), F.count_if(F.col("calls") > 1)).alias("over_50_pct"),
         C.percent(F.count_if((F.col("calls") > 1) & (F.col("spread") > 200)), F.count_if(F.col("calls") > 1)).alias("over_200_pct"),
     )
-    pairs = near_pairs(calls)
-    involved = pairs.select(F.col("a").alias("door")).union(pairs.select("b")).distinct().agg(F.count("*").alias("involved"))
-    n = pairs.agg(F.count("*").alias("near_pairs"))
-    return s.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(involved))  # one row each
+    ends = near_pairs(calls).select(F.explode(F.array("a", "b")).alias("door")).groupBy("door").agg(F.count("*").alias("n"))
+    near = ends.agg(F.coalesce(F.floor(F.sum("n") / 2), F.lit(0)).alias("near_pairs"), F.count("*").alias("involved"))
+    return s.crossJoin(F.broadcast(near))  # one row each
+
+
+#: Sides of the cells in which addresses are counted for the closest pairs: the asked distance over powers of four, down to micrometres.
+FINER = 12
+#: Distances are told to the millimetre.
+MILLIMETRE = 0.001
+
+
+def _closest_radius(points: DataFrame, metres: float, pairs: int) -> DataFrame:
+    """One row, ``radius``: a distance, at most ``metres``, within which there are ``pairs`` pairs if there are so many within ``metres``.
+
+    A cell of side s with n points holds n (n - 1) / 2 pairs no further apart than its diagonal. Of the cell sizes at which
+    there are enough such pairs, the least tells the radius; at the next size there are too few, so that points lie nearly
+    all in cells of their own and a search within the radius meets a bounded number of others.
+    """
+    sides = F.array(*[F.lit(metres / 4**i) for i in range(FINER + 1)])
+    cell = lambda c: C.grid_cell(F.col(c), F.col("side")).alias(f"c{c}")
+    n = points.select("x", "y", F.explode(sides).alias("side")).select("side", cell("x"), cell("y")).groupBy("side", "cx", "cy").agg(F.count("*").alias("n")).filter("n > 1")
+    enough = n.groupBy("side").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("held")).filter(F.col("held") >= pairs)
+    return enough.agg(F.least(F.lit(metres), F.coalesce(F.min("side") * math.sqrt(2) + MILLIMETRE, F.lit(metres))).alias("radius"))
 
 
 def nearest_pairs(calls: DataFrame, metres: float = NEAR_METRES, limit: int = 8) -> DataFrame:
-    """The closest pairs of addresses within ``metres``, distances to the millimetre."""
-    return near_pairs(calls, metres).withColumn("metres", F.bround("metres", 3)).orderBy("metres", "a", "b").limit(limit)
+    """The closest pairs of addresses within ``metres``, distances to the millimetre, ties by address.
+
+    Only pairs within a radius that holds ``limit`` of them are made, whatever the addresses in a cell. Of addresses at one
+    point the first ``limit + 1`` can be in such a pair, since each pair of a later one comes after as many others.
+    """
+    at_point = Window.partitionBy("x", "y").orderBy("door")
+    points = address_points(calls).withColumn("k", F.row_number().over(at_point)).filter(F.col("k") <= limit + 1).drop("k")
+    radius = F.broadcast(_closest_radius(points, metres, limit))  # one row
+    pairs = _within(points.crossJoin(radius), F.col("radius"), F.col("radius")).filter(F.col("metres") <= metres)
+    return pairs.withColumn("metres", F.bround("metres", 3)).orderBy("metres", "a", "b").limit(limit)
 
 
 def spread_by(calls: DataFrame, by: str, beyond: float = 200.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.layers import exists
 from .places import MIN_CALLS, MIN_DOORWAYS, RECUR_DAYS
 
 #: The parameters that a list is derived under unless told otherwise. Columns that history keeps by name.
@@ -112,11 +113,6 @@ def retained(spark: SparkSession, root: str, part: str) -> DataFrame:
     return rows.drop("commit")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def departed(earlier: DataFrame, later: DataFrame, key: str = "address") -> DataFrame:
     """Keys on the earlier list that the later one lacks."""
     return earlier.join(later.select(key), key, "left_anti").orderBy(key)

@@ -186,6 +186,11 @@ def advanced(observed: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("layer", "observed", "pulled", newer.alias("advanced"))
 
 
+def stored_counts(rows: DataFrame) -> DataFrame:
+    """``(layer, stored)`` of a table partitioned by layer."""
+    return rows.groupBy("layer").agg(F.count("*").alias("stored"))
+
+
 def count_check(stored: DataFrame, source: DataFrame) -> DataFrame:
     """Layers whose stored and published counts differ, as anomaly rows."""
     both = stored.join(source, "layer").filter("stored <> published")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import figures, geo, history, places, versions
+from ..operators import figures, freshness, geo, history, places, reconcile, versions
 from ..sources import layers
 from ..streaming.landing import land_published
 from .adapter import Inputs
@@ -181,3 +181,44 @@ def derived_versions(t):
     said = kept.select(F.col("canonical_type").alias("violation_type"), F.col("version").alias("mirror_version"), F.from_json("payload", "tn long, closed long, selection long, labels array<struct<label string, requests long>>").alias("f"))
     lists = kept_lists(t, f"{root}/lists", "mirror_version")
     return lists.join(said, ["violation_type", "mirror_version"], "left").select(*lists.columns, "f.tn", "f.closed", "f.selection", F.size("f.labels").alias("labels"))
+
+
+@query
+def merged_deltas(t):
+    """The attributes land, then two deltas: corrected texts and new rows, and older rows that change nothing."""
+    fields = t.fields.withColumn("written", F.lit(2))
+    held = layers.KeyedTable(t.spark, layers.work_folder(t.spark, "keyed"), fields.schema, "object_id", "written", width=10_000)
+    held.merge(fields.filter("request_id % 5 <> 0"))
+    again = fields.filter("request_id % 1000 < 100").withColumn("value", F.upper("value")).withColumn("written", F.lit(3))
+    held.merge(again)
+    held.merge(fields.filter("request_id % 7 = 0").withColumn("value", F.lit("stale")).withColumn("written", F.lit(1)))
+    return held.read()
+
+
+@query
+def kept_samples(t):
+    """Samples of two versions are kept, one of them twice."""
+    path = layers.work_folder(t.spark, "samples")
+    for day in (CUTOFFS[0], CUTOFFS[1], CUTOFFS[1]):
+        calls = t.calls.filter(F.col("date_initiated") < F.lit(day).cast("timestamp_ntz"))
+        layers.keep_sample(reconcile.version_sample("service_requests", calls, day), path)
+    return layers.read_samples(t.spark, path)
+
+
+@query
+def footer_identity(t):
+    """Row count, highest object id and newest call of the stored calls, from file footers."""
+    path = layers.work_folder(t.spark, "counted")
+    layers.write_counted(t.calls.select(*layers.CALL_COLUMNS), path)
+    calls = layers.read_counted(t.spark, path)
+    return reconcile.version_identity(calls).crossJoin(F.broadcast(freshness.newest_call(calls, "date_initiated" + layers.MICROS)))  # one row each
+
+
+@query
+def footer_counts(t):
+    """Layers whose stored rows, counted from file footers, are not as many as were published."""
+    path = layers.work_folder(t.spark, "stored")
+    layers.write_counted(t.runs.filter("layer <> 'click' or run_id % 2 = 0").select("run_id", "layer", "started_at"), path, "layer")
+    published = t.runs.groupBy("layer").agg(F.count("*").alias("published"))
+    found = reconcile.count_check(reconcile.stored_counts(layers.read_counted(t.spark, path)), published)
+    return found.select("layer", "kind", F.col("detail")["stored"].alias("stored"), F.col("detail")["published"].alias("published"))

@@ -413,6 +413,11 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "near_duplicates": with_views("SELECT a, b, round_even(metres, 6) AS metres FROM near", _points(400), _near(300.0)),
     "nearest_pairs": with_views("SELECT a, b, round_even(metres, 3) AS metres FROM near ORDER BY round_even(metres, 3), a, b LIMIT 8", _points(400), _near(300.0)),
+    "crowded_pairs": with_views(
+        "SELECT a, b, round_even(metres, 3) AS metres FROM near ORDER BY round_even(metres, 3), a, b LIMIT 8",
+        """pts AS (SELECT request_id || ' CROWDED ST' AS door, ((request_id * 104729 % 100003 + 1) / 1e7 + -63.0::DOUBLE) * 111320.0 * cos(radians(44.65)) AS x,
+  ((request_id * 7919 % 100003 + 1) / 1e7 + 44.0::DOUBLE) * 111320.0 AS y FROM calls WHERE address IS NOT NULL)""", _near(1000.0)
+    ),
     "snapshot_rows": with_views(
         f"""SELECT 7 AS snapshot_id, TIMESTAMP '{CUTOFFS[2]}' AS derived_at, 'all' AS violation_type, address, rank, block, district, calls_12mo, calls_total, tows, vehicles_seen, vehicles_distinct,
         '{{"community":"' || community || '","last_call":"' || last_call || '","repeat_calls":' || repeat_calls || '}}' AS detail FROM doors""", *BASE
@@ -461,6 +466,22 @@ ORACLE_SQL: dict[str, str] = {
     "version_sample": with_views(
         f"SELECT 'service_requests' AS layer, TIMESTAMP '{CUTOFFS[0]}' AS edited_at, request_id::VARCHAR AS business_key, object_id FROM calls WHERE request_id % 128 = 0"
     ),
+    "merged_deltas": with_views(
+        """SELECT object_id, request_id, field_id, name, value, written FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY written DESC) AS r FROM (
+        SELECT *, 2 AS written FROM fields WHERE request_id % 5 <> 0 UNION ALL SELECT object_id, request_id, field_id, name, upper(value), 3 FROM fields WHERE request_id % 1000 < 100
+        UNION ALL SELECT object_id, request_id, field_id, name, 'stale', 1 FROM fields WHERE request_id % 7 = 0)) WHERE r = 1"""
+    ),
+    "kept_samples": with_views(
+        " UNION ALL ".join(
+            f"""SELECT 'service_requests' AS layer, TIMESTAMP '{d}' AS edited_at, request_id::VARCHAR AS business_key, object_id FROM calls
+            WHERE request_id % 128 = 0 AND date_initiated < TIMESTAMP '{d}'""" for d in CUTOFFS[:2]
+        )
+    ),
+    "footer_identity": with_views("SELECT count(*) AS n_rows, max(object_id) AS max_object_id, max(date_initiated) AS newest_call FROM calls"),
+    "footer_counts": with_views(
+        """SELECT layer, 'count_divergence' AS kind, (count(*) FILTER (layer <> 'click' OR run_id % 2 = 0))::VARCHAR AS stored, count(*)::VARCHAR AS published FROM runs GROUP BY 1
+        HAVING count(*) <> count(*) FILTER (layer <> 'click' OR run_id % 2 = 0)"""
+    ),
     "version_identity": with_views("SELECT count(*) AS n_rows, max(object_id) AS max_object_id FROM fields"),
     "renumbering": with_views(
         """SELECT *, CASE WHEN shared = 0 THEN 'no_shared_keys' WHEN moved = 0 THEN 'preserved' WHEN kept = 0 THEN 'reassigned' ELSE 'partially_reassigned' END AS verdict FROM (

@@ -383,6 +383,14 @@ def nearest_pairs(t):
     return geo.nearest_pairs(jittered(t), 300.0)
 
 
+@query
+def crowded_pairs(t):
+    """Every request an address of its own, all within little more than the asked distance."""
+    own = t.calls.filter("address is not null").withColumn("address", F.concat(F.col("request_id").cast("string"), F.lit(" crowded st")))
+    at = lambda c, by: (F.col("request_id") * by % 100003 + 1) / F.lit(1e7) + F.lit(c)
+    return geo.nearest_pairs(own.withColumns({"latitude": at(44.0, 7919), "longitude": at(-63.0, 104729)}), 1000.0)
+
+
 def heads_of(t, rows: DataFrame) -> DataFrame:
     """The headers of the three versions, their lists counted from the rows."""
     heads = [history.snapshot_headers(t.dim, i, day, rows.filter(F.col("snapshot_id") == i)) for i, day in enumerate(CUTOFFS, 1)]

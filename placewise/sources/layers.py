@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 from ..operators.geo import box_of
+from ..operators.select import upsert_by_key
 
 RINGS = "rings array<array<array<double>>>"
 
@@ -160,8 +162,7 @@ def replace_snapshot(spark: SparkSession, rows: DataFrame, root: str, version: s
 
 
 def _pointed(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{root}/_pointer"):
         return None
     return spark.read.parquet(f"{root}/_pointer").agg(F.max_by(F.struct("version", "folder"), F.struct("at", "version")).alias("p")).first()["p"]
 
@@ -180,12 +181,107 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
 def append_once(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose key is not stored."""
     spark = rows.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:
+    """Write the rows over the partitions that they fall in; other partitions keep their files."""
+    rows.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+#: The column by which a keyed table is partitioned: the range of keys.
+RANGE = "key_range"
+
+
+class KeyedTable:
+    """A table of one row per key (a number) into which small deltas are merged.
+
+    It is partitioned by ranges of ``width`` keys, so a partition has a bounded number of rows and a delta of recent keys meets few.
+    A merge reads and writes those alone: what they come to is written to a folder beside the table first, then over the
+    partitions. A merge that was cut short there is finished from that folder by whoever opens the table next, so merging the same
+    delta again gives the same table. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, order: str, width: int = 1_000_000):
+        """``order`` is the column by which the last written of rows that repeat a key is told."""
+        self.spark, self.path, self.key, self.order, self.width = spark, path.rstrip("/"), key, order, width
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.pending = f"{self.path}.pending"
+        self._finish()
+
+    def read(self) -> DataFrame:
+        return self._ranges(self.path).drop(RANGE)
+
+    def merge(self, delta: DataFrame) -> None:
+        """Rows of new keys are added, rows of keys that are there replace them unless those were written later.
+
+        A null key is an error: such a row has no place.
+        """
+        key = F.coalesce(F.col(self.key), F.raise_error(F.lit(f"{self.key} is null")).cast(self.schema[self.key].dataType))
+        delta = delta.select(*self.schema.names).withColumn(self.key, key).withColumn(RANGE, F.floor(F.col(self.key) / self.width).cast("long"))
+        delta = settled(delta, "delta")
+        met = [r[0] for r in delta.select(RANGE).distinct().collect()]  # as many as partitions that are rewritten
+        rows = self._ranges(self.path).filter(F.col(RANGE).isin(met)).unionByName(delta)
+        last = upsert_by_key(rows, self.key, self.order)
+        last.repartition(RANGE).write.partitionBy(RANGE).mode("overwrite").parquet(self.pending)
+        self._finish()
+
+    def _ranges(self, path: str) -> DataFrame:
+        schema = StructType([*self.schema.fields]).add(RANGE, "long")
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _finish(self) -> None:
+        """Take over what a merge has written in whole, and remove it; what it left half written is only removed."""
+        if exists(self.spark, f"{self.pending}/_SUCCESS"):
+            replace_partitions(self._ranges(self.pending).repartition(RANGE), self.path, RANGE)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.pending)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def keep_sample(sample: DataFrame, path: str) -> None:
+    """A version's sample, kept once for its layer and edit time: keeping it again replaces it, other versions' files are left alone."""
+    replace_partitions(sample.withColumn("version", F.date_format("edited_at", "yyyyMMdd'T'HHmmss")), path, "layer", "version")
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    schema = "edited_at timestamp_ntz, business_key string, object_id long, layer string, version string"
+    return spark.read.schema(schema).parquet(path).select("layer", "edited_at", "business_key", "object_id")
+
+
+MICROS = "_us"
+
+
+def write_counted(rows: DataFrame, path: str, *by: str) -> None:
+    """Rows whose counts, least and greatest values can be had from file footers alone (``read_counted``).
+
+    Spark reads numbers there, not timestamps, so each timestamp has its microseconds beside it.
+    """
+    micros = {c + MICROS: F.unix_micros(F.col(c).cast("timestamp")) for c, t in rows.dtypes if t.startswith("timestamp")}
+    rows.withColumns(micros).write.partitionBy(*by).mode("overwrite").parquet(path)
+
+
+def read_counted(spark: SparkSession, path: str) -> DataFrame:
+    """The table by Spark's second interface for sources, to which counts, minima and maxima are handed down: no rows are
+    read for them, whether of all rows or by partition."""
+    v1 = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(v1)
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(v1, ",".join(s for s in before.split(",") if s != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(v1, before)
+
+
 BUCKET_BYTES = 128 << 20
 LEAST_BUCKETS = 8
 
