@@ -146,7 +146,7 @@ def hot_limit(counts: DataFrame, rows: str = "rows", keys: int = HOT_KEYS) -> tu
 
 
 def join_keyed(
-    left: DataFrame, right: DataFrame, key: str, rows: str = "rows", how: str = "inner", keep: bool = False, keys: int = HOT_KEYS, hint: str | None = None
+    left: DataFrame, right: DataFrame, key: str | list[str], rows: str = "rows", how: str = "inner", keep: bool = False, keys: int = HOT_KEYS, hint: str | None = None
 ) -> DataFrame:
     """``left`` joined with ``right``, a written table of one short row per key with the key's ``rows`` in ``left``.
 

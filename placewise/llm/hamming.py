@@ -11,8 +11,8 @@ A pair is taken once, in the round of its least segment distance and the first s
 so nothing met before is kept or compared. A query's state is its k + 1 best rows, written after each round.
 
 Codes that many vectors share are searched once: the index holds distinct codes with the k + 1 smallest ids of
-each (a partial top-k before the shuffle), and queries of one code share their search. Keys of more than HOT_KEY codes
-are dealt over several tasks by salts.
+each (a partial top-k before the shuffle), and queries of one code share their search, whose result goes to them where they lie
+if they are many. Keys of more than HOT_KEY codes are dealt over several tasks by salts.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Scratch, small
+from ._shared import Scratch, join_keyed, small
 
 WORD = 64
 #: A round's masks are at most comb(20, 10) = 184,756 rows, which bounds their broadcast.
@@ -143,10 +143,10 @@ def top_k(
         if best.isEmpty():
             break
         todo = best.groupBy(*words).agg(F.max(F.when(F.col("n") > k, F.col("far"))).alias("hi"))
-    found = reduce(DataFrame.unionByName, done).select(*words, "distance", "neighbor_id")
-    rank = Window.partitionBy("id").orderBy("distance", "neighbor_id")
-    return (
-        asked.hint("merge").join(found, words).filter(F.col("id") != F.col("neighbor_id"))
-        .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        .select(F.col("id").alias(id_col), "rank", "neighbor_id", "distance")
-    )
+    found = reduce(DataFrame.unionByName, done).groupBy(*words)
+    found = found.agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))  # k + 1 at most
+    counts = asked.groupBy(*words).agg(F.count("*").alias("rows"))
+    found = scratch.cut(found.join(counts, words), "found", rows="rows")
+    others = F.slice(F.filter("near", lambda n: n["neighbor_id"] != F.col("id")), 1, k)
+    out = join_keyed(asked, found, words).select("id", F.posexplode(others).alias("at", "n"))
+    return out.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("rank"), "n.neighbor_id", "n.distance")
