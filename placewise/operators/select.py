@@ -106,7 +106,7 @@ def residue_sample(df: DataFrame, modulus: int = 128, column: str = "request_id"
     return df.filter(F.col(column) % modulus == 0)
 
 
-def upsert_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
+def upsert_by_key(df: DataFrame, key: str, order: str | Column) -> DataFrame:
     """Of rows that repeat a key, the last written."""
     names = [c for c in df.columns if c != key]
     last = df.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("row"))

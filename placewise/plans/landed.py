@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import figures, freshness, geo, history, places, reconcile, versions
 from ..sources import layers
-from ..streaming.landing import land_published
+from ..streaming.landing import land_published, merge_published
 from .adapter import Inputs
 from .queries import CUTOFFS, KIND, everything, query, typed
 
@@ -183,15 +183,34 @@ def derived_versions(t):
     return lists.join(said, ["violation_type", "mirror_version"], "left").select(*lists.columns, "f.tn", "f.closed", "f.selection", F.size("f.labels").alias("labels"))
 
 
+def deltas_of(t) -> tuple[DataFrame, list[DataFrame]]:
+    """The attributes as they were first, then corrected texts and new rows, and older rows that change nothing but where none is."""
+    fields = t.fields.withColumn("written", F.lit(2))
+    again = fields.filter("request_id % 1000 < 100").withColumn("value", F.upper("value")).withColumn("written", F.lit(3))
+    stale = fields.filter("request_id % 7 = 0").withColumn("value", F.lit("stale")).withColumn("written", F.lit(1))
+    return fields, [fields.filter("request_id % 5 <> 0"), again, stale]
+
+
 @query
 def merged_deltas(t):
-    """The attributes land, then two deltas: corrected texts and new rows, and older rows that change nothing."""
-    fields = t.fields.withColumn("written", F.lit(2))
+    """The attributes land in a keyed table, then two deltas."""
+    fields, deltas = deltas_of(t)
     held = layers.KeyedTable(t.spark, layers.work_folder(t.spark, "keyed"), fields.schema, "object_id", "written", width=10_000)
-    held.merge(fields.filter("request_id % 5 <> 0"))
-    again = fields.filter("request_id % 1000 < 100").withColumn("value", F.upper("value")).withColumn("written", F.lit(3))
-    held.merge(again)
-    held.merge(fields.filter("request_id % 7 = 0").withColumn("value", F.lit("stale")).withColumn("written", F.lit(1)))
+    for delta in deltas:
+        held.merge(delta)
+    return held.read()
+
+
+@query
+def streamed_deltas(t):
+    """The same deltas as files that a stream merges, the last after the others."""
+    root = layers.work_folder(t.spark, "deltas")
+    fields, deltas = deltas_of(t)
+    held = layers.KeyedTable(t.spark, f"{root}/held", fields.schema, "object_id", "written", width=10_000)
+    for at in ([0, 1], [2]):
+        for i in at:
+            deltas[i].write.parquet(f"{root}/published/{i}")
+        merge_published(t.spark, f"{root}/published", held, f"{root}/checkpoint")
     return held.read()
 
 

@@ -244,6 +244,10 @@ PUBLISHED = (
 TOUCHED = """touched AS (SELECT * REPLACE (CASE WHEN request_id % 4999 = 0 THEN 'X' ELSE status END AS status) FROM calls WHERE request_id <> 77
   UNION ALL SELECT * REPLACE (-1 AS request_id) FROM calls WHERE request_id = 33)"""
 
+DELTAS = """SELECT object_id, request_id, field_id, name, value, written FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY written DESC) AS r FROM (
+        SELECT *, 2 AS written FROM fields WHERE request_id % 5 <> 0 UNION ALL SELECT object_id, request_id, field_id, name, upper(value), 3 FROM fields WHERE request_id % 1000 < 100
+        UNION ALL SELECT object_id, request_id, field_id, name, 'stale', 1 FROM fields WHERE request_id % 7 = 0)) WHERE r = 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "recent_watchlist": with_views(
         "SELECT rank, address, calls_12mo, calls_total, tows, round_even(tow_rate, 6) AS tow_rate, repeat_calls, round_even(median_gap_days, 6) AS median_gap_days, last_call FROM doors", *BASE
@@ -466,11 +470,8 @@ ORACLE_SQL: dict[str, str] = {
     "version_sample": with_views(
         f"SELECT 'service_requests' AS layer, TIMESTAMP '{CUTOFFS[0]}' AS edited_at, request_id::VARCHAR AS business_key, object_id FROM calls WHERE request_id % 128 = 0"
     ),
-    "merged_deltas": with_views(
-        """SELECT object_id, request_id, field_id, name, value, written FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY written DESC) AS r FROM (
-        SELECT *, 2 AS written FROM fields WHERE request_id % 5 <> 0 UNION ALL SELECT object_id, request_id, field_id, name, upper(value), 3 FROM fields WHERE request_id % 1000 < 100
-        UNION ALL SELECT object_id, request_id, field_id, name, 'stale', 1 FROM fields WHERE request_id % 7 = 0)) WHERE r = 1"""
-    ),
+    "merged_deltas": with_views(DELTAS),
+    "streamed_deltas": with_views(DELTAS),
     "kept_samples": with_views(
         " UNION ALL ".join(
             f"""SELECT 'service_requests' AS layer, TIMESTAMP '{d}' AS edited_at, request_id::VARCHAR AS business_key, object_id FROM calls

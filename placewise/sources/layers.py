@@ -205,7 +205,7 @@ class KeyedTable:
 
     It is partitioned by ranges of ``width`` keys, so a partition has a bounded number of rows and a delta of recent keys meets few.
     A merge reads and writes those alone: what they come to is written to a folder beside the table first, then over the
-    partitions. A merge that was cut short there is finished from that folder by whoever opens the table next, so merging the same
+    partitions. A merge that was cut short there is finished from that folder by the next merge or whoever opens the table next, so merging the same
     delta again gives the same table. One writer at a time.
     """
 
@@ -220,16 +220,17 @@ class KeyedTable:
         return self._ranges(self.path).drop(RANGE)
 
     def merge(self, delta: DataFrame) -> None:
-        """Rows of new keys are added, rows of keys that are there replace them unless those were written later.
-
-        A null key is an error: such a row has no place.
+        """Rows of new keys are added, rows of keys that are there replace them unless those were written later. An empty delta
+        changes nothing. A null key is an error: such a row has no place.
         """
+        self._finish()
         key = F.coalesce(F.col(self.key), F.raise_error(F.lit(f"{self.key} is null")).cast(self.schema[self.key].dataType))
         delta = delta.select(*self.schema.names).withColumn(self.key, key).withColumn(RANGE, F.floor(F.col(self.key) / self.width).cast("long"))
         delta = settled(delta, "delta")
         met = [r[0] for r in delta.select(RANGE).distinct().collect()]  # as many as partitions that are rewritten
-        rows = self._ranges(self.path).filter(F.col(RANGE).isin(met)).unionByName(delta)
-        last = upsert_by_key(rows, self.key, self.order)
+        held = self._ranges(self.path).filter(F.col(RANGE).isin(met)).withColumn("_new", F.lit(0))
+        rows = held.unionByName(delta.withColumn("_new", F.lit(1)))  # of equally late rows, the delta's
+        last = upsert_by_key(rows, self.key, F.struct(self.order, "_new")).drop("_new")
         last.repartition(RANGE).write.partitionBy(RANGE).mode("overwrite").parquet(self.pending)
         self._finish()
 

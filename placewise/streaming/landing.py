@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.layers import current_version, replace_snapshot
+from ..sources.layers import KeyedTable, current_version, replace_snapshot
 
 MANIFEST = "layer string, version string, rows long, folder string"
 
@@ -42,3 +42,13 @@ def land_published(spark: SparkSession, manifests: str, store: str, checkpoint:
     stream = spark.readStream.schema(MANIFEST).json(manifests)
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def merge_published(spark: SparkSession, deltas: str, held: KeyedTable, checkpoint: str) -> None:
+    """Merge the delta files (Parquet, below ``deltas``) that have been published since the last call into the table.
+
+    A batch that was cut short is taken again by the next call; merging it twice is merging it once.
+    """
+    stream = spark.readStream.schema(held.schema).option("recursiveFileLookup", True).parquet(deltas)
+    batches = stream.writeStream.foreachBatch(lambda batch, _: held.merge(batch)).option("checkpointLocation", checkpoint)
+    batches.trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import random
+import shutil
 from contextlib import redirect_stdout
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placewise.operators import freshness, geo, reconcile, select
 from placewise.sources import layers
+from placewise.streaming.landing import merge_published
 
 SCHEMA = "request_id long, text string, written int"
 
@@ -60,7 +62,7 @@ def test_files_that_a_delta_does_not_meet_are_left_alone(spark, tmp_path):
         held.merge(spark.createDataFrame([(None, "x", 3)], SCHEMA))
 
 
-@pytest.mark.parametrize("stop", ["before", "after"])
+@pytest.mark.parametrize("stop", ["before", "midway", "after"])
 def test_a_merge_that_is_cut_short_is_finished_by_the_next(spark, tmp_path, monkeypatch, stop):
     make = lambda: layers.KeyedTable(spark, f"{tmp_path}/t", SCHEMA, "request_id", "written", width=10)
     make().merge(spark.createDataFrame([(i, "old", 1) for i in range(30)], SCHEMA))
@@ -70,6 +72,8 @@ def test_a_merge_that_is_cut_short_is_finished_by_the_next(spark, tmp_path, monk
     def cut(rows, path, *by):
         if stop == "after":
             real(rows, path, *by)
+        if stop == "midway":  # the old partition is gone, the new one not yet there
+            shutil.rmtree(f"{path}/key_range=0")
         raise RuntimeError("cut")
 
     held = make()
@@ -78,7 +82,9 @@ def test_a_merge_that_is_cut_short_is_finished_by_the_next(spark, tmp_path, monk
         held.merge(delta)
     monkeypatch.setattr(layers, "replace_partitions", real)
     want = sorted([(i, "new" if i == 5 else "old", 2 if i == 5 else 1) for i in range(30)] + [(35, "more", 2)], key=str)
-    again = make()
+    again = held if stop == "midway" else make()
+    if again is held:
+        again.merge(delta)
     assert told(again.read()) == want and not Path(f"{tmp_path}/t.pending").exists()
     again.merge(delta)
     assert told(again.read()) == want
@@ -88,6 +94,31 @@ def test_a_merge_that_is_cut_short_is_finished_by_the_next(spark, tmp_path, monk
     assert told(make().read()) == want
 
 
+def test_a_stream_of_deltas(spark, tmp_path, monkeypatch):
+    held = layers.KeyedTable(spark, f"{tmp_path}/t", SCHEMA, "request_id", "written", width=10)
+    run = lambda: merge_published(spark, f"{tmp_path}/in", held, f"{tmp_path}/cp")
+    publish = lambda n, rows: spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in/{n}")
+    publish(1, [(1, "a", 1), (25, "b", 1)])
+    run()
+    publish(2, [(1, "same time", 1), (2, "c", 5)])
+    publish(3, [(2, "older", 4), (25, None, 2)])
+    real = layers.replace_partitions
+
+    def cut(rows, path, *by):
+        real(rows, path, *by)
+        raise RuntimeError("cut")
+
+    monkeypatch.setattr(layers, "replace_partitions", cut)
+    with pytest.raises(Exception, match="cut"):
+        run()
+    monkeypatch.setattr(layers, "replace_partitions", real)
+    run()  # the batch again
+    want = sorted([(1, "same time", 1), (2, "c", 5), (25, None, 2)], key=str)
+    assert told(held.read()) == want
+    run()  # nothing new
+    assert told(held.read()) == want
+
+
 def test_samples_are_kept_once(spark, tmp_path):
     path, schema = f"{tmp_path}/s", "layer string, edited_at timestamp_ntz, business_key string, object_id long"
     one = lambda day, n: spark.createDataFrame([("census_areas", dt.datetime(2024, 1, day), str(i), i) for i in range(n)], schema)
