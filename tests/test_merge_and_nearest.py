@@ -62,6 +62,23 @@ def test_files_that_a_delta_does_not_meet_are_left_alone(spark, tmp_path):
         held.merge(spark.createDataFrame([(None, "x", 3)], SCHEMA))
 
 
+def test_ranges_are_widened_until_files_are_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layers, "MOST_RANGES", 8)
+    make = lambda: layers.KeyedTable(spark, f"{tmp_path}/t", SCHEMA, "request_id", "written", width=10)
+    rows = lambda text, at: spark.range(-500, 1500).select(F.col("id").alias("request_id"), F.lit(text).alias("text"), F.lit(at).alias("written"))
+    make().merge(rows("old", 1))
+    assert 2 <= len({n.split("/")[0] for n in files(f"{tmp_path}/t")}) <= 8
+    make().merge(rows("new", 2).filter("request_id % 3 = 0"))
+    make().merge(spark.createDataFrame([(1, "stale", 0), (9_999, "more", 1)], SCHEMA))
+    want = [(i, "new", 2) if i % 3 == 0 else (i, "old", 1) for i in range(-500, 1500)] + [(9_999, "more", 1)]
+    assert told(make().read()) == sorted(want, key=str)
+    assert len({n.split("/")[0] for n in files(f"{tmp_path}/t")}) <= 9
+    # Of many rows a range holds a bounded number.
+    monkeypatch.setattr(layers, "RANGE_ROWS", 20)
+    layers.KeyedTable(spark, f"{tmp_path}/u", SCHEMA, "request_id", "written", width=10).merge(rows("old", 1))
+    assert len({n.split("/")[0] for n in files(f"{tmp_path}/u")}) > 20
+
+
 @pytest.mark.parametrize("stop", ["before", "midway", "after"])
 def test_a_merge_that_is_cut_short_is_finished_by_the_next(spark, tmp_path, monkeypatch, stop):
     make = lambda: layers.KeyedTable(spark, f"{tmp_path}/t", SCHEMA, "request_id", "written", width=10)
