@@ -26,3 +26,10 @@ def test_buckets_are_of_rows_in_memory_not_of_compressed_tables(spark, tmp_path,
     monkeypatch.setattr(layers, "BUCKET_BYTES", layers.size_and_time(spark, [f"{tmp_path}/sf/{t}.parquet" for t in ("orders", "lineitem")])[0] * 2)
     fields = Inputs(spark, f"{tmp_path}/sf").fields
     assert len({r[0] for r in fields.select(F.input_file_name()).distinct().collect()}) > 1
+
+
+def test_nothing_is_derived_for_a_version_that_is_kept(spark, monkeypatch):
+    real, runs = places.doorways, []
+    monkeypatch.setattr(places, "doorways", lambda *a, **k: runs.append(1) or real(*a, **k))
+    rows = __spark_entry__.queries()["retained_snapshots"](spark, SF).collect()
+    assert len(runs) == 2 and {r.snapshot_id for r in rows} == {1, 2}
