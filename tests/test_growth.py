@@ -28,6 +28,30 @@ def test_buckets_are_of_rows_in_memory_not_of_compressed_tables(spark, tmp_path,
     assert len({r[0] for r in fields.select(F.input_file_name()).distinct().collect()}) > 1
 
 
+def test_runs_are_written_without_columns_that_no_list_says(spark, monkeypatch):
+    from placewise.operators import select
+
+    calls = calls_of(spark, [(i, i, "1 oak st", {}) for i in range(1, 9)])
+    loaded = select.load(calls, fields_of(spark, [(i, {}) for i in range(1, 9)])).withColumn("description", F.lit("long text"))
+    busy, written = spark.createDataFrame([("1 OAK ST",)], "door string"), []
+    for module in (places, ranking):
+        real = module.settled
+        monkeypatch.setattr(module, "settled", lambda df, name, real=real: written.append(set(df.columns)) or real(df, name))
+    got = places.door_measures(loaded, busy=busy)
+    assert got.first().calls_total == 8 and len(written) >= 3
+    assert not any({"description", "object_id", "address", "date_closed"} & w for w in written)
+
+
+def test_listed_doorways_are_worked_out_once_before_they_are_placed(spark, donut, monkeypatch):  # noqa: F811
+    from placewise.operators import select
+
+    calls = calls_of(spark, [(i, 0, f"{i} oak st", {"lat": 1.0, "lon": 1.0}) for i in range(1, 5)])
+    loaded, real, seen = select.load(calls, fields_of(spark, [(i, {}) for i in range(1, 5)])), places.locate, []
+    monkeypatch.setattr(places, "locate", lambda rows, *a, **k: seen.append(plan_of(rows)) or real(rows, *a, **k))
+    assert places.doorways(loaded, geo.cover(*donut, carry=["dwellings"]), min_calls=1).count() == 4
+    assert len(seen) == 1 and "Window" not in seen[0]
+
+
 def test_nothing_is_derived_for_a_version_that_is_kept(spark, monkeypatch):
     real, runs = places.doorways, []
     monkeypatch.setattr(places, "doorways", lambda *a, **k: runs.append(1) or real(*a, **k))
