@@ -67,6 +67,8 @@ def derive_landed(
     version = json.dumps(dict.fromkeys(CALL_LAYERS, at), sort_keys=True, separators=(",", ":"))
     calls, fields = read_snapshot(spark, f"{store}/service_requests"), read_snapshot(spark, f"{store}/custom_fields")
     loaded = select.load(calls, fields).join(select.canonical_types(fields, dimension), "request_id")
+    # Written, since lists, headers and each of the figures are made of it.
+    loaded = settled(loaded.select(KEY, *places.MEASURED, "date_initiated", "date_closed"), "loaded")
     found = select.busy_doors(calls)
     busy = None if found.isEmpty() else settled(found, "busy")
     snapshot_version(loaded, covered, dimension, version, f"{root}/lists", derived_at, said, busy)

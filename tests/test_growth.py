@@ -57,3 +57,10 @@ def test_nothing_is_derived_for_a_version_that_is_kept(spark, monkeypatch):
     monkeypatch.setattr(places, "doorways", lambda *a, **k: runs.append(1) or real(*a, **k))
     rows = __spark_entry__.queries()["retained_snapshots"](spark, SF).collect()
     assert len(runs) == 2 and {r.snapshot_id for r in rows} == {1, 2}
+
+
+def test_a_landed_version_is_joined_once(spark, monkeypatch):
+    real, seen = versions.snapshot_version, []
+    monkeypatch.setattr(versions, "snapshot_version", lambda loaded, *a: seen.append(plan_of(loaded)) or real(loaded, *a))
+    __spark_entry__.queries()["derived_versions"](spark, SF)
+    assert seen and not any("Join" in p for p in seen)
