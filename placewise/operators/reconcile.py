@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..sources.layers import settled
 from .select import residue_sample
 
 
@@ -68,7 +69,11 @@ def bucket_of(key: list[str], buckets: int = BUCKETS):
 
 def unequal_buckets(a: DataFrame, b: DataFrame, key: list[str], compare: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``bucket``: those in which two copies differ, ``buckets`` at most. No row of the copies is joined."""
-    both = bucket_digests(a, key, compare, buckets).withColumn("copy", F.lit(1)).unionByName(bucket_digests(b, key, compare, buckets).withColumn("copy", F.lit(2)))
+    return _unequal(bucket_digests(a, key, compare, buckets), bucket_digests(b, key, compare, buckets))
+
+
+def _unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+    both = a.withColumn("copy", F.lit(1)).unionByName(b.withColumn("copy", F.lit(2)))
     same = both.groupBy("bucket").agg(F.count("*").alias("copies"), *[F.count_distinct(c).alias(c) for c in "nabc"])
     return same.filter("copies < 2 or n > 1 or a > 1 or b > 1 or c > 1").select("bucket")
 
@@ -84,9 +89,11 @@ def bucketed_diff(a: DataFrame, b: DataFrame, key: list[str], compare: list[str]
 
 
 def copies_agree(a: DataFrame, b: DataFrame, key: list[str], compare: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """One row: rows of either copy and whether they are equal, from checksums alone."""
-    rows = lambda df, name: bucket_digests(df, key, compare, buckets).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
-    unequal = unequal_buckets(a, b, key, compare, buckets).agg((F.count("*") == 0).alias("agree"))
+    """One row: rows of either copy and whether they are equal, from checksums alone. These, ``buckets`` rows a copy, are
+    written, so that each copy is read once."""
+    a, b = (settled(bucket_digests(x, key, compare, buckets), "digests") for x in (a, b))
+    rows = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    unequal = _unequal(a, b).agg((F.count("*") == 0).alias("agree"))
     return rows(a, "rows_a").crossJoin(F.broadcast(rows(b, "rows_b"))).crossJoin(F.broadcast(unequal))  # one row each
 
 

@@ -64,3 +64,13 @@ def test_a_landed_version_is_joined_once(spark, monkeypatch):
     monkeypatch.setattr(versions, "snapshot_version", lambda loaded, *a: seen.append(plan_of(loaded)) or real(loaded, *a))
     __spark_entry__.queries()["derived_versions"](spark, SF)
     assert seen and not any("Join" in p for p in seen)
+
+
+def test_each_copy_is_read_once(spark, monkeypatch):
+    real, reads = reconcile.bucket_digests, []
+    monkeypatch.setattr(reconcile, "bucket_digests", lambda *a, **k: reads.append(1) or real(*a, **k))
+    a = spark.range(100).select(F.col("id").alias("request_id"), F.lit("x").alias("status"))
+    b = a.withColumn("status", F.when(F.col("request_id") == 5, "y").otherwise("x"))
+    assert reconcile.copies_agree(a, a, ["request_id"], ["status"]).first()[:] == (100, 100, True)
+    assert reconcile.copies_agree(a, b, ["request_id"], ["status"]).first()[:] == (100, 100, False)
+    assert len(reads) == 4
