@@ -74,3 +74,11 @@ def test_each_copy_is_read_once(spark, monkeypatch):
     assert reconcile.copies_agree(a, a, ["request_id"], ["status"]).first()[:] == (100, 100, True)
     assert reconcile.copies_agree(a, b, ["request_id"], ["status"]).first()[:] == (100, 100, False)
     assert len(reads) == 4
+
+
+def test_spreads_read_the_calls_once(spark):
+    calls = spark.createDataFrame([(1, "1 a", 44.0, -63.0), (2, "1 a", 44.0, -63.0), (3, "1 a", 44.001, -63.0)], "request_id long, address string, latitude double, longitude double")
+    got = geo.spreads(calls)
+    assert "latitude" not in plan_of(got)
+    row = got.first()
+    assert row.calls == 3 and row.spread == pytest.approx(111.32, abs=0.01)
