@@ -82,3 +82,11 @@ def test_spreads_read_the_calls_once(spark):
     assert "latitude" not in plan_of(got)
     row = got.first()
     assert row.calls == 3 and row.spread == pytest.approx(111.32, abs=0.01)
+
+
+def test_pages_are_compressed(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("REQUESTID"), F.lit(1).cast("long").alias("CUSTOM_FIELD_ID"), F.lit("n").alias("CUSTOM_FIELD_NAME"), F.lit(None).cast("string").alias("CUSTOM_FIELD_VALUE"), F.col("id").alias("ObjectId"))
+    layers.write_feature_pages(rows, layers.CUSTOM_FIELDS, f"{tmp_path}/p", "ObjectId")
+    assert {p.suffix for p in Path(f"{tmp_path}/p").glob("part-*")} == {".gz"}
+    back = layers.read_feature_pages(spark, f"{tmp_path}/p", layers.CUSTOM_FIELDS, page_a_line=True)
+    assert back.count() == 3000
