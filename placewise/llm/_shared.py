@@ -113,6 +113,14 @@ ROWS_AT_ONCE = 512
 BROADCAST_ROWS = 1_000_000
 
 
+def short_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
+    """Rows go to Python at most ``rows`` at once from now on, in the session, since results are lazy; a session's own
+    smaller number stays. A batch of Spark's 10,000 texts lies in the JVM and in the worker of each task, beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:  # zero and less: no limit
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches, rows: int = ROWS_AT_ONCE):
     """Arrow batches of fewer rows, so that a task holds few texts as Python objects."""
     for batch in batches:

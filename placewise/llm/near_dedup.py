@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT_ROWS, Scratch, hot_limit, join_keyed, seen, slices, small
+from ._shared import HOT_ROWS, Scratch, hot_limit, join_keyed, seen, short_batches, slices, small
 
 WORDS = 5
 COORDS = 128
@@ -289,6 +289,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, threshold_pct: int,
     """``(id, sha, n, component, kept)`` for each row; ``sha`` tells the texts of one id apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    short_batches(spark)
     text = docs[text_col].cast("string")
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"))
     s = scratch.cut(narrow.mapInArrow(_sketched(words, coords), "id long, sha string, n long, key binary, sk binary"), "sketches")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Scratch, slices
+from ._shared import Scratch, short_batches, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -133,6 +133,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                 [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "piece", "start", "length", "ids_crc32"]
             )
 
+    short_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, PIECES)
 
 

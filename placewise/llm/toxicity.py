@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import slices
+from ._shared import short_batches, slices
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -124,6 +124,7 @@ def fit(
     smallest text). Repeated rows count each in the ratios. Null texts are empty.
     """
     spark = labelled.sparkSession
+    short_batches(spark)
     rows = labelled.select(
         F.coalesce(labelled[text_col], F.lit("")).alias("text"),
         labelled[label_col].cast("int").alias("label"),
@@ -215,6 +216,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", as_col:
     A null text counts as empty; an empty text gets the model's bias. An input column named ``as_col``, in any case,
     is replaced. Repeated rows get the same score each. An empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     keep = [c for c in docs.columns if c.lower() != as_col.lower()]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(as_col, T.DoubleType())])
